@@ -1,3 +1,4 @@
 """Import every query module so that its queries register."""
 
 from . import q_rules  # noqa: F401
+from . import q_placement  # noqa: F401
