@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # - serving fold maps ç Ç ğ Ğ ı İ ö Ö ş Ş ü Ü to c C g G i I o O s S u U
 # - word tokens are runs of at least two letters, digits or underscores
 # - receipt id format is "Siparis_" followed by the 1-based number, zero-padded to 2
-TRAIN_KEEP_CLASS = "[^a-zçğıöşü\\s]"
+TRAIN_KEEP_LETTERS = "a-zçğıöşü"
 FOLD_FROM = "çÇğĞıİöÖşŞüÜ"
 FOLD_TO = "cCgGiIoOsSuU"
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]{2,}"
@@ -37,9 +37,9 @@ def _c(col) -> Column:
 def normalize_train(col) -> Column:
     """Lower, keep Turkish letters and whitespace, collapse blanks, trim."""
     c = F.lower(_c(col).cast("string"))
-    c = F.regexp_replace(c, TRAIN_KEEP_CLASS, " ")
-    c = F.regexp_replace(c, "\\d+", " ")
-    c = F.regexp_replace(c, "\\s+", " ")
+    c = F.regexp_replace(c, f"[^{TRAIN_KEEP_LETTERS}{_WS}]", " ")
+    c = F.regexp_replace(c, "[0-9]+", " ")
+    c = F.regexp_replace(c, f"{WS_CLASS}+", " ")
     return F.trim(c)
 
 

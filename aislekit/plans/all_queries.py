@@ -2,3 +2,4 @@
 
 from . import q_rules  # noqa: F401
 from . import q_placement  # noqa: F401
+from . import q_text  # noqa: F401
