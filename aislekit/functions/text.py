@@ -95,10 +95,15 @@ def word_tokens(col) -> Column:
 
 
 def word_ngrams_1_2(tokens) -> Column:
-    """M2: unigrams followed by adjacent bigrams ``'w1 w2'``."""
+    """M2: unigrams followed by adjacent bigrams ``'w1 w2'``.
+
+    Pass a column *reference* (tokens already materialised): the bigrams zip two
+    slices of it in one linear pass.
+    """
     t = _c(tokens)
-    bigrams = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-                          lambda x, i: F.concat(F.element_at(t, i + 1), F.lit(" "), x))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(t, 1, n).alias("a"), F.slice(t, 2, n).alias("b"))
+    bigrams = F.transform(pairs, lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
     return F.concat(t, bigrams)
 
 
