@@ -26,13 +26,20 @@ def _rule_cols(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- oracle SQL builders
 
+FALLBACK_COUNT = ("CASE WHEN top * 10 >= n THEN (n + 9) // 10 WHEN n >= 2 AND top >= 2 THEN 2 ELSE 1 END")
+FALLBACK_SUPPORT = ("CASE WHEN top * 10 >= n THEN 0.1 WHEN n >= 2 AND top >= 2 THEN 2.0 / n ELSE 1.0 / n END")
+
+
 def _support_count(support: str) -> str:
-    """Exact integer minimum count for the supports used here (0.1 and 0.01)."""
-    return {"0.1": "(n + 9) // 10", "0.01": "(n + 99) // 100"}[support]
+    """Exact integer minimum count for the supports used here (0.1, 0.01, or the A8 fallback)."""
+    return {"0.1": "(n + 9) // 10", "0.01": "(n + 99) // 100", "fallback": FALLBACK_COUNT}[support]
+
 
+def sql_itemsets_ctes(name: str, support: str, max_k: int, bi_sql: str | None = None) -> str:
+    """CTEs bi, nn, mc, sub, its for a basket set; subsets enumerated up to ``max_k`` items.
 
-def sql_itemsets_ctes(name: str, support: str, max_k: int) -> str:
-    """CTEs bi, nn, mc, sub, its for a basket set; subsets enumerated up to ``max_k`` items."""
+    ``bi_sql`` (DISTINCT basket_id, item rows) overrides the named basket set.
+    """
     parts = ["SELECT [a1.item] AS items FROM bi a1"]
     for k in range(2, max_k + 1):
         joins = " ".join(
@@ -41,9 +48,11 @@ def sql_itemsets_ctes(name: str, support: str, max_k: int) -> str:
         items = ", ".join(f"a{j}.item" for j in range(1, k + 1))
         parts.append(f"SELECT [{items}] AS items FROM bi a1 {joins}")
     sub = "\n UNION ALL ".join(parts)
-    return f"""bi AS ({sql_basket_items(name)}),
+    return f"""bi AS ({bi_sql or sql_basket_items(name)}),
 nn AS (SELECT count(DISTINCT basket_id) AS n FROM bi),
-mc AS (SELECT {_support_count(support)} AS c FROM nn),
+topc AS (SELECT coalesce(max(c), 0) AS top FROM (SELECT count(*) AS c FROM bi GROUP BY item)),
+mc AS (SELECT {_support_count(support)} AS c, {FALLBACK_SUPPORT if support == 'fallback' else support} AS s
+       FROM nn, topc),
 sub AS ({sub}),
 its AS (SELECT items, len(items) AS k, count(*) AS freq FROM sub GROUP BY items
         HAVING count(*) >= (SELECT c FROM mc))"""

@@ -50,14 +50,18 @@ _SPLIT_ITEMS_SQL = (f"list_filter(list_transform(string_split_regex(line, '{X.IT
                     f"lambda s: regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')), lambda s: s <> '')")
 
 
-@register("receipt_lines", "S2 S3 S4 X3 X4 X5 X6 F4 O4", sql=f"""WITH t AS (
+SQL_RECEIPTS = f"""rt AS (
   SELECT conv_id, turn, regexp_replace(text, '^\\x{{feff}}+', '') AS text FROM conversations WHERE text IS NOT NULL),
-lines AS (SELECT conv_id, turn, unnest(string_split_regex(text, '{X.LINE_BREAK}')) AS line,
-                 unnest(range(1, len(string_split_regex(text, '{X.LINE_BREAK}')) + 1)) AS line_no FROM t),
-r AS (SELECT conv_id, turn, line_no, {_SPLIT_ITEMS_SQL} AS items FROM lines),
-nz AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, line_no) AS receipt_no FROM r WHERE len(items) > 0),
-it AS (SELECT receipt_no, unnest(items) AS product, unnest(range(0, len(items))) AS pos FROM nz)
-SELECT receipt_no, printf('Siparis_%02d', receipt_no) AS receipt_id, CAST(pos AS INTEGER) AS pos, product FROM it""")
+rlines AS (SELECT conv_id, turn, unnest(string_split_regex(text, '{X.LINE_BREAK}')) AS line,
+                 unnest(range(1, len(string_split_regex(text, '{X.LINE_BREAK}')) + 1)) AS line_no FROM rt),
+rr AS (SELECT conv_id, turn, line_no, {_SPLIT_ITEMS_SQL} AS items FROM rlines),
+rnz AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, line_no) AS receipt_no FROM rr WHERE len(items) > 0),
+rit AS (SELECT receipt_no, printf('Siparis_%02d', receipt_no) AS receipt_id, unnest(items) AS product,
+               CAST(unnest(range(0, len(items))) AS INTEGER) AS pos FROM rnz)"""
+
+
+@register("receipt_lines", "S2 S3 S4 X3 X4 X5 X6 F4 O4", sql=f"""WITH {SQL_RECEIPTS}
+SELECT receipt_no, receipt_id, pos, product FROM rit""")
 def q_receipt_lines(spark: SparkSession, sf: str) -> DataFrame:
     conv = table(spark, sf, "conversations").where(F.col("text").isNotNull())
     rec = receipts_from_texts(conv, "text", ["conv_id", "turn"])
