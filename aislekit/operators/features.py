@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import spread
 from .ordering import running_total
 
 # Fixed values of the reference's preprocessing.
@@ -62,21 +63,26 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 # ---------------------------------------------------------------- tf-idf
 
+def _prep(t, normalize: str):
+    if normalize == "train":
+        return X.normalize_train(t)
+    if normalize == "fold":
+        return X.fold_ascii(t)
+    return t
+
+
 def doc_terms(docs: DataFrame, id_col: str, text_col: str, normalize: str = "train") -> DataFrame:
     """M1/M2/M4: ``(doc_id, term, tf)`` for word 1- and 2-grams.
 
     ``normalize='train'`` applies X1 first (training side), ``'fold'`` applies
     X2 (serving side of the reference), ``'none'`` neither.  Documents are
-    hash-partitioned by id once, so the per-document aggregations below reuse
-    that partitioning instead of shuffling exploded tokens.
+    hash-partitioned by id once, *before* tokenising: the regex work runs in
+    parallel and the per-document aggregations below reuse that partitioning
+    instead of shuffling exploded tokens.
     """
-    t = F.col(text_col)
-    if normalize == "train":
-        t = X.normalize_train(t)
-    elif normalize == "fold":
-        t = X.fold_ascii(t)
-    exploded = (docs.select(F.col(id_col).alias("doc_id"), X.word_tokens(t).alias("_tok"))
-                .repartition("doc_id")
+    raw = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "doc_id")
+    exploded = (raw.select("doc_id", _prep(F.col("_text"), normalize).alias("_t"))
+                .select("doc_id", X.word_tokens("_t").alias("_tok"))
                 .select("doc_id", F.explode(X.word_ngrams_1_2("_tok")).alias("term")))
     return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.ordering import running_total
+from ..session import spread
 
 
 def receipts_from_texts(df: DataFrame, text_col: str, order_cols: Sequence[str]) -> DataFrame:
@@ -28,6 +29,7 @@ def receipts_from_texts(df: DataFrame, text_col: str, order_cols: Sequence[str])
     strips the one at file start).
     """
     order_cols = list(order_cols)
+    df = spread(df.select(*order_cols, text_col), *order_cols)
     lines = (df.select(*order_cols, X.split_lines(X.strip_bom(F.col(text_col))).alias("_lines"))
              .select(*order_cols,
                      F.filter(F.transform("_lines", X.split_items), lambda a: F.size(a) > 0)
