@@ -62,7 +62,8 @@ def receipt_predictions(receipts: DataFrame, prepared: T.Prepared, model_choice:
     """``receipt_no, receipt_id, pos, product, category`` (category NULL if unscored)."""
     items = receipt_items(receipts)
     cats = predict_categories(items, "product", prepared, model_choice, normalizer)
-    return items.join(cats, "product", "left").select("receipt_no", "receipt_id", "pos", "product", "category")
+    keep = [c for c in items.columns if c not in ("pos", "product")]
+    return items.join(cats, "product", "left").select(*keep, "pos", "product", "category")
 
 
 def receipt_baskets(predictions: DataFrame) -> DataFrame:

@@ -21,25 +21,28 @@ from ..operators.ordering import running_total
 from ..session import spread
 
 
-def receipts_from_texts(df: DataFrame, text_col: str, order_cols: Sequence[str]) -> DataFrame:
+def receipts_from_texts(df: DataFrame, text_col: str, order_cols: Sequence[str],
+                        group_cols: Sequence[str] = ()) -> DataFrame:
     """Rows of text (ordered by ``order_cols``) -> ``receipt_no, receipt_id, items``.
 
     The concatenation of the texts in ``order_cols`` order is the receipt file.
     Byte-order marks are stripped at the start of every text (the reference
-    strips the one at file start).
+    strips the one at file start).  With ``group_cols`` (e.g. the file) the
+    numbering restarts for each group and the group columns are kept.
     """
-    order_cols = list(order_cols)
-    df = spread(df.select(*order_cols, text_col), *order_cols)
-    lines = (df.select(*order_cols, X.split_lines(X.strip_bom(F.col(text_col))).alias("_lines"))
-             .select(*order_cols,
+    order_cols, group_cols = list(order_cols), list(group_cols)
+    keys = group_cols + order_cols
+    df = spread(df.select(*keys, text_col), *keys)
+    lines = (df.select(*keys, X.split_lines(X.strip_bom(F.col(text_col))).alias("_lines"))
+             .select(*keys,
                      F.filter(F.transform("_lines", X.split_items), lambda a: F.size(a) > 0)
                      .alias("_receipts")))
     counted = lines.withColumn("_n", F.size("_receipts")).where(F.col("_n") > 0)
-    numbered = running_total(counted, order_cols, weight="_n", out="_last_no")
+    numbered = running_total(counted, order_cols, weight="_n", group_cols=group_cols, out="_last_no")
     out = (numbered
-           .select(F.posexplode("_receipts").alias("_i", "items"), "_last_no", "_n")
-           .select((F.col("_last_no") - F.col("_n") + F.col("_i") + 1).alias("receipt_no"), "items"))
-    return out.select("receipt_no", X.receipt_id("receipt_no").alias("receipt_id"), "items")
+           .select(*group_cols, F.posexplode("_receipts").alias("_i", "items"), "_last_no", "_n")
+           .select(*group_cols, (F.col("_last_no") - F.col("_n") + F.col("_i") + 1).alias("receipt_no"), "items"))
+    return out.select(*group_cols, "receipt_no", X.receipt_id("receipt_no").alias("receipt_id"), "items")
 
 
 def read_receipts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -54,8 +57,8 @@ def read_receipts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
 
 def receipt_items(receipts: DataFrame) -> DataFrame:
     """One row per (receipt, position, product)."""
-    return receipts.select("receipt_no", "receipt_id",
-                           F.posexplode("items").alias("pos", "product"))
+    keep = [c for c in receipts.columns if c != "items"]
+    return receipts.select(*keep, F.posexplode("items").alias("pos", "product"))
 
 
 def require_nonempty(receipts: DataFrame) -> DataFrame:
