@@ -116,11 +116,15 @@ def weigh(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def fit_tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int = MAX_FEATURES,
-              normalize: str = "train") -> TfidfModel:
+              normalize: str = "train", tf: DataFrame | None = None) -> TfidfModel:
     """M3/M5: vocabulary = ``max_features`` terms with the highest corpus count
-    (ties by term), smoothed idf ``ln((1 + n) / (1 + df)) + 1``."""
+    (ties by term), smoothed idf ``ln((1 + n) / (1 + df)) + 1``.
+
+    ``tf`` (from :func:`doc_terms`) may be passed when it is already computed,
+    so the corpus is tokenised once for fitting and weighting.
+    """
     n = docs.count()
-    tf = doc_terms(docs, id_col, text_col, normalize)
+    tf = tf if tf is not None else doc_terms(docs, id_col, text_col, normalize)
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
     # vocabulary indices in sorted term order, as the reference's vectoriser numbers them

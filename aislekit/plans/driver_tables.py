@@ -51,3 +51,20 @@ def sql_basket_items(name: str) -> str:
     return ("SELECT DISTINCT l.l_orderkey AS basket_id, CAST(p.{c} AS VARCHAR) AS item "
             "FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey "
             "WHERE p.{c} IS NOT NULL").format(c=name)
+
+
+_ANALYSES: dict = {}
+
+
+def cached_analysis(spark: SparkSession, sf: str, name: str, support: float | None):
+    """One (checkpointed) rule analysis per basket set and support in this process.
+
+    All tables of one placement request derive from a single analysis in the
+    reference; the queries that share a basket set share it the same way.
+    """
+    from ..operators import rules as R
+
+    key = (id(spark), sf, name, support)
+    if key not in _ANALYSES:
+        _ANALYSES[key] = R.analyze(baskets_by_name(spark, sf, name), support=support)
+    return _ANALYSES[key]

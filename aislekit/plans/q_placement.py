@@ -15,7 +15,7 @@ from ..operators import placement as P
 from ..operators import rules as R
 from ..sources.shelves import shelf_grid
 from ..sources.tables import table
-from .driver_tables import order_baskets
+from .driver_tables import cached_analysis, order_baskets
 from .q_rules import RULES_CTES, sql_itemsets_ctes
 from .registry import register
 
@@ -23,7 +23,7 @@ R6 = 6
 
 
 def _rules(spark: SparkSession, sf: str) -> DataFrame:
-    a = R.analyze(order_baskets(spark, sf, "p_brand"), support=0.01)
+    a = cached_analysis(spark, sf, "p_brand", 0.01)
     return a.positive
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sorted_key
 from ..operators import rules as R
 from ..operators.baskets import support_choice_frame
-from .driver_tables import baskets_by_name, order_baskets, sql_basket_items
+from .driver_tables import baskets_by_name, cached_analysis, order_baskets, sql_basket_items
 from .registry import register
 
 R6 = 6  # output doubles are rounded to 6 places so engines hash alike
@@ -96,7 +96,7 @@ def q_category_baskets(spark: SparkSession, sf: str) -> DataFrame:
 SELECT array_to_string(items, '|') AS items_key, CAST(k AS INTEGER) AS k, freq,
        round(CAST(freq AS DOUBLE) / (SELECT n FROM nn), 6) AS support FROM its""")
 def q_frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    a = R.analyze(order_baskets(spark, sf, "p_type"), support=0.1)
+    a = cached_analysis(spark, sf, "p_type", 0.1)
     return a.itemsets.select(sorted_key("items").alias("items_key"), "k", "freq",
                              F.round("support", R6).alias("support"))
 
@@ -124,7 +124,7 @@ def q_support_fallback(spark: SparkSession, sf: str) -> DataFrame:
 {RULES_CTES}
 SELECT {RULE_SELECT} FROM rules2""")
 def q_association_rules(spark: SparkSession, sf: str) -> DataFrame:
-    a = R.analyze(order_baskets(spark, sf, "p_type"), support=0.1)
+    a = cached_analysis(spark, sf, "p_type", 0.1)
     return _rule_cols(a.rules)
 
 
@@ -132,7 +132,7 @@ def q_association_rules(spark: SparkSession, sf: str) -> DataFrame:
 {RULES_CTES}
 SELECT {RULE_SELECT} FROM kept""")
 def q_positive_rules(spark: SparkSession, sf: str) -> DataFrame:
-    a = R.analyze(order_baskets(spark, sf, "p_brand"), support=0.01)
+    a = cached_analysis(spark, sf, "p_brand", 0.01)
     return _rule_cols(a.positive)
 
 
@@ -141,7 +141,7 @@ def q_positive_rules(spark: SparkSession, sf: str) -> DataFrame:
 SELECT {RULE_SELECT} FROM kept
 ORDER BY lift DESC, support DESC, confidence DESC, if_key, then_key LIMIT 10""")
 def q_top_rules(spark: SparkSession, sf: str) -> DataFrame:
-    a = R.analyze(order_baskets(spark, sf, "p_brand"), support=0.01)
+    a = cached_analysis(spark, sf, "p_brand", 0.01)
     return _rule_cols(R.top_rules(a.positive))
 
 
@@ -164,6 +164,6 @@ SELECT '{name}' AS basket_set,
 def q_rule_status(spark: SparkSession, sf: str) -> DataFrame:
     frames = []
     for name, support, _ in _STATUS_SETS:
-        a = R.analyze(baskets_by_name(spark, sf, name), support=float(support))
+        a = cached_analysis(spark, sf, name, float(support))
         frames.append(a.summary().select(F.lit(name).alias("basket_set"), "*"))
     return reduce(DataFrame.unionByName, frames)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import profile as PR
 from ..sources.receipts import receipt_items, receipts_from_texts
+from ..session import spread
 from ..sources.tables import table
 from .registry import register
 
@@ -24,7 +25,7 @@ def _sql_normalize(c: str) -> str:
 @register("normalize_names", "X1 F1 F2 F3", sql=f"""SELECT doc_id, {_sql_normalize('text')} AS processed_text
 FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
 def q_normalize_names(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").dropna(subset=["text", "lang"])
+    d = spread(table(spark, sf, "documents").dropna(subset=["text", "lang"]).select("doc_id", "text"), "doc_id")
     return d.select("doc_id", X.normalize_train("text").alias("processed_text"))
 
 

@@ -51,9 +51,13 @@ def prepare(df: DataFrame, id_col: str, text_col: str, label_col: str,
     if fit_on == "train":
         fit_docs = docs.join(split.where("split = 'train'").select(F.col("doc_id").alias(id_col)),
                              id_col, "left_semi")
-    model = FE.fit_tfidf(fit_docs, id_col, text_col, max_features)
+    # tokenise once: term counts feed both the vocabulary fit and the weights
+    tf = cut_lineage(FE.doc_terms(docs, id_col, text_col, "train"))
+    fit_tf = tf if fit_on == "all" else tf.join(
+        split.where("split = 'train'").select("doc_id"), "doc_id", "left_semi")
+    model = FE.fit_tfidf(fit_docs, id_col, text_col, max_features, tf=fit_tf)
     model = FE.TfidfModel(cut_lineage(model.vocab), model.n_docs, model.normalize)
-    weights = cut_lineage(model.transform(docs, id_col, text_col))
+    weights = cut_lineage(FE.weigh(tf, model.vocab))
     return Prepared(docs, codes, model, weights, split, id_col, text_col, "label")
 
 
