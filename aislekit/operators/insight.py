@@ -111,8 +111,7 @@ def relation_matrix(relations: DataFrame, scores: DataFrame, by: Sequence[str] =
 def score_chart(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Category, score, percent of the top score, rank."""
     s, g = _groups(scores, by)
-    top = s.groupBy(*g).agg(F.max("score").alias("_max"))
-    out = s.join(F.broadcast(top), on=g)
+    out = s.withColumn("_max", F.max("score").over(Window.partitionBy(*g)))
     return _drop_g(out.select(*g, "category", "score",
                               (F.col("score") / F.col("_max") * 100).alias("pct_of_max"), "rank"))
 
@@ -184,9 +183,9 @@ def shelf_positions_scaled(shelves: DataFrame, width: float = 800.0, height: flo
                            by: Sequence[str] = ()) -> DataFrame:
     """Shelf positions scaled into a ``width x height`` box with a 30 px margin."""
     s, g = _groups(shelves, by)
-    box = s.groupBy(*g).agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"),
-                            F.min("y").alias("min_y"), F.max("y").alias("max_y"))
-    j = s.join(F.broadcast(box), on=g)
+    w = Window.partitionBy(*g)
+    j = (s.withColumn("min_x", F.min("x").over(w)).withColumn("max_x", F.max("x").over(w))
+         .withColumn("min_y", F.min("y").over(w)).withColumn("max_y", F.max("y").over(w)))
     rx = F.col("max_x") - F.col("min_x")
     ry = F.col("max_y") - F.col("min_y")
     sx = (F.lit(width) - 2 * MAP_MARGIN) / F.when(rx != 0, rx).otherwise(F.lit(1.0))

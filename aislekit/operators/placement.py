@@ -64,11 +64,14 @@ def category_scores(rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def shelf_centre_distance(shelves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Distance of each shelf to the centroid of its group's shelves."""
+    """Distance of each shelf to the centroid of its group's shelves.
+
+    The centroid is a window aggregate over the group (a store's shelves), so
+    no join is needed and the later rank window reuses the same partitioning.
+    """
     sh, g = _groups(shelves, by)
-    centre = sh.groupBy(*g).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    # one centroid row per group: bounded by the number of groups
-    out = sh.join(F.broadcast(centre), on=g)
+    w = Window.partitionBy(*g)
+    out = sh.withColumn("cx", F.avg("x").over(w)).withColumn("cy", F.avg("y").over(w))
     return _drop_g(out.withColumn("distance_to_center",
                                   euclid(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))))
 

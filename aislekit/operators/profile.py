@@ -84,9 +84,13 @@ def null_counts(df: DataFrame) -> DataFrame:
 def exact_quantiles(df: DataFrame, cols: Sequence[str],
                     probs: Sequence[float] = QUANTILES) -> DataFrame:
     """(column, q, value) with linear interpolation at position (n - 1) * q."""
-    spark = df.sparkSession
-    hist = (_long_values(df, cols, "double").where(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    long = _long_values(df, cols, "double").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return quantiles_of_long(long, probs)
+
+
+def quantiles_of_long(long: DataFrame, probs: Sequence[float] = QUANTILES) -> DataFrame:
+    """Exact quantiles of a long ``(column, v)`` table (``column`` may be any grouping label)."""
+    hist = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
     cum = running_total(hist, ["v"], weight="cnt", group_cols=["column"], out="cum_end")
     cum = cum.withColumn("cum_start", F.col("cum_end") - F.col("cnt"))  # 0-based rank range
     n = hist.groupBy("column").agg(F.sum("cnt").alias("n"))
@@ -111,10 +115,32 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     """Column, count, mean, std, min, p25, p50, p75, max (pandas ``describe``)."""
     cols = list(cols or numeric_columns(df))
     long = _long_values(df, cols, "double").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return describe_long(long)
+
+
+def describe_tables(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """P4 for several tables in one pass: ``tbl`` + the :func:`describe_numeric` columns.
+
+    All tables' values share one histogram and one distributed running total.
+    """
+    parts = [_long_values(df, cols, "double").select(F.lit(name).alias("tbl"), "column", "v")
+             for name, (df, cols) in tables.items()]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v")).select(
+        F.concat_ws("\x1f", "tbl", "column").alias("column"), "v")
+    out = describe_long(long)
+    key = F.split(F.col("column"), "\x1f")
+    return out.select(key[0].alias("tbl"), key[1].alias("column"),
+                      *[c for c in out.columns if c != "column"])
+
+
+def describe_long(long: DataFrame) -> DataFrame:
     basic = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))
-    q = exact_quantiles(df, cols)
+    q = quantiles_of_long(long)
     piv = q.groupBy("column").pivot("q", [float(x) for x in QUANTILES]).agg(F.first("value"))
     names = {str(float(x)): f"p{int(round(x * 100))}" for x in QUANTILES}
     for k, v in names.items():

@@ -72,16 +72,16 @@ def receipt_baskets(predictions: DataFrame) -> DataFrame:
 
 
 def receipt_json(predictions: DataFrame) -> DataFrame:
-    """One JSON document per receipt, items in input order; receipts sort by id as text.
+    """JSON lines ``{receipt_id, pos, product, category}`` sorted by receipt id as text
+    and position.
 
-    Written with ``write.json`` the documents stay distributed; no single
-    document holds every receipt.
+    Each line is one item, so no row grows with a receipt's size and no single
+    document holds every receipt; ``write.json`` keeps the output distributed
+    and the sort is a range-partitioned distributed sort.
     """
-    items = F.array_sort(F.collect_list(F.struct("pos", "product", "category")))
-    per = predictions.groupBy("receipt_id").agg(items.alias("_items"))
-    return per.select("receipt_id", F.to_json(F.transform("_items", lambda s: F.struct(
-        s["product"].alias("product"), s["category"].alias("category")))).alias("items_json")
-    ).orderBy("receipt_id")
+    return (predictions.select("receipt_id", "pos", F.to_json(F.struct(
+        "receipt_id", "pos", "product", "category")).alias("json"))
+        .orderBy("receipt_id", "pos"))
 
 
 @dataclass

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sorted_key
 from ..operators import rules as R
-from ..operators.baskets import support_choice_frame
+from ..operators.baskets import multi_baskets, support_choices
+from ..sources.tables import table
 from .driver_tables import baskets_by_name, cached_analysis, order_baskets, sql_basket_items
 from .registry import register
 
@@ -116,8 +117,14 @@ FROM (SELECT (SELECT count(DISTINCT basket_id) FROM bi_{name}) AS n,
     f"bi_{s} AS ({sql_basket_items(s)})" for s in _FALLBACK_SETS) + "\n" + "\nUNION ALL\n".join(
     _sql_fallback(s) for s in _FALLBACK_SETS))
 def q_support_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    frames = [support_choice_frame(baskets_by_name(spark, sf, s), s) for s in _FALLBACK_SETS]
-    return reduce(DataFrame.unionByName, frames)
+    # the four part-based sets come from a single lineitem x part pass
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size", "p_name")
+    lines = li.join(p, li.l_partkey == p.p_partkey)
+    triples = multi_baskets(lines, "l_orderkey", {s: s for s in _FALLBACK_SETS if s != "events"})
+    ev = table(spark, sf, "events").select("user_id", "event_type")
+    triples = triples.unionByName(multi_baskets(ev, "user_id", {"events": "event_type"}))
+    return support_choices(triples)
 
 
 @register("association_rules", "A9 J1", sql=f"""WITH {sql_itemsets_ctes('p_type', '0.1', 5)},

@@ -88,13 +88,9 @@ def _sql_describe_numeric(t: str, c: str) -> str:
 @register("profile_numeric", "P4", sql="\nUNION ALL\n".join(
     _sql_describe_numeric(t, c) for t, cs in _NUM.items() for c in cs))
 def q_profile_numeric(spark: SparkSession, sf: str) -> DataFrame:
-    frames = []
-    for t, cs in _NUM.items():
-        d = PR.describe_numeric(table(spark, sf, t), cs)
-        frames.append(d.select(F.lit(t).alias("tbl"), "column", "count",
-                               *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75",
-                                                                   "max")]))
-    return reduce(DataFrame.unionByName, frames)
+    d = PR.describe_tables({t: (table(spark, sf, t), cs) for t, cs in _NUM.items()})
+    return d.select("tbl", "column", "count",
+                    *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def _sql_describe_cat(t: str, c: str) -> str:

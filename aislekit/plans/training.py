@@ -43,9 +43,11 @@ def prepare(df: DataFrame, id_col: str, text_col: str, label_col: str,
     """``fit_on='all'`` reproduces the reference (vocabulary and idf see every row);
     ``'train'`` fits them on the training split only."""
     docs = df.select(id_col, text_col, F.col(label_col).alias("label")).dropna(subset=[text_col, "label"])
-    codes = cut_lineage(FE.label_codes(docs, "label"))
-    kept = FE.drop_rare_classes(docs, "label")
-    split = cut_lineage(FE.stratified_split(kept.select(id_col, "label"), id_col, "label")
+    # the narrow (id, label) table is read from the text once and reused by every label step
+    labels = cut_lineage(docs.select(id_col, "label"))
+    codes = cut_lineage(FE.label_codes(labels, "label"))
+    kept = FE.drop_rare_classes(labels, "label")
+    split = cut_lineage(FE.stratified_split(kept, id_col, "label")
                         .select(F.col(id_col).alias("doc_id"), "label", "split"))
     fit_docs = docs
     if fit_on == "train":
