@@ -101,30 +101,3 @@ def support_choice_frame(baskets: DataFrame, basket_set: str | None = None) -> D
         cols.insert(0, F.lit(basket_set).alias("basket_set"))
     return one.select(*cols)
 
-
-def multi_baskets(lines: DataFrame, basket_col: str, category_cols: dict[str, str]) -> DataFrame:
-    """Several basket definitions from one pass: ``basket_set, basket_id, item`` (distinct).
-
-    ``category_cols`` maps a basket-set name to the column holding its category.
-    """
-    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("basket_set"), F.col(c).cast("string").alias("item"))
-                                for name, c in category_cols.items()]))
-    return (lines.select(F.col(basket_col).alias("basket_id"), pairs.alias("_p"))
-            .select("basket_id", "_p.basket_set", "_p.item").where(F.col("item").isNotNull())
-            .distinct())
-
-
-def support_choices(triples: DataFrame) -> DataFrame:
-    """A8 per basket set from distinct ``basket_set, basket_id, item`` triples (no driver scalars)."""
-    items = triples.groupBy("basket_set", "item").agg(F.count(F.lit(1)).alias("c"))
-    top = items.groupBy("basket_set").agg(F.max("c").alias("top"))
-    n = triples.groupBy("basket_set").agg(F.countDistinct("basket_id").alias("n"))
-    one = n.join(top, "basket_set")
-    s = (F.when(F.col("top") * 10 >= F.col("n"), F.lit(FIRST_SUPPORT))
-         .when((F.col("n") >= 2) & (F.col("top") >= 2), F.lit(2.0) / F.col("n"))
-         .otherwise(F.lit(1.0) / F.col("n")))
-    cnt = (F.when(F.col("top") * 10 >= F.col("n"), F.ceil(F.col("n") / F.lit(10)))
-           .when((F.col("n") >= 2) & (F.col("top") >= 2), F.lit(2))
-           .otherwise(F.lit(1)))
-    return one.select("basket_set", F.col("n").alias("n_transactions"), F.col("top").alias("max_item_count"),
-                      s.alias("min_support_used"), cnt.cast("long").alias("min_count"))
