@@ -35,12 +35,20 @@ def _c(col) -> Column:
 
 
 def normalize_train(col) -> Column:
-    """Lower, keep Turkish letters and whitespace, collapse blanks, trim."""
+    """Lower, keep Turkish letters and whitespace, collapse blanks, trim.
+
+    The reference's three substitutions (other characters -> space, digits ->
+    space, whitespace runs -> one space) amount to replacing every run of
+    characters outside the kept letters by one space; one regex pass does that.
+    """
     c = F.lower(_c(col).cast("string"))
-    c = F.regexp_replace(c, f"[^{TRAIN_KEEP_LETTERS}{_WS}]", " ")
-    c = F.regexp_replace(c, "[0-9]+", " ")
-    c = F.regexp_replace(c, f"{WS_CLASS}+", " ")
-    return F.trim(c)
+    return F.trim(F.regexp_replace(c, f"[^{TRAIN_KEEP_LETTERS}]+", " "))
+
+
+def train_tokens(normalized) -> Column:
+    """M1 on X1 output: it holds only kept letters and single spaces, so the
+    word tokens are the space-separated pieces of two or more characters."""
+    return F.filter(F.split(_c(normalized), " "), lambda x: F.length(x) >= 2)
 
 
 def fold_ascii(col) -> Column:

@@ -81,8 +81,9 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, normalize: str = "tra
     instead of shuffling exploded tokens.
     """
     raw = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "doc_id")
+    tokens = X.train_tokens("_t") if normalize == "train" else X.word_tokens("_t")
     exploded = (raw.select("doc_id", _prep(F.col("_text"), normalize).alias("_t"))
-                .select("doc_id", X.word_tokens("_t").alias("_tok"))
+                .select("doc_id", tokens.alias("_tok"))
                 .select("doc_id", F.explode(X.word_ngrams_1_2("_tok")).alias("term")))
     return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -150,7 +151,9 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, model: TfidfModel
         t = X.normalize_train(t)
     elif model.normalize == "fold":
         t = X.fold_ascii(t)
-    base = (docs.select(F.col(id_col).alias("doc_id"), X.word_tokens(t).alias("_tok"))
+    tokens = X.train_tokens("_t") if model.normalize == "train" else X.word_tokens("_t")
+    base = (docs.select(F.col(id_col).alias("doc_id"), t.alias("_t"))
+            .select("doc_id", tokens.alias("_tok"))
             .select("doc_id", X.word_ngrams_1_2("_tok").alias("_terms")))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol="_tf")
     ep = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_w")
