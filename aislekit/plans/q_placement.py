@@ -259,3 +259,60 @@ FROM sh, b""")
 def q_shelf_positions_scaled(spark: SparkSession, sf: str) -> DataFrame:
     s = I.shelf_positions_scaled(_supplier_shelves(spark, sf))
     return s.select("pos", "name", "x", "y", _r("map_x"), _r("map_y"))
+
+
+# ---------------------------------------------------------------- rule cards and JSON shelves
+
+@register("rule_cards", "I1 X8 X12 O2", sql=f"""WITH {sql_itemsets_ctes('p_brand', '0.01', 4)},
+{RULES_CTES},
+top AS (SELECT *, CAST(row_number() OVER (ORDER BY lift DESC, support DESC, confidence DESC, if_key, then_key)
+                       AS INTEGER) AS card FROM kept)
+SELECT card, array_to_string(list_transform(a_items, lambda c: array_to_string(list_transform(
+         string_split(lower(c), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')), ', ') AS if_title,
+       array_to_string(list_transform(c_items, lambda c: array_to_string(list_transform(
+         string_split(lower(c), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')), ', ') AS then_title,
+       round(support, 3) AS support, round(confidence, 3) AS confidence, round(lift, 2) AS lift,
+       CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.4 THEN 'medium' ELSE 'low' END AS confidence_tier
+FROM top WHERE card <= 10""")
+def q_rule_cards(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from ..functions.text import fixed, title_case
+    top = R.top_rules(_rules(spark, sf))
+    w = Window.orderBy(F.col("lift").desc(), F.col("support").desc(), F.col("confidence").desc(),
+                       F.concat_ws("|", "if_categories"), F.concat_ws("|", "then_categories"))
+    return top.select(F.row_number().over(w).alias("card"),   # window over the 10 cards only
+                      F.array_join(F.transform("if_categories", title_case), ", ").alias("if_title"),
+                      F.array_join(F.transform("then_categories", title_case), ", ").alias("then_title"),
+                      fixed("support", 3).alias("support"), fixed("confidence", 3).alias("confidence"),
+                      fixed("lift", 2).alias("lift"),
+                      I.confidence_tier(F.col("confidence")).alias("confidence_tier"))
+
+
+def _region_shelf_json(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    """One JSON shelf list per region (store): the region's nations on the default grid."""
+    n = table(spark, sf, "nation")
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")   # one store's shelves
+    k = F.row_number().over(w)
+    g = n.select("n_regionkey", "n_nationkey", k.alias("k"))
+    from ..sources.shelves import grid_position
+    x, y = grid_position(F.col("k"))
+    items = g.select("n_regionkey", F.struct(F.col("k").alias("k"),
+                                             F.concat(F.lit("Raf "), F.col("k").cast("string")).alias("name"),
+                                             x.alias("x"), y.alias("y")).alias("s"))
+    per = items.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("s")).alias("a"))
+    return per.select("n_regionkey", F.to_json(F.transform("a", lambda s: F.struct(
+        s["name"].alias("name"), s["x"].alias("x"), s["y"].alias("y")))).alias("cabinets"))
+
+
+@register("shelves_json", "S5 X15", sql=f"""SELECT n_regionkey,
+  CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos,
+  'Raf ' || CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS VARCHAR) AS name,
+  CAST((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) % 5) * 90 + 10 AS DOUBLE) AS x,
+  CAST((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) // 5) * 40 + 10 AS DOUBLE) AS y
+FROM nation""")
+def q_shelves_json(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.shelves import shelves_from_json
+    return shelves_from_json(_region_shelf_json(spark, sf), "cabinets", by=["n_regionkey"])

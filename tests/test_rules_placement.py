@@ -133,3 +133,26 @@ def test_scores_sum_lift_times_sides(spark):
     total = sum(r["lift"] * (len(r["if_categories"]) + len(r["then_categories"])) for r in pos)
     got = P.category_scores(a.positive).agg(F.sum("score")).first()[0]
     assert got == pytest.approx(total)
+
+
+def test_by_store_places_each_store_like_a_single_call(spark):
+    from pyspark.sql import Window
+
+    from aislekit.sources.shelves import shelves_from_json
+
+    docs = spark.createDataFrame([
+        ("s1", '[{"name":"A","x":0,"y":0},{"name":"B","x":100,"y":0},{"name":"C","x":40,"y":10}]'),
+        ("s2", '[{"name":"A","x":0,"y":0},{"name":"B","x":5,"y":5}]')], "store string, cabinets string")
+    shelves = shelves_from_json(docs, "cabinets", by=["store"])
+    sc = spark.createDataFrame([("s1", "x", 3.0), ("s1", "y", 2.0), ("s2", "x", 1.0), ("s2", "z", 4.0)],
+                               "store string, category string, score double")
+    sc = sc.withColumn("rank", F.row_number().over(Window.partitionBy("store").orderBy(F.desc("score"), "category")))
+    both = {(r["store"], r["shelf"]): r["category"] for r in P.place(shelves, sc, "maximize", by=["store"]).collect()}
+    for store in ("s1", "s2"):
+        one = P.place(shelves.where(F.col("store") == store).drop("store"),
+                      sc.where(F.col("store") == store).drop("store"), "maximize").collect()
+        assert {(store, r["shelf"]): r["category"] for r in one} == \
+            {k: v for k, v in both.items() if k[0] == store}
+    assert both[("s1", "C")] == "x"          # nearest the s1 centroid gets the best category
+    mini = {(r["store"], r["pos"]): r["category"] for r in P.place(shelves, sc, "minimize", by=["store"]).collect()}
+    assert mini == {("s1", 0): "x", ("s1", 1): "y", ("s2", 0): "z", ("s2", 1): "x"}
