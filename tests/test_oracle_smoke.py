@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 FAST = ["category_baskets", "frequent_itemsets", "support_fallback", "association_rules", "top_rules",
         "place_maximize", "place_minimize", "shelf_edges", "relation_matrix", "receipt_lines",
         "profile_numeric", "profile_categorical", "fold_ascii", "tfidf_terms", "stratified_split",
-        "nb_predict", "classification_report", "roc_auc_ovr", "receipt_predictions"]
+        "nb_predict", "classification_report", "roc_auc_ovr", "receipt_predictions", "rule_cards",
+        "shelves_json"]
 
 
 def _norm(v):
