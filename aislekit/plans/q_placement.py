@@ -7,13 +7,14 @@ brands), shelves from the default grid over ``nation`` (25) or ``supplier``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import insight as I
 from ..operators import placement as P
 from ..operators import rules as R
-from ..sources.shelves import shelf_grid
+from ..functions.text import fixed, title_case
+from ..sources.shelves import grid_position, shelf_grid, shelves_from_json
 from ..sources.tables import table
 from .driver_tables import cached_analysis, order_baskets
 from .q_rules import RULES_CTES, sql_itemsets_ctes
@@ -133,8 +134,7 @@ FROM sh, ctr""")
 def q_shelf_centre(spark: SparkSession, sf: str) -> DataFrame:
     sh = _nation_shelves(spark, sf)
     d = P.shelf_centre_distance(sh)
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(0)).orderBy("distance_to_center", "pos")
+    w = Window.orderBy("distance_to_center", "pos")   # shelves of one store: a bounded table
     return d.select("pos", "name", _r("distance_to_center"),
                     F.row_number().over(w).alias("centre_rank"),
                     F.round("cx", R6).alias("center_x"), F.round("cy", R6).alias("center_y"))
@@ -275,9 +275,6 @@ SELECT card, array_to_string(list_transform(a_items, lambda c: array_to_string(l
        CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.4 THEN 'medium' ELSE 'low' END AS confidence_tier
 FROM top WHERE card <= 10""")
 def q_rule_cards(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    from ..functions.text import fixed, title_case
     top = R.top_rules(_rules(spark, sf))
     w = Window.orderBy(F.col("lift").desc(), F.col("support").desc(), F.col("confidence").desc(),
                        F.concat_ws("|", "if_categories"), F.concat_ws("|", "then_categories"))
@@ -290,14 +287,11 @@ def q_rule_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _region_shelf_json(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     """One JSON shelf list per region (store): the region's nations on the default grid."""
     n = table(spark, sf, "nation")
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")   # one store's shelves
     k = F.row_number().over(w)
     g = n.select("n_regionkey", "n_nationkey", k.alias("k"))
-    from ..sources.shelves import grid_position
     x, y = grid_position(F.col("k"))
     items = g.select("n_regionkey", F.struct(F.col("k").alias("k"),
                                              F.concat(F.lit("Raf "), F.col("k").cast("string")).alias("name"),
@@ -314,5 +308,4 @@ def _region_shelf_json(spark: SparkSession, sf: str) -> DataFrame:
   CAST((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) // 5) * 40 + 10 AS DOUBLE) AS y
 FROM nation""")
 def q_shelves_json(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.shelves import shelves_from_json
     return shelves_from_json(_region_shelf_json(spark, sf), "cabinets", by=["n_regionkey"])

@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from aislekit.operators import features as FE
 from aislekit.plans import training as T
 from aislekit.streaming import score_receipt_stream
 
@@ -29,4 +28,3 @@ def test_stream_scores_each_file(spark):
     assert got[("a.csv", "Siparis_02", "simit")] == "bakery"
     assert ("b.csv", "Siparis_01", "yoğurt") in got
     assert len(rows) == 5
-    assert FE.MAX_FEATURES == 5000
