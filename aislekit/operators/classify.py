@@ -39,8 +39,8 @@ MODEL_CHOICES = ("naive_bayes", "decision_tree", "logistic_regression")
 # Class parameters travel inside the plan as a literal array; they are bounded by
 # the number of classes, which is checked against this ceiling.
 MAX_CLASSES = 10_000
-# (class, term) pairs up to this many rows are broadcast to the scoring join.
-NB_BROADCAST_ROWS = 2_000_000
+# (class, term) pairs up to this many rows (~60 bytes each, ~30 MB) are broadcast to the scoring join.
+NB_BROADCAST_ROWS = 500_000
 
 
 @dataclass

@@ -32,8 +32,8 @@ from .baskets import SupportChoice, basket_stats, choose_support
 TOP_RULES = 10
 
 # Itemset tables up to this many rows are broadcast to the rule joins; above it
-# the joins shuffle (AQE splits skewed keys).  Rows are ~100 bytes.
-ITEMSET_BROADCAST_ROWS = 2_000_000
+# the joins shuffle (AQE splits skewed keys).  Rows are ~100 bytes, so the bound is ~20 MB.
+ITEMSET_BROADCAST_ROWS = 200_000
 
 STATUS_INSUFFICIENT = "insufficient_transactions"
 STATUS_NO_ITEMSETS = "no_frequent_itemsets"
