@@ -40,23 +40,13 @@ def predict_categories(products: DataFrame, product_col: str, prepared: T.Prepar
         scores = C.naive_bayes_jll(nb, distinct, w)
         best = C.argmax_class(scores)
     else:
-        m = _ml_model(prepared, model_choice)
+        m = T.fitted_model(prepared, model_choice)
         m = C.MLModel(m.kind, m.model, T.FE.TfidfModel(prepared.tfidf.vocab, prepared.tfidf.n_docs, normalizer),
                       m.label_codes)
         best = C.argmax_class(m.predict(distinct, "doc_id", "text"), score="proba")
     return best.select(F.col("doc_id").alias("product"), F.col("predicted").alias("category"))
 
 
-def _ml_model(prepared: T.Prepared, kind: str) -> C.MLModel:
-    key = f"ml_{kind}"
-    if key not in prepared._cache:
-        train_docs = prepared.docs_of("train")
-        fit = C.fit_logistic_regression if kind == "logistic_regression" else C.fit_decision_tree
-        prepared._cache[key] = fit(train_docs, prepared.id_col, prepared.text_col, "label",
-                                   prepared.tfidf, prepared.codes)
-    return prepared._cache[key]
-
-
 def receipt_predictions(receipts: DataFrame, prepared: T.Prepared, model_choice: str = "naive_bayes",
                         normalizer: str = "fold") -> DataFrame:
     """``receipt_no, receipt_id, pos, product, category`` (category NULL if unscored)."""

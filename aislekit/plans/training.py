@@ -89,14 +89,19 @@ def nb_holdout(p: Prepared) -> tuple[DataFrame, DataFrame]:
     return pred, proba
 
 
+def fitted_model(p: Prepared, kind: str) -> C.MLModel:
+    """Logistic regression or decision tree fitted once per prepared catalogue."""
+    key = f"ml_{kind}"
+    if key not in p._cache:
+        fits = {"logistic_regression": C.fit_logistic_regression, "decision_tree": C.fit_decision_tree}
+        if kind not in fits:
+            raise ValueError(kind)
+        p._cache[key] = fits[kind](p.docs_of("train"), p.id_col, p.text_col, "label", p.tfidf, p.codes)
+    return p._cache[key]
+
+
 def ml_holdout(p: Prepared, kind: str) -> tuple[DataFrame, DataFrame]:
-    train_docs = p.docs_of("train")
-    if kind == "logistic_regression":
-        m = C.fit_logistic_regression(train_docs, p.id_col, p.text_col, "label", p.tfidf, p.codes)
-    elif kind == "decision_tree":
-        m = C.fit_decision_tree(train_docs, p.id_col, p.text_col, "label", p.tfidf, p.codes)
-    else:
-        raise ValueError(kind)
+    m = fitted_model(p, kind)
     test = p.rows("test")
     proba = m.predict(p.docs_of("test"), p.id_col, p.text_col)
     pred = (C.argmax_class(proba, score="proba").join(test, "doc_id")
