@@ -25,9 +25,16 @@ from .registry import register
 R6 = 6
 
 
+_RECEIPTS: dict = {}
+
+
 def _receipts(spark: SparkSession, sf: str) -> DataFrame:
-    conv = table(spark, sf, "conversations").where(F.col("text").isNotNull())
-    return receipts_from_texts(conv, "text", ["conv_id", "turn"])
+    """The parsed receipt file, once per process (its numbering pass is checkpointed)."""
+    key = (id(spark), sf)
+    if key not in _RECEIPTS:
+        conv = table(spark, sf, "conversations").where(F.col("text").isNotNull())
+        _RECEIPTS[key] = receipts_from_texts(conv, "text", ["conv_id", "turn"])
+    return _RECEIPTS[key]
 
 
 _PRODUCTS_SQL = f"""prod AS (SELECT DISTINCT product FROM rit),

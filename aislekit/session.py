@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of DataFrames that are garbage-collected are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
