@@ -50,12 +50,9 @@ class SupportChoice:
 
 
 def basket_stats(baskets: DataFrame) -> tuple[int, int]:
-    """A6 and the largest single-item count, in one aggregate pass each."""
-    item_counts = (baskets.select(F.explode("items").alias("item"))
-                   .groupBy("item").count())
-    n = baskets.count()
-    top = item_counts.agg(F.max("count")).first()[0]
-    return n, int(top or 0)
+    """A6 and the largest single-item count, from one job (two scalars to the driver)."""
+    row = support_choice_frame(baskets).first()
+    return int(row["n_transactions"] or 0), int(row["max_item_count"] or 0)
 
 
 def choose_support(n: int, max_item_count: int, support: float | None = None) -> SupportChoice:
@@ -90,8 +87,8 @@ def support_choice_frame(baskets: DataFrame, basket_set: str | None = None) -> D
            .agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("n"),
                 F.coalesce(F.max("_c"), F.lit(0)).alias("top")))
     s = (F.when(F.col("top") * 10 >= F.col("n"), F.lit(FIRST_SUPPORT))
-         .when((F.col("n") >= 2) & (F.col("top") >= 2), F.lit(2.0) / F.col("n"))
-         .otherwise(F.lit(1.0) / F.col("n")))
+         .when((F.col("n") >= 2) & (F.col("top") >= 2), F.try_divide(F.lit(2.0), F.col("n")))
+         .otherwise(F.try_divide(F.lit(1.0), F.col("n"))))
     cnt = (F.when(F.col("top") * 10 >= F.col("n"), F.ceil(F.col("n") / F.lit(10)))
            .when((F.col("n") >= 2) & (F.col("top") >= 2), F.lit(2))
            .otherwise(F.lit(1)))

@@ -79,6 +79,12 @@ def test_lift_positive_and_symmetric(spark):
         assert r["lift"] > 1 and r["support"] >= 1 / 7 - 1e-12
 
 
+def test_empty_input_is_insufficient(spark):
+    empty = spark.createDataFrame([], "basket_id long, items array<string>")
+    a = R.analyze(empty)
+    assert a.summary().first()["status"] == R.STATUS_INSUFFICIENT
+
+
 def test_status_outcomes(spark):
     one = R.analyze(_baskets(spark, [["a", "b"]]))
     assert one.summary().first()["status"] == R.STATUS_INSUFFICIENT
