@@ -83,3 +83,31 @@ def test_read_receipts_file_crlf_and_bom(spark):
     assert [r["items"] for r in rec] == [["Süt", "Ekmek"], ["Peynir", "Zeytin"], ["Çay"]]
     items = receipt_items(read_receipts(spark, path)).where("receipt_no = 2").orderBy("pos").collect()
     assert [(r["pos"], r["product"]) for r in items] == [(0, "Peynir"), (1, "Zeytin")]
+
+
+def test_blank_only_file_is_an_error(spark):
+    import pytest
+
+    from aislekit.sources.receipts import require_nonempty
+
+    d = tempfile.mkdtemp(prefix="aislekit-test-")
+    path = os.path.join(d, "empty.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n , ,\n\r\n   \n")
+    with pytest.raises(ValueError):
+        require_nonempty(read_receipts(spark, path))
+
+
+def test_shelf_names_must_be_unique(spark):
+    import pytest
+
+    from aislekit.sources.shelves import require_shelves, shelves_from_json
+
+    ok = spark.createDataFrame([('[{"name":"A","x":1,"y":2},{"name":"B","x":3,"y":4}]',)], "c string")
+    assert require_shelves(shelves_from_json(ok, "c")).count() == 2
+    dup = spark.createDataFrame([('[{"name":"A","x":1,"y":2},{"name":"A","x":3,"y":4}]',)], "c string")
+    with pytest.raises(ValueError):
+        require_shelves(shelves_from_json(dup, "c"))
+    empty = spark.createDataFrame([("[]",)], "c string")
+    with pytest.raises(ValueError):
+        require_shelves(shelves_from_json(empty, "c"))
