@@ -28,6 +28,17 @@ R6 = 6
 _RECEIPTS: dict = {}
 
 
+_REPORTS: dict = {}
+
+
+def _report(spark: SparkSession, sf: str) -> FL.BasketReport:
+    """One E2 basket report per process, shared by its summary and rule queries."""
+    key = (id(spark), sf)
+    if key not in _REPORTS:
+        _REPORTS[key] = FL.basket_report(_receipts(spark, sf), prepared(spark, sf))
+    return _REPORTS[key]
+
+
 def _receipts(spark: SparkSession, sf: str) -> DataFrame:
     """The parsed receipt file, once per process (its numbering pass is checkpointed)."""
     key = (id(spark), sf)
@@ -86,14 +97,13 @@ SELECT CASE WHEN (SELECT n FROM nn) <= 1 THEN 'insufficient_transactions'
        (SELECT n FROM nn) AS total_transactions, CAST((SELECT s FROM mc) AS DOUBLE) AS min_support_used,
        (SELECT count(*) FROM kept) AS total_positive_rules_found""")
 def q_basket_report(spark: SparkSession, sf: str) -> DataFrame:
-    rep = FL.basket_report(_receipts(spark, sf), prepared(spark, sf))
-    return rep.summary()
+    return _report(spark, sf).summary()
 
 
 @register("basket_report_rules", "R12 O1 O2", sql=f"""{FLOW_RULES}
 SELECT {RULE_SELECT} FROM kept ORDER BY lift DESC, support DESC, confidence DESC, if_key, then_key LIMIT 10""")
 def q_basket_report_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rep = FL.basket_report(_receipts(spark, sf), prepared(spark, sf))
+    rep = _report(spark, sf)
     if rep.analysis.positive is None:
         return _rule_cols(rep.top_rules())
     return _rule_cols(R.top_rules(rep.analysis.positive))
