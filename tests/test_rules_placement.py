@@ -162,3 +162,26 @@ def test_by_store_places_each_store_like_a_single_call(spark):
     assert both[("s1", "C")] == "x"          # nearest the s1 centroid gets the best category
     mini = {(r["store"], r["pos"]): r["category"] for r in P.place(shelves, sc, "minimize", by=["store"]).collect()}
     assert mini == {("s1", 0): "x", ("s1", 1): "y", ("s2", 0): "z", ("s2", 1): "x"}
+
+
+def test_verdict_and_fade_thresholds(spark):
+    from aislekit.operators import insight as I
+
+    # three pairs at distance 50, 150, 300 from shelf A; lifts 2.0 (strong) and 1.3 (weak)
+    shelves = spark.createDataFrame([(0, "A", 0.0, 0.0), (1, "B", 50.0, 0.0), (2, "C", 150.0, 0.0),
+                                     (3, "D", 300.0, 0.0), (4, "E", 0.0, 60.0)],
+                                    "pos long, name string, x double, y double")
+    assignment = spark.createDataFrame([("A", "a"), ("B", "b"), ("C", "c"), ("D", "d"), ("E", "e")],
+                                       "shelf string, category string")
+    rel = spark.createDataFrame([("a", "b", 2.0, 0.5), ("a", "c", 2.0, 0.5), ("a", "d", 2.0, 0.5),
+                                 ("a", "e", 1.3, 0.5), ("a", "z", 2.0, 0.5)],
+                                "src string, dst string, lift double, confidence double")
+    mx = {r["category_b"]: r["verdict"] for r in I.placement_verdict(rel, assignment, shelves, "maximize").collect()}
+    assert mx == {"b": "good", "c": "neutral", "d": "bad", "e": "neutral", "z": None}
+    mn = {r["category_b"]: r["verdict"] for r in I.placement_verdict(rel, assignment, shelves, "minimize").collect()}
+    assert mn == {"b": "bad", "c": "neutral", "d": "good", "e": "neutral", "z": None}
+    edges = {r["category_b"]: r for r in I.shelf_edges(rel, assignment, shelves, "minimize").collect()}
+    assert edges["b"]["fade"] == pytest.approx(1.0) and edges["d"]["fade"] == pytest.approx(100 / 350)
+    assert (edges["b"]["separation"], edges["c"]["separation"], edges["d"]["separation"]) == ("bad", None, "good")
+    assert "z" not in edges                                   # unassigned category: no edge
+    assert I.shelf_edges(rel, assignment, shelves, "maximize").where("fade IS NOT NULL").count() == 0
