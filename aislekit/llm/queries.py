@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from .pii import op10_pii
+from .quality_rules import op4_quality_rules
 from .quality_classifier import op9_quality_classifier
 from .wordpiece import op5_wordpiece_counts
 
@@ -45,5 +46,5 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shipping(q) for q in (
-    op5_wordpiece_counts, op9_quality_classifier, op10_pii)}
+    op4_quality_rules, op5_wordpiece_counts, op9_quality_classifier, op10_pii)}
 SQL: dict[str, str] = {}
