@@ -59,7 +59,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     df = df.select(*kept, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
     covered = F.transform("p", lambda x, j: F.least(F.lit(3), F.coalesce(F.get("p", j + 1) - x, F.lit(3))))
     df = df.select(*kept, F.aggregate(covered, F.lit(0), lambda a, x: a + x).alias("n_repeat_words"))
-    return df.select("doc_id", *[F.col(c).cast("long").alias(c) for c in df.columns[1:]])
+    # a filter on the result would be pushed below and repeat the work on words, so it is kept
+    return cut_lineage(df.select("doc_id", *[F.col(c).cast("long").alias(c) for c in df.columns[1:]]))
 
 
 def base_failed() -> Column:
@@ -96,6 +97,12 @@ def covers(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, [t.column() for t in rule], F.lit(True))
 
 
+def _interval(cuts: list[float], value: Column) -> Column:
+    """How many thresholds a value reaches; null for null."""
+    reached = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= value))
+    return F.when(value.isNotNull(), reached)
+
+
 def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p and p0 else -math.inf
 
@@ -112,9 +119,7 @@ def learn(stats: DataFrame, labels: DataFrame, plan: CoveringPlan = CoveringPlan
     found = rows.groupBy("bad").agg(*[F.percentile_approx(
         f"f_{n}", [i / plan.cuts for i in range(plan.cuts + 1)], 10000).alias(n) for n in names]).collect()
     cuts = {n: sorted({v for r in found for v in (r[n] or []) if v is not None}) for n in names}
-    interval = [F.struct(F.lit(n).alias("f"), F.size(F.filter(
-        F.array(*[F.lit(c) for c in cuts[n]]).cast("array<double>"), lambda c, n=n: c <= F.col(f"f_{n}"))).alias("b"))
-        for n in names if cuts[n]]
+    interval = [F.struct(F.lit(n).alias("f"), _interval(cuts[n], F.col(f"f_{n}")).alias("b")) for n in names if cuts[n]]
     if not interval:
         return []
     rules: list[Rule] = []
@@ -176,7 +181,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, plan: CoveringPlan = CoveringPlan()) -> DataFrame:
     """doc_id, the statistics, base_failed, kept and the number of the rejecting rule (null: none)."""
-    stats = cut_lineage(text_statistics(docs))
+    stats = text_statistics(docs)
     rules = learn(stats, labels, plan)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     tested = {f"f_{n}": c for n, c in feature_columns().items()}
