@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mixing_sql, op3_mixing
 from .pii import op10_pii
 from .quality_rules import op4_quality_rules
 from .quality_classifier import op9_quality_classifier
@@ -46,5 +47,5 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shipping(q) for q in (
-    op4_quality_rules, op5_wordpiece_counts, op9_quality_classifier, op10_pii)}
-SQL: dict[str, str] = {}
+    op3_mixing, op4_quality_rules, op5_wordpiece_counts, op9_quality_classifier, op10_pii)}
+SQL: dict[str, str] = {"op3_mixing": mixing_sql()}
