@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op1_fingerprints
 from .idfile import op7_token_ids
 from .mixing import mixing_sql, op3_mixing
 from .packing import op2_packing
@@ -49,5 +50,5 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shipping(q) for q in (
-    op2_packing, op3_mixing, op4_quality_rules, op5_wordpiece_counts, op7_token_ids, op9_quality_classifier, op10_pii)}
+    op1_fingerprints, op2_packing, op3_mixing, op4_quality_rules, op5_wordpiece_counts, op7_token_ids, op9_quality_classifier, op10_pii)}
 SQL: dict[str, str] = {"op3_mixing": mixing_sql()}
