@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import op1_fingerprints
 from .idfile import op7_token_ids
 from .mixing import mixing_sql, op3_mixing
+from .ngram_join import op8_ngram_join
 from .packing import op2_packing
 from .pii import op10_pii
 from .quality_rules import op4_quality_rules
@@ -50,5 +51,5 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shipping(q) for q in (
-    op1_fingerprints, op2_packing, op3_mixing, op4_quality_rules, op5_wordpiece_counts, op7_token_ids, op9_quality_classifier, op10_pii)}
+    op1_fingerprints, op2_packing, op3_mixing, op4_quality_rules, op5_wordpiece_counts, op7_token_ids, op8_ngram_join, op9_quality_classifier, op10_pii)}
 SQL: dict[str, str] = {"op3_mixing": mixing_sql()}
