@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,22 @@ def with_bucket(docs: DataFrame, bounds: list[int], borrow: bool = False) -> Dat
         if bounds else F.lit(False)
     df = df.withColumn("_to", F.explode(F.when(is_first, F.array(own, lent)).otherwise(F.array(own))))
     return df.withColumns({"_bucket": F.col("_to.b"), "_lent": F.col("_to.l")}).drop("_to")
+
+
+def bitmap_slot(doc_id: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << bits))
+
+
+def bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash of ``doc_id``: 2^bits bits, whatever the number of ids.  It only keeps most of
+    the other rows out of a shuffle, before an exact join."""
+    words = ids.select(bitmap_slot(F.col("doc_id"), bits).alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m")).collect()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    for r in words:
+        out[r["w"]] = r["m"]
+    return out
+
+
+def in_bitmap(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
