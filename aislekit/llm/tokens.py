@@ -2,8 +2,8 @@
 
 Both files split texts into words before merging, and a word's ids do not depend on its neighbours, so
 texts are cut at single spaces and line ends and only words that are new to the worker go through the library:
-straight to its merges if they are letters of Latin-1 only, else through all its steps.  A word with a stop or
-comma at its end is the word and that mark.
+straight to its merges if they are letters of Latin-1 only, else through all its steps.  A word with ASCII
+marks at its end is the word and those marks.
 Texts where such a cut is not safe (runs of white space, white space at an end) are encoded whole.
 Strings of special tokens in a text are ordinary text.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import os
 from array import array
+from string import punctuation
 
 import numpy as np
 
@@ -33,8 +34,9 @@ class WordCodec:
         self.spaces_kept = len(self.tokenizer.encode("a b", add_special_tokens=False).ids) != \
             len(self.tokenizer.encode("a  \n b", add_special_tokens=False).ids)
         self.limit = limit
-        self.marks = dict(zip(".,", self._library(["x.", "x,"]), strict=True))
-        self.marks = {m: ids[4:] for m, ids in self.marks.items()}  # without the x
+        steps = self.tokenizer.normalizer
+        self.lowers = steps is not None and steps.normalize_str("A") == "a"
+        self.marks: dict[str, bytes] = {}
         self.known: dict = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -42,7 +44,7 @@ class WordCodec:
 
     def _letters(self, word: str) -> bytes:
         """Ids of a word of Latin-1 letters, with the space before it where spaces are kept."""
-        if not self.spaces_kept:
+        if self.lowers:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_LETTER)
@@ -50,18 +52,26 @@ class WordCodec:
             word = _LETTER[32] + word
         return array("I", [p.id for p in self.tokenizer.model.tokenize(word)]).tobytes()
 
+    def _marks(self, marks: str) -> bytes:
+        """Ids of ASCII punctuation after a letter."""
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self._library(["x" + marks])[0][4:]  # without the x
+        return self.marks[marks]
+
     def _learn(self, keys: list) -> None:
         """Adds what can be cut."""
         known, others = self.known, []
         for k in keys:
             if type(k) is str and k:
-                stem = k[:-1] if k[-1] in ".," else k
+                stem = k.rstrip(punctuation)
                 if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
                     ids = known.get(stem)
                     if ids is None:
                         ids = known[stem] = self._letters(stem)
-                    if stem is not k:
-                        known[k] = ids + self.marks[k[-1]]
+                    if len(stem) < len(k):
+                        known[k] = ids + self._marks(k[len(stem):])
                     continue
             whole = self._characters(k)
             if whole is not None:
@@ -72,6 +82,12 @@ class WordCodec:
     def _cut(self, text: str) -> list:
         """Keys of the words of a text; a key stands for the same characters in every text."""
         if not self.spaces_kept:
+            if self.lowers:  # in Latin-1, letter by letter: so it may be done at once
+                try:
+                    text.encode("latin-1")
+                    text = text.lower()
+                except UnicodeEncodeError:
+                    pass
             return text.replace("\n", " ").split(" ")
         words = text.replace("\n", " \n").split(" ")
         words[0] = (words[0],)  # no space before it
