@@ -34,14 +34,9 @@ LR_MAX_ITER = 5000
 LR_TOL = 1e-4                # the reference estimator's default stopping tolerance
 TREE_SEED = 42
 TREE_MAX_DEPTH = 30          # Spark's ceiling; the reference grows the tree without limit
+TREE_MAX_BINS = 32           # Spark's default number of threshold candidates
 MODEL_CHOICES = ("naive_bayes", "decision_tree", "logistic_regression")
 
-# Class parameters travel inside the plan as a literal array; they are bounded by
-# the number of classes, which is checked against this ceiling.
-MAX_CLASSES = 10_000
-# (class, term) pairs up to this many rows (~60 bytes each, ~30 MB) are broadcast to the scoring join.
-NB_BROADCAST_ROWS = 500_000
-
 
 @dataclass
 class NaiveBayesModel:
@@ -74,27 +69,52 @@ def fit_naive_bayes(tfidf: DataFrame, labels: DataFrame, label_codes: DataFrame,
     return NaiveBayesModel(cut_lineage(classes), cut_lineage(features), alpha, vocab_size)
 
 
-def naive_bayes_jll(model: NaiveBayesModel, doc_ids: DataFrame, tfidf: DataFrame) -> DataFrame:
-    """Joint log-likelihood per (doc_id, class): ``doc_id, label, code, jll``."""
-    cls = model.classes.collect()
-    if len(cls) > MAX_CLASSES:
-        raise ValueError(f"{len(cls)} classes exceed MAX_CLASSES={MAX_CLASSES}")
-    la = math.log(model.alpha)
-    arr = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["code"]).alias("code"),
-                             F.lit(r["log_prior"]).alias("lp"), F.lit(r["log_norm"]).alias("ln"))
-                    for r in cls])
+def _class_sums(model: NaiveBayesModel, doc_ids: DataFrame, tfidf: DataFrame) -> DataFrame:
+    """``doc_id, X, sp``: the weights' sum, and a map from class code to the sparse part of its score.
+
+    The model is grouped by term (an array of (code, delta)), so a document's tokens meet each term once and a
+    document stays one row; only classes seen with one of its terms are in its map.
+    """
+    la = model.features.join(model.classes.select("label", "code"), "label")
+    terms = la.groupBy("term").agg(F.collect_list(F.struct("code", "delta")).alias("by_class"))
+    parts = (tfidf.select("doc_id", "term", "tfidf").join(terms, "term", "left")
+             .select("doc_id", "tfidf", F.explode_outer("by_class").alias("c")))
+    sums = parts.groupBy("doc_id", "c.code").agg(F.sum(F.col("tfidf") * F.col("c.delta")).alias("sp"))
     xs = tfidf.groupBy("doc_id").agg(F.sum("tfidf").alias("X"))
-    base = (doc_ids.select("doc_id").join(xs, "doc_id", "left")
-            .select("doc_id", F.coalesce("X", F.lit(0.0)).alias("X"), F.explode(arr).alias("c"))
-            .select("doc_id", "c.label", "c.code",
-                    (F.col("c.lp") + F.col("X") * (F.lit(la) - F.col("c.ln"))).alias("base")))
-    feats = model.features.select("label", "term", "delta")
-    n_feats = model.features.count()
-    feats = F.broadcast(feats) if n_feats <= NB_BROADCAST_ROWS else feats
-    sparse = (tfidf.select("doc_id", "term", "tfidf").join(feats, "term")
-              .groupBy("doc_id", "label").agg(F.sum(F.col("tfidf") * F.col("delta")).alias("sp")))
-    return (base.join(sparse, ["doc_id", "label"], "left")
-            .select("doc_id", "label", "code", (F.col("base") + F.coalesce("sp", F.lit(0.0))).alias("jll")))
+    sparse = (sums.where(F.col("code").isNotNull()).groupBy("doc_id")
+              .agg(F.map_from_entries(F.collect_list(F.struct("code", "sp"))).alias("sp")))
+    return (doc_ids.select("doc_id").join(xs, "doc_id", "left").join(sparse, "doc_id", "left")
+            .select("doc_id", F.coalesce("X", F.lit(0.0)).alias("X"), "sp"))
+
+
+def _with_scores(model: NaiveBayesModel, doc_ids: DataFrame, tfidf: DataFrame) -> DataFrame:
+    """``doc_id, scores``: one row a document, its scores an array of (jll, -code, label) over all classes.
+
+    The class parameters are one row of the model, a scalar subquery of the plan.
+    """
+    la = math.log(model.alpha)
+    params = model.classes.agg(F.sort_array(F.collect_list(
+        F.struct("code", "label", "log_prior", "log_norm"))).alias("classes"))
+    docs = _class_sums(model, doc_ids, tfidf).withColumn("classes", params.scalar())
+
+    def one(c):
+        base = c["log_prior"] + F.col("X") * (F.lit(la) - c["log_norm"])
+        own = F.coalesce(F.try_element_at(F.col("sp"), c["code"]), F.lit(0.0))
+        return F.struct((base + own).alias("jll"), (-c["code"]).alias("nc"), c["label"].alias("label"))
+
+    return docs.select("doc_id", F.transform("classes", one).alias("scores"))
+
+
+def naive_bayes_jll(model: NaiveBayesModel, doc_ids: DataFrame, tfidf: DataFrame) -> DataFrame:
+    """Joint log-likelihood per (doc_id, class): ``doc_id, label, code, jll`` (for probabilities)."""
+    return (_with_scores(model, doc_ids, tfidf).select("doc_id", F.explode("scores").alias("s"))
+            .select("doc_id", "s.label", (-F.col("s.nc")).alias("code"), "s.jll"))
+
+
+def naive_bayes_predict(model: NaiveBayesModel, doc_ids: DataFrame, tfidf: DataFrame) -> DataFrame:
+    """The class of largest score per document, in its row; ties go to the smallest code."""
+    return (_with_scores(model, doc_ids, tfidf).select("doc_id", F.array_max("scores").alias("s"))
+            .select("doc_id", F.col("s.label").alias("predicted"), (-F.col("s.nc")).alias("predicted_code")))
 
 
 def probabilities(jll: DataFrame, score: str = "jll") -> DataFrame:
@@ -122,13 +142,17 @@ class MLModel:
     tfidf: TfidfModel
     label_codes: DataFrame
 
+    def predict_labels(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """``doc_id, predicted, predicted_code``: the model's own prediction."""
+        out = self.model.transform(tfidf_vectors(docs, id_col, text_col, self.tfidf))
+        return (out.select("doc_id", F.col("prediction").cast("int").alias("code")).join(self.label_codes, "code")
+                .select("doc_id", F.col("label").alias("predicted"), F.col("code").cast("int").alias("predicted_code")))
+
     def predict(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """``doc_id, label, code, proba`` per class + predictions via :func:`argmax_class`."""
-        feats = tfidf_vectors(docs, id_col, text_col, self.tfidf)
-        out = self.model.transform(feats)
-        codes = F.broadcast(self.label_codes)
+        """``doc_id, label, code, proba`` per class (for probability metrics)."""
+        out = self.model.transform(tfidf_vectors(docs, id_col, text_col, self.tfidf))
         probs = (out.select("doc_id", F.posexplode(vector_to_array("probability")).alias("code", "proba"))
-                 .join(codes, "code"))
+                 .join(self.label_codes, "code"))
         return probs.select("doc_id", "label", F.col("code").cast("int").alias("code"), "proba")
 
 
@@ -137,8 +161,8 @@ def _training_frame(train_docs: DataFrame, id_col: str, text_col: str, label: st
     feats = tfidf_vectors(train_docs, id_col, text_col, tfidf)
     w = balanced_weights(train_docs, label).select(F.col("label").alias(label), "weight")
     lab = (train_docs.select(F.col(id_col).alias("doc_id"), label)
-           .join(F.broadcast(w), label)
-           .join(F.broadcast(label_codes.select(F.col("label").alias(label), "code")), label))
+           .join(w, label)
+           .join(label_codes.select(F.col("label").alias(label), "code"), label))
     return feats.join(lab, "doc_id").select("doc_id", "features", F.col("code").cast("double").alias("y"),
                                              "weight")
 
@@ -162,9 +186,14 @@ def fit_logistic_regression(train_docs: DataFrame, id_col: str, text_col: str, l
 
 def fit_decision_tree(train_docs: DataFrame, id_col: str, text_col: str, label: str,
                       tfidf: TfidfModel, label_codes: DataFrame, max_depth: int = TREE_MAX_DEPTH,
-                      seed: int = TREE_SEED) -> MLModel:
-    """Gini tree, balanced weights, depth capped at Spark's maximum of 30."""
+                      seed: int = TREE_SEED, max_bins: int = TREE_MAX_BINS) -> MLModel:
+    """Gini tree, balanced weights.
+
+    The reference tries every value of a feature as a threshold and grows without limit; Spark tries
+    ``max_bins`` - 1 quantiles of it and stops at depth ``max_depth`` (30 is Spark's maximum), so splits may lie
+    elsewhere and very deep leaves stay together.
+    """
     data = _training_frame(train_docs, id_col, text_col, label, tfidf, label_codes)
     dt = DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="weight",
-                                impurity="gini", maxDepth=max_depth, seed=seed)
+                                impurity="gini", maxDepth=max_depth, maxBins=max_bins, seed=seed)
     return MLModel("decision_tree", dt.fit(data), tfidf, label_codes)

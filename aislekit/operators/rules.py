@@ -7,8 +7,8 @@ reference emits every non-empty proper split of each itemset.
 
 Two facts keep the rule stage cheap:
 
-* every split of an itemset is generated by a bitmask ``explode`` on the
-  executor holding that itemset, and its two sides' counts come from equi-joins
+* every split of an itemset is generated by a bitmask ``explode``, in blocks that long
+  itemsets spread over tasks, and its two sides' counts come from equi-joins
   against the itemset table (both sides are frequent by downward closure);
 * the mirrored rule of ``A -> C`` is ``C -> A`` from the *same* itemset, with
   the same support and lift, and confidence ``f(AC)/f(A)`` versus
@@ -31,9 +31,8 @@ from .baskets import SupportChoice, basket_stats, choose_support
 # Fixed values of the reference: at most 10 rules are displayed, positive means lift > 1.
 TOP_RULES = 10
 
-# Itemset tables up to this many rows are broadcast to the rule joins; above it
-# the joins shuffle (AQE splits skewed keys).  Rows are ~100 bytes, so the bound is ~20 MB.
-ITEMSET_BROADCAST_ROWS = 200_000
+# Split masks of an itemset are exploded this many bits at a time, so no row holds more than 2^12 of them.
+MASK_BITS = 12
 
 STATUS_INSUFFICIENT = "insufficient_transactions"
 STATUS_NO_ITEMSETS = "no_frequent_itemsets"
@@ -63,36 +62,52 @@ def frequent_itemsets(baskets: DataFrame, min_count: int, n: int,
     return its
 
 
-def rule_splits(itemsets: DataFrame, max_len: int | None = None) -> DataFrame:
-    """All non-empty proper (antecedent, consequent) splits of each itemset of size >= 2."""
-    multi = itemsets.where(F.col("k") >= 2)
-    if max_len is not None:
-        multi = multi.where(F.col("k") <= max_len)
-    masks = F.sequence(F.lit(1), F.expr("shiftleft(1, k) - 2"))
-    exploded = multi.select("items", "freq", F.explode(masks).alias("mask"))
+def mask_blocks(itemsets: DataFrame) -> DataFrame:
+    """Blocks of split masks of each itemset of size >= 2: ``items, freq, k, high``.
+
+    A BIGINT mask names the antecedent (bit i: item i).  Its bits above the lowest ``MASK_BITS`` are exploded
+    chunk by chunk; a block stands for all masks with these high bits.
+    """
+    df = itemsets.where(F.col("k") >= 2).select("items", "freq", "k", F.lit(0).cast("long").alias("high"))
+    for low in range(60 - 60 % MASK_BITS, 0, -MASK_BITS):
+        bits = F.greatest(F.least(F.col("k") - low, F.lit(MASK_BITS)), F.lit(0))
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, _bits) - 1"))).alias("_chunk")
+        df = df.withColumn("_bits", bits).select("*", chunk).select(
+            "items", "freq", "k", (F.col("high") + F.shiftleft("_chunk", low)).alias("high"))
+    return df
+
+
+def rule_splits(itemsets: DataFrame) -> DataFrame:
+    """All non-empty proper (antecedent, consequent) splits of each itemset of size >= 2.
+
+    The blocks of long itemsets are rebalanced, so one itemset does not stay in one task.
+    """
+    blocks = mask_blocks(itemsets).hint("rebalance").withColumn("_bits", F.least("k", F.lit(MASK_BITS)))
+    masks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, _bits) - 1")))
+    exploded = (blocks.select("items", "freq", "k", "high", masks.alias("_low"))
+                .withColumn("mask", F.col("high") + F.col("_low"))
+                .where("mask > 0 AND bit_count(mask) < k"))
 
     def side(bit: int):
-        return F.expr(f"filter(items, (x, i) -> (shiftright(mask, i) & 1) = {bit})")
+        return F.expr(f"filter(items, (x, i) -> (shiftright(mask, i) & 1L) = {bit})")
 
     return exploded.select(side(1).alias("if_categories"), side(0).alias("then_categories"),
                            F.col("freq").alias("freq_ab"))
 
 
-def association_rules(itemsets: DataFrame, n: int, max_len: int | None = None,
-                      broadcast_rows: int | None = None) -> DataFrame:
+def association_rules(itemsets: DataFrame, n: int) -> DataFrame:
     """Every rule with support, confidence and lift.
 
     Columns: if_categories, then_categories, freq_ab, freq_a, freq_b, support,
     confidence, lift.  Measures follow the reference's definitions:
     support = P(A u C), confidence = support / P(A), lift = confidence / P(C).
+    The joins to the two sides' counts are left to AQE, which knows their measured bytes.
     """
     sides = itemsets.select("items", "freq")
-    if broadcast_rows is not None:
-        sides = F.broadcast(sides) if broadcast_rows <= ITEMSET_BROADCAST_ROWS else sides
     a = sides.select(F.col("items").alias("if_categories"), F.col("freq").alias("freq_a"))
     c = sides.select(F.col("items").alias("then_categories"), F.col("freq").alias("freq_b"))
     nn = F.lit(float(n))
-    r = rule_splits(itemsets, max_len).join(a, "if_categories").join(c, "then_categories")
+    r = rule_splits(itemsets).join(a, "if_categories").join(c, "then_categories")
     s_ab, s_a, s_b = F.col("freq_ab") / nn, F.col("freq_a") / nn, F.col("freq_b") / nn
     conf = s_ab / s_a
     return r.select("if_categories", "then_categories", "freq_ab", "freq_a", "freq_b",
@@ -168,8 +183,7 @@ class RuleAnalysis:
             F.col("n_positive").cast("long").alias("total_positive_rules_found"))
 
 
-def analyze(baskets: DataFrame, support: float | None = None, max_len: int | None = None,
-            materialize: bool = True) -> RuleAnalysis:
+def analyze(baskets: DataFrame, support: float | None = None, materialize: bool = True) -> RuleAnalysis:
     """Threshold (A8) -> itemsets (A7) -> rules (A9) -> lift > 1 (F6) -> W5.
 
     ``support=None`` applies the reference's 0.1 -> 2/N -> 1/N fallback.
@@ -186,13 +200,12 @@ def analyze(baskets: DataFrame, support: float | None = None, max_len: int | Non
     its = frequent_itemsets(baskets, choice.min_count, n)
     if materialize:
         its = cut_lineage(its)
-    counts = its.agg(F.count(F.lit(1)).alias("n"),
-                     F.sum(F.when(F.col("k") >= 2, F.expr("shiftleft(CAST(1 AS BIGINT), k) - 2"))
-                           .otherwise(0)).alias("r")).first()
-    n_its, n_rules = int(counts["n"] or 0), int(counts["r"] or 0)
+    sizes = its.groupBy("k").count().collect()  # one row for each itemset length
+    n_its = sum(r["count"] for r in sizes)
+    n_rules = sum(r["count"] * (2 ** r["k"] - 2) for r in sizes)
     if n_rules == 0:
         return RuleAnalysis(choice, its, None, None, n_its, 0)
-    rules = association_rules(its, n, max_len, broadcast_rows=n_its)
+    rules = association_rules(its, n)
     positive = keep_stronger_direction(positive_filter(rules, n))
     return RuleAnalysis(choice, its, rules, positive, n_its, n_rules)
 

@@ -37,13 +37,12 @@ def predict_categories(products: DataFrame, product_col: str, prepared: T.Prepar
     if model_choice == "naive_bayes":
         nb = T.train_naive_bayes(prepared)
         w = prepared.tfidf.transform(distinct, "doc_id", "text", normalize=normalizer)
-        scores = C.naive_bayes_jll(nb, distinct, w)
-        best = C.argmax_class(scores)
+        best = C.naive_bayes_predict(nb, distinct, w)
     else:
         m = T.fitted_model(prepared, model_choice)
         m = C.MLModel(m.kind, m.model, T.FE.TfidfModel(prepared.tfidf.vocab, prepared.tfidf.n_docs, normalizer),
                       m.label_codes)
-        best = C.argmax_class(m.predict(distinct, "doc_id", "text"), score="proba")
+        best = m.predict_labels(distinct, "doc_id", "text")
     return best.select(F.col("doc_id").alias("product"), F.col("predicted").alias("category"))
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import profile as PR
 from ..sources.receipts import receipt_items, receipts_from_texts
-from ..session import spread
 from ..sources.tables import table
 from .registry import register
 
@@ -25,7 +24,7 @@ def _sql_normalize(c: str) -> str:
 @register("normalize_names", "X1 F1 F2 F3", sql=f"""SELECT doc_id, {_sql_normalize('text')} AS processed_text
 FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
 def q_normalize_names(spark: SparkSession, sf: str) -> DataFrame:
-    d = spread(table(spark, sf, "documents").dropna(subset=["text", "lang"]).select("doc_id", "text"), "doc_id")
+    d = table(spark, sf, "documents").dropna(subset=["text", "lang"]).select("doc_id", "text")
     return d.select("doc_id", X.normalize_train("text").alias("processed_text"))
 
 
@@ -71,8 +70,10 @@ def q_receipt_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- profiling
 
-_NUM = {"part": ["p_partkey", "p_size", "p_retailprice"], "orders": ["o_custkey", "o_totalprice"],
-        "lineitem": ["l_quantity", "l_extendedprice", "l_discount"]}
+# every numeric column of the tables (the query finds them by type)
+_NUM = {"part": ["p_partkey", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
+        "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                     "l_tax"]}
 _CAT = {"part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
         "lineitem": ["l_returnflag", "l_linestatus"]}
 
@@ -88,7 +89,7 @@ def _sql_describe_numeric(t: str, c: str) -> str:
 @register("profile_numeric", "P4", sql="\nUNION ALL\n".join(
     _sql_describe_numeric(t, c) for t, cs in _NUM.items() for c in cs))
 def q_profile_numeric(spark: SparkSession, sf: str) -> DataFrame:
-    d = PR.describe_tables({t: (table(spark, sf, t), cs) for t, cs in _NUM.items()})
+    d = PR.describe_tables({t: (table(spark, sf, t), PR.numeric_columns(table(spark, sf, t))) for t in _NUM})
     return d.select("tbl", "column", "count",
                     *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 

@@ -83,7 +83,7 @@ def nb_holdout(p: Prepared) -> tuple[DataFrame, DataFrame]:
     test = p.rows("test")
     tw = p.weights.join(test.select("doc_id"), "doc_id", "left_semi")
     jll = C.naive_bayes_jll(nb, test, tw)
-    pred = C.argmax_class(jll).join(test, "doc_id").select("doc_id", F.col("label").alias("y"),
+    pred = C.naive_bayes_predict(nb, test, tw).join(test, "doc_id").select("doc_id", F.col("label").alias("y"),
                                                           F.col("predicted").alias("p"))
     proba = C.probabilities(jll).select("doc_id", "label", "proba")
     return pred, proba
@@ -104,7 +104,7 @@ def ml_holdout(p: Prepared, kind: str) -> tuple[DataFrame, DataFrame]:
     m = fitted_model(p, kind)
     test = p.rows("test")
     proba = m.predict(p.docs_of("test"), p.id_col, p.text_col)
-    pred = (C.argmax_class(proba, score="proba").join(test, "doc_id")
+    pred = (m.predict_labels(p.docs_of("test"), p.id_col, p.text_col).join(test, "doc_id")
             .select("doc_id", F.col("label").alias("y"), F.col("predicted").alias("p")))
     return pred, proba.select("doc_id", "label", "proba")
 
