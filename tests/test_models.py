@@ -126,3 +126,13 @@ def test_metrics_match_brute_force(spark):
     weights = np.bincount(y, minlength=3) / n
     expect = sum(weights[k] * _auc(y == k, prob[:, k]) for k in range(3))
     assert auc["roc_auc"] == pytest.approx(expect)
+
+
+def test_naive_bayes_takes_many_classes(spark):
+    n = 12_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 6000).alias("term"),
+                                 F.lit(1.0).alias("tfidf"), F.concat(F.lit("c"), "id").alias("label"), F.col("id").cast("int").alias("code"))
+    nb = C.fit_naive_bayes(rows.select("doc_id", "term", "tfidf"), rows.select("doc_id", "label"), rows.select("label", "code"), 6000)
+    docs = spark.createDataFrame([(1, "t7", 1.0), (2, "t11", 1.0)], "doc_id long, term string, tfidf double")
+    got = {r["doc_id"]: r["predicted_code"] for r in C.naive_bayes_predict(nb, docs.select("doc_id"), docs).collect()}
+    assert got == {1: 7, 2: 11}  # the smaller code of two equal classes

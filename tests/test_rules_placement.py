@@ -185,3 +185,20 @@ def test_verdict_and_fade_thresholds(spark):
     assert (edges["b"]["separation"], edges["c"]["separation"], edges["d"]["separation"]) == ("bad", None, "good")
     assert "z" not in edges                                   # unassigned category: no edge
     assert I.shelf_edges(rel, assignment, shelves, "maximize").where("fade IS NOT NULL").count() == 0
+
+
+def test_masks_of_a_long_itemset_come_in_blocks(spark):
+    items = [f"i{n:02d}" for n in range(32)]
+    its = spark.createDataFrame([(items, 32, 5), (["a", "b"], 2, 7)], "items array<string>, k int, freq long")
+    blocks = R.mask_blocks(its)
+    got = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("high").alias("d"), F.max("high").alias("top")).collect()
+    found = {r["k"]: (r["n"], r["d"], r["top"]) for r in got}
+    high = 2 ** (32 - R.MASK_BITS)
+    assert found == {2: (1, 1, 0), 32: (high, high, (high - 1) << R.MASK_BITS)}
+
+
+def test_rule_splits_of_small_itemsets(spark):
+    its = spark.createDataFrame([(["a", "b", "c"], 3, 5), (["a"], 1, 9)], "items array<string>, k int, freq long")
+    got = {(tuple(r["if_categories"]), tuple(r["then_categories"])) for r in R.rule_splits(its).collect()}
+    assert got == {(("a",), ("b", "c")), (("b",), ("a", "c")), (("c",), ("a", "b")), (("a", "b"), ("c",)),
+                   (("a", "c"), ("b",)), (("b", "c"), ("a",))}
