@@ -3,8 +3,8 @@
 The top four bits of a word select how many ids it holds and how many bits each has; selector 0
 announces an escape: the next word is one value as it is.  A file is a Parquet table of blocks, one row for a run of
 whole documents in ascending doc_id order, with the documents' ids and lengths, the words, and
-every ``STRIDE`` words the number of values before them, so that a reader can start there.  All words of a
-block are decoded at once, selector by selector.
+every ``RUN`` values the number of words before them: no word crosses such a place, so that a reader can start
+there.  All words of a block are decoded at once, selector by selector.
 
 ``write_ids`` sends each doc_id range to one task, which encodes its texts in order; ``read_ids``
 decodes the blocks.  Spark's writer commits the files, so a lost executor leaves no half-written part.
@@ -33,25 +33,30 @@ from .tokens import codec
 # Fixed values of the format: values in a word and bits of each, by selector (0: escape, 1: not used).
 COUNTS = (1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
-STRIDE = 256
-BLOCK_IDS = 1 << 16
+RUN = 1024
+BLOCK_IDS = 1 << 18  #: of a row, or one document
 _SELECTOR = {c: s for s, c in enumerate(COUNTS) if s > 1}
 
 
+_BIT_LENGTHS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, as uint8."""
+    if not (values >> np.uint64(16)).any():
+        return _BIT_LENGTHS[values]
     bits = np.zeros(len(values), np.uint8)
     rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
+    for step in (32, 16):
         high = rest >> np.uint64(step)
         more = high > 0
         bits[more] += step
         rest = np.where(more, high, rest)
-    return bits + (rest > 0)
+    return bits + _BIT_LENGTHS[rest]
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of the values, and the number of values before every ``STRIDE``-th word."""
+    """Words of the values, and the number of words before every ``RUN``-th value."""
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     if not n:
@@ -59,6 +64,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     need = _bit_lengths(values)
     take = np.ones(n, np.uint8)
     widest, reach = need.copy(), 1
+    room = (RUN - np.arange(n, dtype=np.uint32) % RUN).astype(np.uint16)  # values up to the end of a run
     for selector in range(len(COUNTS) - 2, 1, -1):  # from 2 values a word to 60
         count = COUNTS[selector]
         if count > n:
@@ -67,13 +73,21 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             widest = np.maximum(widest[:-1], need[reach:])
             reach += 1
         fits = widest <= BITS[selector]
-        take[:len(fits)][fits] = count
-    starts: list[int] = []
-    at, steps = 0, take.tobytes()
-    while at < n:
-        starts.append(at)
-        at += steps[at]
-    first = np.array(starts, np.int64)
+        if not fits.any():  # nor do more values in fewer bits
+            break
+        fits &= room[:len(fits)] >= count
+        np.copyto(take[:len(fits)], count, where=fits)
+    # all runs step from word to word together
+    is_first = np.zeros(n, bool)
+    at = np.arange(0, n, RUN)
+    ends = np.minimum(at + RUN, n)
+    while len(at):
+        is_first[at] = True
+        at = at + take[at]
+        inside = at < ends
+        if not inside.all():
+            at, ends = at[inside], ends[inside]
+    first = np.flatnonzero(is_first)
     counts = take[first]
     escaped = need[first] > 60  # such a value stands alone, in the word after its selector
     place = np.arange(len(first)) + np.cumsum(escaped) - escaped
@@ -82,12 +96,12 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero((counts == count) & ~escaped)
         if len(rows):
             word = np.full(len(rows), selector << 60, np.uint64)
+            at = first[rows]
             for i in range(count):
-                word |= values[first[rows] + i] << np.uint64(i * BITS[selector])
+                word |= values[at + i] << np.uint64(i * BITS[selector])
             words[place[rows]] = word
     words[place[escaped] + 1] = values[first[escaped]]
-    before = np.searchsorted(place, np.arange(0, len(words), STRIDE), side="left")
-    return words, np.append(first, n)[before].astype(np.uint64)
+    return words, place[np.searchsorted(first, np.arange(0, n, RUN))].astype(np.uint64)
 
 
 def decode(words: np.ndarray) -> np.ndarray:
@@ -107,14 +121,15 @@ def decode(words: np.ndarray) -> np.ndarray:
         rows = np.flatnonzero((selector == s) & ~raw)
         if len(rows):
             mask = np.uint64((1 << BITS[s]) - 1)
+            word, at = words[rows], start[rows]
             for i in range(COUNTS[s]):
-                out[start[rows] + i] = (words[rows] >> np.uint64(i * BITS[s])) & mask
+                out[at + i] = (word >> np.uint64(i * BITS[s])) & mask
     out[start[raw]] = words[raw]
     return out
 
 
 BLOCK_SCHEMA = ("bucket int, block int, n_ids long, doc_ids array<long>, lengths array<long>, words binary, "
-                "values_before binary")
+                "words_before binary")
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -132,7 +147,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             words, before = encode(values.astype(np.uint64))
             row = (bucket, number, len(values), [d for d, _ in held], [len(ids) // 4 for _, ids in held],
                    words.astype("<u8").tobytes(), before.astype("<u8").tobytes())
-            return pd.DataFrame([row], columns=["bucket", "block", "n_ids", "doc_ids", "lengths", "words", "values_before"])
+            return pd.DataFrame([row], columns=["bucket", "block", "n_ids", "doc_ids", "lengths", "words", "words_before"])
 
         for frame in frames:
             for at in range(0, len(frame), 512):
