@@ -73,7 +73,7 @@ def split_lines(col) -> Column:
 
 
 def strip_bom(col) -> Column:
-    """Leading byte-order marks."""
+    """Leading byte-order marks (of a file's first row)."""
     return F.regexp_replace(_c(col), "^\\x{feff}+", "")
 
 
@@ -93,8 +93,27 @@ def title_case(col) -> Column:
 
 
 def fixed(col, digits: int) -> Column:
-    """``toFixed(n)`` as a rounded double."""
-    return F.round(_c(col), digits)
+    """``toFixed(n)``: text with n decimals, from the exact binary value of the double.
+
+    |x| = m / 2^k with a BIGINT m, so m * 10^n and 2^k are compared as exact decimals; halves go
+    away from zero.  Values under 2^-60 are zero; from 2^60 on a double has no decimals to round.
+    """
+    x = _c(col).cast("double")
+    size = F.abs(x)
+    k = F.greatest(F.least(F.lit(60) - F.floor(F.log2(size)), F.lit(120)), F.lit(0)).cast("int")
+
+    def power(n: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+    low, high = F.least(k, F.lit(60)), F.greatest(k - 60, F.lit(0))
+    scaled = (size * power(low).cast("double") * power(high).cast("double")).cast("long").cast("decimal(19,0)")
+    one = power(low).cast("decimal(19,0)") * power(high).cast("decimal(19,0)")
+    units = F.call_function("div", scaled * F.lit(2 * 10 ** digits).cast("decimal(8,0)") + one, one * F.lit(2).cast("decimal(1,0)"))
+    units = F.when(size < 2.0 ** -60, F.lit(0).cast("long")).otherwise(units)
+    whole = F.call_function("div", units, F.lit(10 ** digits).cast("long")).cast("string")
+    rest = F.lpad((units % F.lit(10 ** digits)).cast("string"), digits, "0")
+    text = F.concat(whole, F.lit("."), rest) if digits else whole
+    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def word_tokens(col) -> Column:

@@ -9,32 +9,44 @@ the shelf pairs that hold related categories (never all pairs).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .placement import _drop_g, _groups, euclid
 
-# Fixed values of the reference's display rules.
-CONF_HIGH, CONF_MEDIUM = 0.7, 0.4                  # I1
-LIFT_TIERS = [(3.0, "very_strong"), (2.0, "strong"), (1.5, "moderate"), (1.2, "weak")]  # I2
-TIER_DEFAULT = "very_weak"
-NEAR, FAR, STRONG_LIFT = 100.0, 200.0, 1.5         # I3, I8 pixel thresholds
-FADE_MIN, FADE_MAX = 50.0, 400.0                   # X11
-MAP_MARGIN = 30.0                                  # X10
 
+@dataclass(frozen=True)
+class Limits:
+    """Display rules; the defaults are fixed values of the reference."""
+    conf_high: float = 0.7          # I1
+    conf_medium: float = 0.4
+    lift_tiers: tuple[tuple[float, str], ...] = (   # I2, from the highest
+        (3.0, "very_strong"), (2.0, "strong"), (1.5, "moderate"), (1.2, "weak"))
+    tier_default: str = "very_weak"
+    near: float = 100.0             # I3, I8 pixels
+    far: float = 200.0
+    strong_lift: float = 1.5
+    fade_min: float = 50.0          # X11
+    fade_max: float = 400.0
 
-def confidence_tier(c: Column) -> Column:
+
+DEFAULT = Limits()
+MAP_MARGIN = 30.0                   # X10, fixed value of the reference
+
+
+def confidence_tier(c: Column, limits: Limits = DEFAULT) -> Column:
     """> 0.7 high, > 0.4 medium, else low."""
-    return (F.when(c > CONF_HIGH, "high").when(c > CONF_MEDIUM, "medium").otherwise("low"))
+    return F.when(c > limits.conf_high, "high").when(c > limits.conf_medium, "medium").otherwise("low")
 
 
-def lift_tier(lift: Column) -> Column:
+def lift_tier(lift: Column, limits: Limits = DEFAULT) -> Column:
     """> 3 very_strong, > 2 strong, > 1.5 moderate, > 1.2 weak, else very_weak."""
     out = F.when(lift.isNull(), F.lit(None).cast("string"))
-    for bound, name in LIFT_TIERS:
+    for bound, name in limits.lift_tiers:
         out = out.when(lift > bound, name)
-    return out.otherwise(TIER_DEFAULT)
+    return out.otherwise(limits.tier_default)
 
 
 def first_relation(relations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -44,15 +56,15 @@ def first_relation(relations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             .select(*by, "src", "dst", "r.lift", "r.confidence"))
 
 
-def fade(distance: Column) -> Column:
+def fade(distance: Column, limits: Limits = DEFAULT) -> Column:
     """X11: clamp to 50..400 and invert to 0..1."""
-    clamped = F.least(F.greatest(distance, F.lit(FADE_MIN)), F.lit(FADE_MAX))
-    return (F.lit(FADE_MAX) - clamped) / F.lit(FADE_MAX - FADE_MIN)
+    clamped = F.least(F.greatest(distance, F.lit(limits.fade_min)), F.lit(limits.fade_max))
+    return (F.lit(limits.fade_max) - clamped) / F.lit(limits.fade_max - limits.fade_min)
 
 
-def _verdict(goal: Column, distance: Column, lift: Column) -> Column:
-    strong = lift > STRONG_LIFT
-    near, far = distance < NEAR, distance > FAR
+def _verdict(goal: Column, distance: Column, lift: Column, limits: Limits) -> Column:
+    strong = lift > limits.strong_lift
+    near, far = distance < limits.near, distance > limits.far
     return (F.when(distance.isNull(), F.lit(None).cast("string"))
             .when(goal == "maximize", F.when(near & strong, "good").when(far & strong, "bad")
                   .otherwise("neutral"))
@@ -70,7 +82,7 @@ def _shelf_of(assignment: DataFrame, shelves: DataFrame, by: Sequence[str], suff
 
 
 def shelf_edges(relations: DataFrame, assignment: DataFrame, shelves: DataFrame, goal: str,
-                by: Sequence[str] = ()) -> DataFrame:
+                by: Sequence[str] = (), limits: Limits = DEFAULT) -> DataFrame:
     """Related pairs of assigned shelves with lift, distance, tier, fade, flag.
 
     fade and separation only apply to *minimize* (as in the reference).
@@ -84,13 +96,13 @@ def shelf_edges(relations: DataFrame, assignment: DataFrame, shelves: DataFrame,
     dist = euclid(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b"))
     g = F.lit(goal)
     minimize = g == "minimize"
-    strong = F.col("lift") > STRONG_LIFT
+    strong = F.col("lift") > limits.strong_lift
     return j.select(
         *by, "shelf_a", "shelf_b", "category_a", "category_b", "lift", "confidence",
-        dist.alias("distance"), lift_tier(F.col("lift")).alias("tier"),
-        F.when(minimize, fade(dist)).alias("fade"),
-        F.when(minimize & (dist > FAR) & strong, "good")
-        .when(minimize & (dist < NEAR) & strong, "bad").alias("separation"))
+        dist.alias("distance"), lift_tier(F.col("lift"), limits).alias("tier"),
+        F.when(minimize, fade(dist, limits)).alias("fade"),
+        F.when(minimize & (dist > limits.far) & strong, "good")
+        .when(minimize & (dist < limits.near) & strong, "bad").alias("separation"))
 
 
 def relation_matrix(relations: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -120,8 +132,8 @@ def category_detail(relations: DataFrame, scores: DataFrame, assignment: DataFra
                     by: Sequence[str] = ()) -> DataFrame:
     """Per category its score, rank, shelf and relations (long form).
 
-    One row per (category, relation) in relation order (lift desc); categories
-    without outgoing relations get one row with NULL relation columns.
+    One row per (category, relation); categories without outgoing relations get one row with NULL relation
+    columns.  :func:`category_detail_nested` sorts the relations.
     """
     by = list(by)
     shelf = assignment.select(*by, "category", "shelf")
@@ -137,7 +149,7 @@ def category_detail(relations: DataFrame, scores: DataFrame, assignment: DataFra
 
 
 def category_detail_nested(detail: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """I6 nested: one row per category, relations as an array sorted by lift desc."""
+    """I6/O5 nested: one row per category, relations as an array sorted by lift desc (ties: category desc)."""
     by = list(by)
     rel = F.struct(F.col("related_lift").alias("lift"), F.col("related_category").alias("category"),
                    F.col("related_shelf").alias("shelf"), F.col("related_tier").alias("tier"))
@@ -159,7 +171,7 @@ def shelf_detail(assignment: DataFrame, relations: DataFrame, by: Sequence[str]
 
 
 def placement_verdict(relations: DataFrame, assignment: DataFrame, shelves: DataFrame, goal: str,
-                      by: Sequence[str] = ()) -> DataFrame:
+                      by: Sequence[str] = (), limits: Limits = DEFAULT) -> DataFrame:
     """I8: for each related pair, both shelves (NULL if unassigned), distance and verdict.
 
     maximize: near (< 100) and lift > 1.5 good, far (> 200) and lift > 1.5 bad,
@@ -175,8 +187,8 @@ def placement_verdict(relations: DataFrame, assignment: DataFrame, shelves: Data
     d = euclid(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b"))
     d = F.when(d != 0, d)
     return j.select(*by, "category_a", "category_b", "lift", "confidence",
-                    lift_tier(F.col("lift")).alias("tier"), "shelf_a", "shelf_b",
-                    d.alias("distance"), _verdict(F.lit(goal), d, F.col("lift")).alias("verdict"))
+                    lift_tier(F.col("lift"), limits).alias("tier"), "shelf_a", "shelf_b",
+                    d.alias("distance"), _verdict(F.lit(goal), d, F.col("lift"), limits).alias("verdict"))
 
 
 def shelf_positions_scaled(shelves: DataFrame, width: float = 800.0, height: float = 500.0,

@@ -132,7 +132,7 @@ def unassigned_shelves(shelves: DataFrame, assignment: DataFrame, by: Sequence[s
     """Shelves without a category, with the reference's message."""
     by = list(by)
     left = shelves.select(*by, "pos", F.col("name").alias("shelf"))
-    return (left.join(assignment.select(*by, "shelf"), on=[*by, "shelf"], how="left_anti")
+    return (left.join(assignment.select(*by, "pos"), on=[*by, "pos"], how="left_anti")
             .withColumn("message", F.lit(MSG_UNASSIGNED)))
 
 
@@ -147,5 +147,5 @@ def recommendations_in_shelf_order(shelves: DataFrame, assignment: DataFrame,
     """Assigned shelves in their input order (unassigned ones skipped)."""
     by = list(by)
     return (shelves.select(*by, "pos", F.col("name").alias("shelf"))
-            .join(assignment.select(*by, "shelf", "category"), on=[*by, "shelf"])
+            .join(assignment.select(*by, "pos", "category"), on=[*by, "pos"])
             .orderBy(*by, "pos"))

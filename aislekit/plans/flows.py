@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..operators import placement as P
 from ..operators import rules as R
-from ..operators.baskets import category_baskets
+from ..operators.ordering import row_index
+from ..operators.baskets import category_baskets, duplicate_lone_basket
 from ..session import cut_lineage
-from ..sources.receipts import receipt_items
+from ..sources.receipts import receipt_items, require_nonempty
+from ..sources.shelves import require_shelves
 from . import training as T
 
 
@@ -60,6 +62,19 @@ def receipt_baskets(predictions: DataFrame) -> DataFrame:
     return category_baskets(predictions, "receipt_id", "category", out_basket="receipt_id")
 
 
+def receipt_results(predictions: DataFrame) -> DataFrame:
+    """One JSON object a receipt, ``{receipt_id, items: [{product, category}]}`` or, where no product could be
+    classified, ``{receipt_id, error}``, with its place ``rank`` by receipt id as text (O4)."""
+    item = F.struct("pos", "product", "category")
+    per = predictions.groupBy("receipt_no", "receipt_id").agg(
+        F.sort_array(F.collect_list(item)).alias("all"), F.count("category").alias("n"))
+    items = F.transform("all", lambda x: F.struct(x["product"].alias("product"), x["category"].alias("category")))
+    good = F.to_json(F.struct("receipt_id", items.alias("items")))
+    bad = F.to_json(F.struct("receipt_id", F.lit("no product could be classified").alias("error")))
+    out = per.select("receipt_no", "receipt_id", F.when(F.col("n") > 0, good).otherwise(bad).alias("json"))
+    return row_index(out, ["receipt_id", "receipt_no"], "rank")
+
+
 def receipt_json(predictions: DataFrame) -> DataFrame:
     """JSON lines ``{receipt_id, pos, product, category}`` sorted by receipt id as text
     and position.
@@ -91,8 +106,11 @@ class BasketReport:
 
 def basket_report(receipts: DataFrame, prepared: T.Prepared, model_choice: str = "naive_bayes",
                   support: float | None = None) -> BasketReport:
-    """Predictions per receipt plus the association analysis of their category baskets."""
-    pred = cut_lineage(receipt_predictions(receipts, prepared, model_choice))
+    """Predictions per receipt plus the association analysis of their category baskets.
+
+    Receipts without any item are an error (S2).
+    """
+    pred = cut_lineage(receipt_predictions(require_nonempty(receipts), prepared, model_choice))
     baskets = receipt_baskets(pred.where(F.col("category").isNotNull()))
     return BasketReport(pred, R.analyze(baskets, support=support))
 
@@ -131,23 +149,27 @@ class ShelfPlan:
 
 
 def shelf_optimization(receipts: DataFrame, shelves: DataFrame, prepared: T.Prepared, goal: str,
-                       model_choice: str = "naive_bayes", strict: bool = False) -> ShelfPlan:
+                       model_choice: str = "naive_bayes", strict: bool = False,
+                       support: float | None = None) -> ShelfPlan:
     """Receipts -> categories -> baskets (U4) -> rules -> placement.
 
+    ``support=None`` is the reference's fallback.  Receipts without any item, no shelf, or two shelves of one
+    name are errors (S2, S5).
+
     When the rule analysis ends without positive rules the reference answers
     with an error; ``strict=True`` raises ValueError, otherwise the plan carries
     the status and leaves every shelf unassigned.
     """
     if goal not in P.GOALS:
         raise ValueError(f"goal must be one of {P.GOALS}")
-    pred = receipt_predictions(receipts, prepared, model_choice)
+    shelves = require_shelves(shelves)
+    pred = receipt_predictions(require_nonempty(receipts), prepared, model_choice)
     baskets = cut_lineage(receipt_baskets(pred.where(F.col("category").isNotNull())).select("items"))
     n = baskets.count()
     if n == 0:
         raise ValueError("no receipt holds a product that could be classified")
-    if n == 1:   # U4: duplicate a lone basket
-        baskets = baskets.unionByName(baskets)
-    a = R.analyze(baskets)
+    baskets = duplicate_lone_basket(baskets, n)   # U4
+    a = R.analyze(baskets, support=support)
     n_pos = a.positive.count() if a.positive is not None else 0
     status = (R.STATUS_INSUFFICIENT if a.n <= 1 else R.STATUS_NO_ITEMSETS if a.n_itemsets == 0
               else R.STATUS_NO_RULES if a.n_rules == 0 else R.STATUS_NO_POSITIVE if n_pos == 0

@@ -91,9 +91,9 @@ frel AS (SELECT src, dst, max(lift) AS lift,
          FROM rel GROUP BY src, dst)"""
 
 
-def _tier(c: str) -> str:
-    return (f"CASE WHEN {c} > 3 THEN 'very_strong' WHEN {c} > 2 THEN 'strong' WHEN {c} > 1.5 THEN 'moderate' "
-            f"WHEN {c} > 1.2 THEN 'weak' WHEN {c} IS NULL THEN NULL ELSE 'very_weak' END")
+def _tier(c: str, limits: I.Limits = I.DEFAULT) -> str:
+    steps = " ".join(f"WHEN {c} > {bound} THEN '{name}'" for bound, name in limits.lift_tiers)
+    return f"CASE {steps} WHEN {c} IS NULL THEN NULL ELSE '{limits.tier_default}' END"
 
 
 ASSIGN_COLS = "pos, shelf, category, reason, round(score, 6) AS score, rank, round(distance_to_center, 6) AS distance_to_center, grp"
@@ -174,23 +174,41 @@ def q_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     return P.recommendations_in_shelf_order(sh, P.place(sh, scores, "maximize"))
 
 
-@register("shelf_edges", "I3 J8 F8 W6 X11 I2", sql=f"""WITH {sql_place_base()}
+# Second set of display rules, under which every tier, flag and verdict occurs in the driver's tables.
+TIGHT = I.Limits(lift_tiers=((1.06, "very_strong"), (1.045, "strong"), (1.03, "moderate"), (1.015, "weak")),
+                 near=150.0, far=150.0, strong_lift=1.02, conf_high=0.135, conf_medium=0.125)
+
+
+def _sql_edges(limits: I.Limits) -> str:
+    d = "sqrt((sa.x - sb.x) * (sa.x - sb.x) + (sa.y - sb.y) * (sa.y - sb.y))"
+    return f"""WITH {sql_place_base()}
 SELECT a.shelf AS shelf_a, b.shelf AS shelf_b, f.src AS category_a, f.dst AS category_b,
-       round(f.lift, 6) AS lift, round(f.confidence, 6) AS confidence,
-       round(sqrt((sa.x - sb.x) * (sa.x - sb.x) + (sa.y - sb.y) * (sa.y - sb.y)), 6) AS distance,
-       {_tier('f.lift')} AS tier,
-       round((400.0 - least(greatest(sqrt((sa.x - sb.x) * (sa.x - sb.x) + (sa.y - sb.y) * (sa.y - sb.y)), 50.0), 400.0)) / 350.0, 6) AS fade,
-       CASE WHEN sqrt((sa.x - sb.x) * (sa.x - sb.x) + (sa.y - sb.y) * (sa.y - sb.y)) > 200 AND f.lift > 1.5 THEN 'good'
-            WHEN sqrt((sa.x - sb.x) * (sa.x - sb.x) + (sa.y - sb.y) * (sa.y - sb.y)) < 100 AND f.lift > 1.5 THEN 'bad' END AS separation
+       round(f.lift, 6) AS lift, round(f.confidence, 6) AS confidence, round({d}, 6) AS distance,
+       {_tier('f.lift', limits)} AS tier,
+       round((400.0 - least(greatest({d}, 50.0), 400.0)) / 350.0, 6) AS fade,
+       CASE WHEN {d} > {limits.far} AND f.lift > {limits.strong_lift} THEN 'good'
+            WHEN {d} < {limits.near} AND f.lift > {limits.strong_lift} THEN 'bad' END AS separation
 FROM frel f JOIN amin a ON a.category = f.src JOIN amin b ON b.category = f.dst
-JOIN sh sa ON sa.name = a.shelf JOIN sh sb ON sb.name = b.shelf""")
-def q_shelf_edges(spark: SparkSession, sf: str) -> DataFrame:
+JOIN sh sa ON sa.name = a.shelf JOIN sh sb ON sb.name = b.shelf"""
+
+
+def _edges(spark: SparkSession, sf: str, limits: I.Limits) -> DataFrame:
     _, rel, scores, sh = _inputs(spark, sf)
-    e = I.shelf_edges(rel, P.place(sh, scores, "minimize"), sh, "minimize")
+    e = I.shelf_edges(rel, P.place(sh, scores, "minimize"), sh, "minimize", limits=limits)
     return e.select("shelf_a", "shelf_b", "category_a", "category_b", _r("lift"), _r("confidence"),
                     _r("distance"), "tier", _r("fade"), "separation")
 
 
+@register("shelf_edges", "I3 J8 F8 W6 X11 I2", sql=_sql_edges(I.DEFAULT))
+def q_shelf_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _edges(spark, sf, I.DEFAULT)
+
+
+@register("shelf_edges_tight", "I2 I3", sql=_sql_edges(TIGHT))
+def q_shelf_edges_tight(spark: SparkSession, sf: str) -> DataFrame:
+    return _edges(spark, sf, TIGHT)
+
+
 @register("relation_matrix", "I4 U3 W6", sql=f"""WITH {sql_place_base()}
 SELECT f.src AS row_category, f.dst AS col_category, r.rank AS row_pos, c.rank AS col_pos,
        round(f.lift, 6) AS lift, {_tier('f.lift')} AS tier
@@ -222,6 +240,20 @@ def q_category_detail(spark: SparkSession, sf: str) -> DataFrame:
                     F.round("related_lift", R6).alias("related_lift"), "related_tier", "related_shelf")
 
 
+@register("category_detail_sorted", "I6 O5", sql=f"""WITH {sql_place_base()},
+cd AS (SELECT s.category, s.score, s.rank, a.shelf, r.dst, r.lift, b.shelf AS related_shelf
+FROM sc s LEFT JOIN amax a ON a.category = s.category LEFT JOIN rel r ON r.src = s.category LEFT JOIN amax b ON b.category = r.dst)
+SELECT category, round(any_value(score), 6) AS score, any_value(rank) AS rank, any_value(shelf) AS shelf,
+       coalesce(string_agg(dst, '>' ORDER BY lift DESC, dst DESC) FILTER (dst IS NOT NULL), '') AS related,
+       count(dst) AS n_related FROM cd GROUP BY category""")
+def q_category_detail_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    _, rel, scores, sh = _inputs(spark, sf)
+    d = I.category_detail_nested(I.category_detail(rel, scores, P.place(sh, scores, "maximize")))
+    return d.select("category", _r("score"), "rank", "shelf",
+                    F.array_join(F.transform("relations", lambda r: r["category"]), ">").alias("related"),
+                    F.size("relations").cast("long").alias("n_related"))
+
+
 @register("shelf_detail", "I7 J13", sql=f"""WITH {sql_place_base()}
 SELECT a.shelf, a.category, a.reason, round(a.score, 6) AS score, a.rank, r.dst AS related_category,
        round(r.lift, 6) AS related_lift, {_tier('r.lift')} AS related_tier
@@ -233,23 +265,43 @@ def q_shelf_detail(spark: SparkSession, sf: str) -> DataFrame:
                     F.round("related_lift", R6).alias("related_lift"), "related_tier")
 
 
-@register("placement_verdict", "I8 J9", sql=f"""WITH {sql_place_base()},
+def _sql_verdict(goal: str, limits: I.Limits) -> str:
+    good, bad = ("d0 < {near}", "d0 > {far}") if goal == "maximize" else ("d0 > {far}", "d0 < {near}")
+    good, bad = (f"{x.format(near=limits.near, far=limits.far)} AND lift > {limits.strong_lift}" for x in (good, bad))
+    table = "amax" if goal == "maximize" else "amin"
+    return f"""WITH {sql_place_base()},
 pv AS (SELECT f.src AS category_a, f.dst AS category_b, f.lift, f.confidence, a.shelf AS shelf_a, b.shelf AS shelf_b,
               sqrt((sa.x - sb.x) * (sa.x - sb.x) + (sa.y - sb.y) * (sa.y - sb.y)) AS d0
-       FROM frel f LEFT JOIN amax a ON a.category = f.src LEFT JOIN amax b ON b.category = f.dst
+       FROM frel f LEFT JOIN {table} a ON a.category = f.src LEFT JOIN {table} b ON b.category = f.dst
        LEFT JOIN sh sa ON sa.name = a.shelf LEFT JOIN sh sb ON sb.name = b.shelf)
-SELECT category_a, category_b, round(lift, 6) AS lift, round(confidence, 6) AS confidence, {_tier('lift')} AS tier,
+SELECT category_a, category_b, round(lift, 6) AS lift, round(confidence, 6) AS confidence, {_tier('lift', limits)} AS tier,
        shelf_a, shelf_b, round(CASE WHEN d0 <> 0 THEN d0 END, 6) AS distance,
-       CASE WHEN d0 IS NULL OR d0 = 0 THEN NULL
-            WHEN d0 < 100 AND lift > 1.5 THEN 'good' WHEN d0 > 200 AND lift > 1.5 THEN 'bad' ELSE 'neutral' END AS verdict
-FROM pv""")
-def q_placement_verdict(spark: SparkSession, sf: str) -> DataFrame:
+       CASE WHEN d0 IS NULL OR d0 = 0 THEN NULL WHEN {good} THEN 'good' WHEN {bad} THEN 'bad' ELSE 'neutral' END AS verdict
+FROM pv"""
+
+
+def _verdicts(spark: SparkSession, sf: str, goal: str, limits: I.Limits) -> DataFrame:
     _, rel, scores, sh = _inputs(spark, sf)
-    v = I.placement_verdict(rel, P.place(sh, scores, "maximize"), sh, "maximize")
+    v = I.placement_verdict(rel, P.place(sh, scores, goal), sh, goal, limits=limits)
     return v.select("category_a", "category_b", _r("lift"), _r("confidence"), "tier", "shelf_a", "shelf_b",
                     _r("distance"), "verdict")
 
 
+@register("placement_verdict", "I8 J9", sql=_sql_verdict("maximize", I.DEFAULT))
+def q_placement_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    return _verdicts(spark, sf, "maximize", I.DEFAULT)
+
+
+@register("placement_verdict_tight", "I8", sql=_sql_verdict("maximize", TIGHT))
+def q_placement_verdict_tight(spark: SparkSession, sf: str) -> DataFrame:
+    return _verdicts(spark, sf, "maximize", TIGHT)
+
+
+@register("placement_verdict_apart", "I8", sql=_sql_verdict("minimize", TIGHT))
+def q_placement_verdict_apart(spark: SparkSession, sf: str) -> DataFrame:
+    return _verdicts(spark, sf, "minimize", TIGHT)
+
+
 @register("shelf_positions_scaled", "I9 A12 X10", sql=f"""WITH sh AS ({_sql_shelves('supplier')}),
 b AS (SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM sh)
 SELECT pos, name, x, y,
@@ -271,8 +323,10 @@ SELECT card, array_to_string(list_transform(a_items, lambda c: array_to_string(l
          string_split(lower(c), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')), ', ') AS if_title,
        array_to_string(list_transform(c_items, lambda c: array_to_string(list_transform(
          string_split(lower(c), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')), ', ') AS then_title,
-       round(support, 3) AS support, round(confidence, 3) AS confidence, round(lift, 2) AS lift,
-       CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.4 THEN 'medium' ELSE 'low' END AS confidence_tier
+       printf('%.3f', support) AS support, printf('%.3f', confidence) AS confidence,
+       printf('%.2f', lift) AS lift,
+       CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.4 THEN 'medium' ELSE 'low' END AS confidence_tier,
+       CASE WHEN confidence > 0.135 THEN 'high' WHEN confidence > 0.125 THEN 'medium' ELSE 'low' END AS tight_tier
 FROM top WHERE card <= 10""")
 def q_rule_cards(spark: SparkSession, sf: str) -> DataFrame:
     top = R.top_rules(_rules(spark, sf))
@@ -283,7 +337,8 @@ def q_rule_cards(spark: SparkSession, sf: str) -> DataFrame:
                       F.array_join(F.transform("then_categories", title_case), ", ").alias("then_title"),
                       fixed("support", 3).alias("support"), fixed("confidence", 3).alias("confidence"),
                       fixed("lift", 2).alias("lift"),
-                      I.confidence_tier(F.col("confidence")).alias("confidence_tier"))
+                      I.confidence_tier(F.col("confidence")).alias("confidence_tier"),
+                      I.confidence_tier(F.col("confidence"), TIGHT).alias("tight_tier"))
 
 
 def _region_shelf_json(spark: SparkSession, sf: str) -> DataFrame:

@@ -51,7 +51,8 @@ _SPLIT_ITEMS_SQL = (f"list_filter(list_transform(string_split_regex(line, '{X.IT
 
 
 SQL_RECEIPTS = f"""rt AS (
-  SELECT conv_id, turn, regexp_replace(text, '^\\x{{feff}}+', '') AS text FROM conversations WHERE text IS NOT NULL),
+  SELECT conv_id, turn, CASE WHEN row_number() OVER (ORDER BY conv_id, turn) = 1 THEN regexp_replace(text, '^\\x{{feff}}+', '') ELSE text END AS text
+  FROM conversations WHERE text IS NOT NULL),
 rlines AS (SELECT conv_id, turn, unnest(string_split_regex(text, '{X.LINE_BREAK}')) AS line,
                  unnest(range(1, len(string_split_regex(text, '{X.LINE_BREAK}')) + 1)) AS line_no FROM rt),
 rr AS (SELECT conv_id, turn, line_no, {_SPLIT_ITEMS_SQL} AS items FROM rlines),

@@ -18,22 +18,29 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.ordering import running_total
-from ..session import spread
 
 
 def receipts_from_texts(df: DataFrame, text_col: str, order_cols: Sequence[str],
-                        group_cols: Sequence[str] = ()) -> DataFrame:
+                        group_cols: Sequence[str] = (), file_cols: Sequence[str] | None = None) -> DataFrame:
     """Rows of text (ordered by ``order_cols``) -> ``receipt_no, receipt_id, items``.
 
     The concatenation of the texts in ``order_cols`` order is the receipt file.
-    Byte-order marks are stripped at the start of every text (the reference
-    strips the one at file start).  With ``group_cols`` (e.g. the file) the
+    Byte-order marks are stripped at the start of each file only: its first row in
+    ``file_cols`` (default: ``group_cols``).  With ``group_cols`` (e.g. the file) the
     numbering restarts for each group and the group columns are kept.
     """
     order_cols, group_cols = list(order_cols), list(group_cols)
     keys = group_cols + order_cols
-    df = spread(df.select(*keys, text_col), *keys)
-    lines = (df.select(*keys, X.split_lines(X.strip_bom(F.col(text_col))).alias("_lines"))
+    file_cols = group_cols if file_cols is None else list(file_cols)
+    at = F.struct(*keys)
+    df = df.select(*keys, text_col)
+    if file_cols:
+        firsts = df.groupBy(*file_cols).agg(F.min(at).alias("_first"))
+        df = df.join(firsts, file_cols)
+    else:
+        df = df.withColumn("_first", df.agg(F.min(at).alias("_first")).scalar())
+    text = F.when(at == F.col("_first"), X.strip_bom(F.col(text_col))).otherwise(F.col(text_col))
+    lines = (df.select(*keys, X.split_lines(text).alias("_lines"))
              .select(*keys,
                      F.filter(F.transform("_lines", X.split_items), lambda a: F.size(a) > 0)
                      .alias("_receipts")))
@@ -52,7 +59,7 @@ def read_receipts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
            .select(F.col("_metadata.file_path").alias("_file"),
                    F.col("_metadata.file_block_start").alias("_block"),
                    F.monotonically_increasing_id().alias("_line"), "value"))
-    return receipts_from_texts(raw, "value", ["_file", "_block", "_line"])
+    return receipts_from_texts(raw, "value", ["_file", "_block", "_line"], file_cols=["_file"])
 
 
 def receipt_items(receipts: DataFrame) -> DataFrame:

@@ -36,12 +36,13 @@ def shelf_grid(keys: DataFrame, k_col: str, by: list[str] | None = None) -> Data
 def shelves_from_json(df: DataFrame, json_col: str, by: list[str] | None = None) -> DataFrame:
     """A JSON array of ``{name, x, y}`` per row -> ``pos, name, x, y`` (+ ``by``).
 
-    Rows whose JSON is not a non-empty list are dropped; callers that need the
-    reference's hard error use :func:`require_shelves`.
+    A row whose JSON is not a non-empty list fails the query, as in the reference.
     """
     by = by or []
-    parsed = df.select(*by, F.from_json(F.col(json_col), SHELF_SCHEMA).alias("_s"))
-    return (parsed.where(F.size("_s") > 0)
+    parsed = F.from_json(F.col(json_col), SHELF_SCHEMA)
+    shelves = F.when(F.coalesce(F.size(parsed), F.lit(-1)) > 0, parsed).otherwise(
+        F.raise_error(F.lit("a shelf list must be a non-empty JSON array")).cast(SHELF_SCHEMA))
+    return (df.select(*by, shelves.alias("_s"))
             .select(*by, F.posexplode("_s").alias("pos", "_e"))
             .select(*by, "pos", "_e.name", "_e.x", "_e.y"))
 
