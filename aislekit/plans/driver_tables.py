@@ -64,7 +64,7 @@ def cached_analysis(spark: SparkSession, sf: str, name: str, support: float | No
     """
     from ..operators import rules as R
 
-    key = (id(spark), sf, name, support)
+    key = (spark.sparkContext.applicationId, sf, name, support)
     if key not in _ANALYSES:
         _ANALYSES[key] = R.analyze(baskets_by_name(spark, sf, name), support=support)
     return _ANALYSES[key]

@@ -21,7 +21,7 @@ _PREPARED: dict = {}
 
 
 def prepared(spark: SparkSession, sf: str) -> T.Prepared:
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _PREPARED:
         _PREPARED[key] = T.prepare(table(spark, sf, "documents"), "doc_id", "text", "lang")
     return _PREPARED[key]
