@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import spread
 from .ordering import running_total
 
 # Fixed values of the reference's preprocessing.
@@ -75,17 +74,19 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, normalize: str = "tra
     """M1/M2/M4: ``(doc_id, term, tf)`` for word 1- and 2-grams.
 
     ``normalize='train'`` applies X1 first (training side), ``'fold'`` applies
-    X2 (serving side of the reference), ``'none'`` neither.  Documents are
-    hash-partitioned by id once, *before* tokenising: the regex work runs in
-    parallel and the per-document aggregations below reuse that partitioning
-    instead of shuffling exploded tokens.
+    X2 (serving side of the reference), ``'none'`` neither.  A document's terms are
+    counted inside its row (runs of the sorted terms): neither text nor tokens are shuffled.
     """
-    raw = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "doc_id")
     tokens = X.train_tokens("_t") if normalize == "train" else X.word_tokens("_t")
-    exploded = (raw.select("doc_id", _prep(F.col("_text"), normalize).alias("_t"))
-                .select("doc_id", tokens.alias("_tok"))
-                .select("doc_id", F.explode(X.word_ngrams_1_2("_tok")).alias("term")))
-    return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = (docs.select(F.col(id_col).alias("doc_id"), _prep(F.col(text_col), normalize).alias("_t"))
+             .select("doc_id", tokens.alias("_tok"))
+             .select("doc_id", F.sort_array(X.word_ngrams_1_2("_tok")).alias("_s")))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1),
+                      lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    runs = terms.where(F.size("_s") > 0).select("doc_id", "_s", starts.alias("_at"))
+    counted = F.transform("_at", lambda i, j: F.struct(
+        F.get("_s", i).alias("term"), (F.coalesce(F.get("_at", j + 1), F.size("_s")) - i).cast("long").alias("tf")))
+    return runs.select("doc_id", F.explode(counted).alias("_c")).select("doc_id", "_c.term", "_c.tf")
 
 
 @dataclass

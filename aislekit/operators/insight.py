@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .placement import _drop_g, _groups, euclid
+from .placement import _drop_g, _groups, euclid, with_stats
 
 
 @dataclass(frozen=True)
@@ -194,14 +194,11 @@ def placement_verdict(relations: DataFrame, assignment: DataFrame, shelves: Data
 def shelf_positions_scaled(shelves: DataFrame, width: float = 800.0, height: float = 500.0,
                            by: Sequence[str] = ()) -> DataFrame:
     """Shelf positions scaled into a ``width x height`` box with a 30 px margin."""
-    s, g = _groups(shelves, by)
-    w = Window.partitionBy(*g)
-    j = (s.withColumn("min_x", F.min("x").over(w)).withColumn("max_x", F.max("x").over(w))
-         .withColumn("min_y", F.min("y").over(w)).withColumn("max_y", F.max("y").over(w)))
+    j = with_stats(shelves, by, min_x=F.min("x"), max_x=F.max("x"), min_y=F.min("y"), max_y=F.max("y"))
     rx = F.col("max_x") - F.col("min_x")
     ry = F.col("max_y") - F.col("min_y")
     sx = (F.lit(width) - 2 * MAP_MARGIN) / F.when(rx != 0, rx).otherwise(F.lit(1.0))
     sy = (F.lit(height) - 2 * MAP_MARGIN) / F.when(ry != 0, ry).otherwise(F.lit(1.0))
-    return _drop_g(j.select(*g, "pos", "name", "x", "y",
-                            ((F.col("x") - F.col("min_x")) * sx + MAP_MARGIN).alias("map_x"),
-                            ((F.col("y") - F.col("min_y")) * sy + MAP_MARGIN).alias("map_y")))
+    return j.select(*by, "pos", "name", "x", "y",
+                    ((F.col("x") - F.col("min_x")) * sx + MAP_MARGIN).alias("map_x"),
+                    ((F.col("y") - F.col("min_y")) * sy + MAP_MARGIN).alias("map_y"))

@@ -63,23 +63,24 @@ def category_scores(rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _drop_g(s.withColumn("rank", F.row_number().over(w)))
 
 
-def shelf_centre_distance(shelves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Distance of each shelf to the centroid of its group's shelves.
+def with_stats(shelves: DataFrame, by: Sequence[str], **stats: Column) -> DataFrame:
+    """``shelves`` with aggregates over each group (or over all), computed apart from the rows: no window
+    gathers a group."""
+    if by:
+        return shelves.join(shelves.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]), list(by))
+    one = shelves.agg(F.struct(*[c.alias(n) for n, c in stats.items()]).alias("s")).scalar()
+    return shelves.withColumn("_s", one).select(*shelves.columns, "_s.*")
 
-    The centroid is a window aggregate over the group (a store's shelves), so
-    no join is needed and the later rank window reuses the same partitioning.
-    """
-    sh, g = _groups(shelves, by)
-    w = Window.partitionBy(*g)
-    out = sh.withColumn("cx", F.avg("x").over(w)).withColumn("cy", F.avg("y").over(w))
-    return _drop_g(out.withColumn("distance_to_center",
-                                  euclid(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))))
+
+def shelf_centre_distance(shelves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distance of each shelf to the centroid of its group's shelves."""
+    out = with_stats(shelves, by, cx=F.avg("x"), cy=F.avg("y"))
+    return out.withColumn("distance_to_center", euclid(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
 
 
 def shelf_centre(shelves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Centroid per group."""
-    sh, g = _groups(shelves, by)
-    return _drop_g(sh.groupBy(*g).agg(F.avg("x").alias("center_x"), F.avg("y").alias("center_y")))
+    return shelves.groupBy(*by).agg(F.avg("x").alias("center_x"), F.avg("y").alias("center_y"))
 
 
 def place(shelves: DataFrame, scores: DataFrame, goal: str, by: Sequence[str] = ()) -> DataFrame:
@@ -97,6 +98,8 @@ def place(shelves: DataFrame, scores: DataFrame, goal: str, by: Sequence[str] =
     by = list(by)
     if goal == "maximize":
         d = shelf_centre_distance(shelves, by)
+        if not by:  # no more shelves than categories get one: a bounded top-k, then ranked
+            d = d.orderBy("distance_to_center", "pos").limit(scores.count())
         d, g = _groups(d, by)
         w = Window.partitionBy(*g).orderBy("distance_to_center", "pos")
         ranked = _drop_g(d.withColumn("rank", F.row_number().over(w)))

@@ -100,10 +100,10 @@ def quantiles_of_long(long: DataFrame, probs: Sequence[float] = QUANTILES) -> Da
     picks = wanted.select("column", "q", "h", F.explode(F.array(
         F.struct(F.lit("lo").alias("side"), F.floor("h").cast("long").alias("r")),
         F.struct(F.lit("hi").alias("side"), F.ceil("h").cast("long").alias("r")))).alias("p")
-    ).select("column", "q", "h", "p.side", "p.r")
-    hit = cum.join(F.broadcast(picks), on=[cum.column == picks.column,
-                                           picks.r >= cum.cum_start, picks.r < cum.cum_end])
-    vals = (hit.groupBy(picks.column.alias("column"), "q", "h")
+    ).select(F.col("column").alias("wanted"), "q", "h", "p.side", "p.r")
+    hit = cum.join(F.broadcast(picks), on=(F.col("column") == F.col("wanted"))
+                   & (F.col("r") >= F.col("cum_start")) & (F.col("r") < F.col("cum_end")))
+    vals = (hit.groupBy("column", "q", "h")
             .agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
                  F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi")))
     return vals.select("column", "q",

@@ -6,13 +6,18 @@ per (session, sf) is reused by the queries of one process.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import classify as C
 from ..operators import evaluate as E
 from ..operators import features as FE
-from ..sources.tables import table
+from ..session import ensure_checkpoint_dir
+from ..sources.tables import read_catalogue, table
+from . import persist as PS
 from . import training as T
 from .registry import register
 
@@ -275,3 +280,66 @@ def q_tree_predict(spark: SparkSession, sf: str) -> DataFrame:
 def q_model_compare(spark: SparkSession, sf: str) -> DataFrame:
     return T.compare_models(prepared(spark, sf)).select(
         "model", _r("accuracy"), _r("weighted_precision"), _r("log_loss"), _r("roc_auc"))
+
+
+# ---------------------------------------------------------------- files written below the shared folder and read back
+
+_FILES: dict = {}
+
+
+def _folder(spark: SparkSession, sf: str, name: str) -> tuple[str, bool]:
+    """A folder of this application below the checkpoint folder, and whether it is new."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    new = key not in _FILES
+    if new:
+        _FILES[key] = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return _FILES[key], new
+
+
+@register("catalogue_csv", "S1", sql="SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def q_catalogue_csv(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    path, new = _folder(spark, sf, "catalogue")
+    if new:
+        part.write.option("header", True).csv(path)
+    return read_catalogue(spark, path, part.schema)
+
+
+def _saved(spark: SparkSession, sf: str) -> dict:
+    path, new = _folder(spark, sf, "artefacts")
+    if new:
+        p = prepared(spark, sf)
+        PS.save_prepared(p, f"{path}/prepared")
+        PS.save_naive_bayes(T.train_naive_bayes(p), f"{path}/nb")
+    return PS.load_artifacts(spark, f"{path}/prepared") | {"nb": PS.load_naive_bayes(spark, f"{path}/nb")}
+
+
+@register("saved_sets", "S7", sql=f"""{CHAIN}
+SELECT s.split, s.label, count(DISTINCT s.doc_id) AS n_docs, count(*) AS n_weights, round(sum(t.tfidf), 4) AS weight
+FROM split s JOIN tfidf t USING (doc_id) GROUP BY s.split, s.label""")
+def q_saved_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return _saved(spark, sf)["sets"].groupBy("split", "label").agg(
+        F.count_distinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_weights"), F.round(F.sum("tfidf"), 4).alias("weight"))
+
+
+@register("saved_models", "S8", sql=f"""{CHAIN}
+SELECT doc_id, y, p FROM pred""")
+def q_saved_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Hold-out predictions of the loaded vocabulary and Naive Bayes model."""
+    a, docs = _saved(spark, sf), table(spark, sf, "documents")
+    test = a["split"].where("split = 'test'").select("doc_id", "label")
+    held = docs.join(test.select("doc_id"), "doc_id", "left_semi")
+    w = a["tfidf"].transform(held, "doc_id", "text")
+    return C.naive_bayes_predict(a["nb"], test, w).join(test, "doc_id").select(
+        "doc_id", F.col("label").alias("y"), F.col("predicted").alias("p"))
+
+
+@register("decode_labels", "J11 M8", sql=f"""{CHAIN}
+SELECT pred.doc_id, codes.code, pred.p AS label FROM pred JOIN codes ON codes.label = pred.p""")
+def q_decode_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted codes of the hold-out documents, decoded by the label table."""
+    p = prepared(spark, sf)
+    test = p.rows("test")
+    w = p.weights.join(test.select("doc_id"), "doc_id", "left_semi")
+    codes = C.naive_bayes_predict(T.train_naive_bayes(p), test, w).select("doc_id", F.col("predicted_code").alias("code"))
+    return codes.join(p.codes, "code").select("doc_id", "code", "label")

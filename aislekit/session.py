@@ -73,15 +73,3 @@ def cut_lineage(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df, *keys):
-    """Hash-partition ``df`` on ``keys`` into ``spark.sql.shuffle.partitions`` parts.
-
-    Used right before CPU-heavy per-row text work (regex tokenising, line
-    splitting): the explicit partition count keeps AQE from coalescing the
-    stage into a few tasks because its *input* bytes are small, and shuffling
-    raw text is cheaper than shuffling the exploded rows it turns into.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)

@@ -3,15 +3,16 @@
 A receipt file is not CSV: no quoting, items separated by ``,\\s*``.  Lines
 are numbered 1-based over the non-empty lines in file order (``Siparis_NN``).
 
-Numbering is exact and distributed: each text row carries its count of
-non-empty lines, a running total over the rows (range partitioned, see
-``operators.ordering``) gives each row its first receipt number, and lines
-inside a row are numbered by ``posexplode``.  No global window, no collect.
+Numbering is exact and distributed: a running total over the rows' keys and counts
+of non-empty lines (range partitioned, see ``operators.ordering``) gives each row its
+first receipt number, joined back by key, and lines inside a row are numbered by
+``posexplode``.  No global window, no collect.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,11 @@ def receipts_from_texts(df: DataFrame, text_col: str, order_cols: Sequence[str],
                      F.filter(F.transform("_lines", X.split_items), lambda a: F.size(a) > 0)
                      .alias("_receipts")))
     counted = lines.withColumn("_n", F.size("_receipts")).where(F.col("_n") > 0)
-    numbered = running_total(counted, order_cols, weight="_n", group_cols=group_cols, out="_last_no")
-    out = (numbered
+    # only the keys and counts are numbered; the receipts meet their numbers by key
+    numbered = running_total(counted.select(*keys, "_n"), order_cols, weight="_n", group_cols=group_cols, out="_last_no")
+    numbered = numbered.select(*[F.col(c).alias(f"_no_{c}") for c in keys], "_last_no")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_no_{c}")) for c in keys])
+    out = (counted.join(numbered, same)
            .select(*group_cols, F.posexplode("_receipts").alias("_i", "items"), "_last_no", "_n")
            .select(*group_cols, (F.col("_last_no") - F.col("_n") + F.col("_i") + 1).alias("receipt_no"), "items"))
     return out.select(*group_cols, "receipt_no", X.receipt_id("receipt_no").alias("receipt_id"), "items")

@@ -3,8 +3,9 @@
 The reference has no stream; this is the same stateless operator chain —
 parse receipt lines, classify each distinct product, emit one row per item —
 applied to receipt files as they land in a folder.  Each micro-batch is a
-plain DataFrame handed to the batch operators (``foreachBatch``), and the sink
-is append-only parquet, so a restarted query resumes from its checkpoint.
+plain DataFrame handed to the batch operators (``foreachBatch``) and written to
+its own folder ``batch_id=N``, replaced whole: a batch that is replayed after a
+restart writes the same rows to the same place.
 Receipt numbers restart per file, in line order, as the reference numbers the
 lines of one uploaded file.
 """
@@ -27,8 +28,7 @@ def _score_batch(prepared: Prepared, sink: str, model_choice: str):
         batch = batch.withColumn("_line", F.monotonically_increasing_id())
         receipts = receipts_from_texts(batch, "value", ["_block", "_line"], group_cols=["_file"])
         pred = FL.receipt_predictions(receipts, prepared, model_choice)
-        (pred.withColumn("batch_id", F.lit(epoch_id))
-         .write.mode("append").parquet(sink))
+        pred.write.mode("overwrite").parquet(f"{sink}/batch_id={epoch_id}")
 
     return run
 
