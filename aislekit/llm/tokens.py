@@ -24,12 +24,14 @@ _LETTER = {b: c for c, b in byte_letters().items()}  # fixed values of byte-leve
 class WordCodec:
     """``encode`` gives each text's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every word comes to it once only
         # white space is dropped between words, or kept as the start of the next one
         self.spaces_kept = len(self.tokenizer.encode("a b", add_special_tokens=False).ids) != \
             len(self.tokenizer.encode("a  \n b", add_special_tokens=False).ids)
@@ -37,18 +39,20 @@ class WordCodec:
         steps = self.tokenizer.normalizer
         self.lowers = steps is not None and steps.normalize_str("A") == "a"
         self.marks: dict[str, bytes] = {}
+        self.newline = self._library(["x\nx"])[0][4:-4]  # a line end between words
         self.known: dict = {}
+        self.before: dict = {}  # known before ``known`` was begun anew
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of Latin-1 letters, with the space before it where spaces are kept."""
+    def _letters(self, word: str, space: bool) -> bytes:
+        """Ids of a word of Latin-1 letters, after a space or not."""
         if self.lowers:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_LETTER)
-        if self.spaces_kept:
+        if space and self.spaces_kept:
             word = _LETTER[32] + word
         return array("I", [p.id for p in self.tokenizer.model.tokenize(word)]).tobytes()
 
@@ -61,18 +65,25 @@ class WordCodec:
         return self.marks[marks]
 
     def _learn(self, keys: list) -> None:
-        """Adds what can be cut."""
-        known, others = self.known, []
+        """Adds what can be cut, from the words known before if it is there."""
+        known, before, others = self.known, self.before, []
         for k in keys:
-            if type(k) is str and k:
-                stem = k.rstrip(punctuation)
-                if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                    ids = known.get(stem)
-                    if ids is None:
-                        ids = known[stem] = self._letters(stem)
-                    if len(stem) < len(k):
-                        known[k] = ids + self._marks(k[len(stem):])
-                    continue
+            ids = before.get(k)
+            if ids is not None:
+                known[k] = ids
+                continue
+            start, body = b"", k
+            if type(k) is tuple:
+                body, space = k[0], False
+            elif self.spaces_kept and k[:1] == "\n":
+                start, body, space = self.newline, k[1:], False
+            else:
+                space = True
+            stem = body.rstrip(punctuation)
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                ids = start + self._letters(stem, space)
+                known[k] = ids + self._marks(body[len(stem):]) if len(stem) < len(body) else ids
+                continue
             whole = self._characters(k)
             if whole is not None:
                 others.append((k, whole))
@@ -119,7 +130,7 @@ class WordCodec:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         get = self.known.get
         cuts = [self._cut(t) if t else [] for t in texts]
         found = [list(map(get, c)) for c in cuts]
