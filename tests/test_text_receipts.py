@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from aislekit.functions import text as X
@@ -48,7 +49,7 @@ def test_receipts_skip_empty_lines_and_number_1_based(spark):
     df = spark.createDataFrame([(0, "a\n\nb"), (1, "﻿c, d\r\n")], "k long, text string")
     rows = receipts_from_texts(df, "text", ["k"]).orderBy("receipt_no").collect()
     assert [r["receipt_id"] for r in rows] == ["Siparis_01", "Siparis_02", "Siparis_03"]
-    assert [r["items"] for r in rows] == [["a"], ["b"], ["c", "d"]]
+    assert [r["items"] for r in rows] == [["a"], ["b"], ["\ufeffc", "d"]]  # not the file's first row
 
 
 def test_receipt_ids_sort_as_text(spark):
@@ -99,8 +100,6 @@ def test_blank_only_file_is_an_error(spark):
 
 
 def test_shelf_names_must_be_unique(spark):
-    import pytest
-
     from aislekit.sources.shelves import require_shelves, shelves_from_json
 
     ok = spark.createDataFrame([('[{"name":"A","x":1,"y":2},{"name":"B","x":3,"y":4}]',)], "c string")
@@ -109,5 +108,29 @@ def test_shelf_names_must_be_unique(spark):
     with pytest.raises(ValueError):
         require_shelves(shelves_from_json(dup, "c"))
     empty = spark.createDataFrame([("[]",)], "c string")
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="non-empty JSON array"):
         require_shelves(shelves_from_json(empty, "c"))
+
+
+def test_fixed_rounds_the_exact_binary_value(spark):
+    cases = [(1.005, 2, "1.00"), (1.115, 2, "1.11"), (0.5, 3, "0.500"), (0.125, 2, "0.13"), (2.5, 0, "3"), (-1.115, 2, "-1.11"),
+             (0.0, 2, "0.00"), (1e-9, 3, "0.000"), (123456.789, 2, "123456.79"), (1e-70, 1, "0.0")]
+    for x, digits, text in cases:
+        got = spark.createDataFrame([(x,)], "x double").select(X.fixed("x", digits)).first()[0]
+        assert got == text, (x, digits, got)
+
+
+def test_only_the_first_row_loses_its_mark(spark):
+    rows = [(1, "﻿a, b\n﻿c, d"), (2, "﻿e")]
+    df = spark.createDataFrame(rows, "n long, t string")
+    got = {r["receipt_no"]: r["items"] for r in receipts_from_texts(df, "t", ["n"]).collect()}
+    assert got == {1: ["a", "b"], 2: ["﻿c", "d"], 3: ["﻿e"]}
+
+
+def test_broken_shelf_lists_fail(spark):
+    from aislekit.sources.shelves import shelves_from_json
+
+    for bad in ("[]", "{", None):
+        df = spark.createDataFrame([(bad,)], "j string")
+        with pytest.raises(Exception, match="non-empty JSON array"):
+            shelves_from_json(df, "j").collect()
