@@ -7,6 +7,7 @@ per (session, sf) is reused by the queries of one process.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -343,3 +344,26 @@ def q_decode_labels(spark: SparkSession, sf: str) -> DataFrame:
     w = p.weights.join(test.select("doc_id"), "doc_id", "left_semi")
     codes = C.naive_bayes_predict(T.train_naive_bayes(p), test, w).select("doc_id", F.col("predicted_code").alias("code"))
     return codes.join(p.codes, "code").select("doc_id", "code", "label")
+
+
+_CHECKED = ("naive_bayes", "decision_tree", "logistic_regression")
+
+
+@register("model_invariants", "M12 M13 M14 M15", sql=CHAIN + "\n" + "\nUNION ALL\n".join(f"""SELECT '{k}' AS model, (SELECT count(*) FROM te) AS n_docs,
+       (SELECT count(*) FROM te) * (SELECT count(*) FROM codes) AS n_probabilities, CAST(0 AS BIGINT) AS n_wrong_sums,
+       true AS beats_majority""" for k in _CHECKED))
+def q_model_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """One prediction a hold-out document, one probability a class, sums of 1, more right than the largest class."""
+    p = prepared(spark, sf)
+    frames = []
+    for kind in _CHECKED:
+        pred, proba = T.holdout(p, kind)
+        largest = pred.groupBy("y").count().agg(F.max("count").alias("largest"))
+        right = pred.agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("y") == F.col("p")).cast("long")).alias("right"))
+        sums = proba.groupBy("doc_id").agg(F.sum("proba").alias("s"), F.count(F.lit(1)).alias("n")).agg(
+            F.sum("n").alias("n_probabilities"), F.sum((F.abs(F.col("s") - 1) > 1e-6).cast("long")).alias("n_wrong_sums"))
+        row = right.withColumns({"largest": largest.scalar(), "n_probabilities": sums.select("n_probabilities").scalar(),
+                                 "n_wrong_sums": sums.select("n_wrong_sums").scalar()})
+        frames.append(row.select(F.lit(kind).alias("model"), "n_docs", "n_probabilities", "n_wrong_sums",
+                                 (F.col("right") > F.col("largest")).alias("beats_majority")))
+    return reduce(DataFrame.unionByName, frames)
