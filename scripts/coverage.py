@@ -14,7 +14,7 @@ IMPL = {
     "S3": "sources/receipts.receipts_from_texts (running_total numbering)", "S4": "sources/receipts.receipt_items",
     "S5": "sources/shelves.shelves_from_json, require_shelves", "S6": "sources/shelves.shelf_grid",
     "S7": "plans/persist.save_prepared (partitionBy split)", "S8": "plans/persist save/load of vocabulary, codes, NB, Spark ML models",
-    "S9": "plans/flows.receipt_json (JSON lines)",
+    "S9": "plans/flows.receipt_results (one object or error a receipt), receipt_json (a line an item)",
     "P1": "operators/profile.first_rows", "P2": "operators/profile.shape, profile_columns",
     "P3": "operators/profile.column_info, profile_columns", "P4": "operators/profile.describe_numeric, describe_tables, exact_quantiles",
     "P5": "operators/profile.describe_categorical", "P6": "operators/profile.null_counts, profile_columns",
@@ -53,9 +53,9 @@ IMPL = {
     "X15": "sources/shelves.shelves_from_json (from_json), plans/flows.receipt_json (to_json)",
     "M1": "functions/text.word_tokens, train_tokens", "M2": "functions/text.word_ngrams_1_2", "M3": "operators/features.fit_tfidf",
     "M4": "operators/features.doc_terms", "M5": "operators/features.fit_tfidf (smoothed idf + 1)", "M6": "operators/features.weigh",
-    "M7": "operators/features.label_codes", "M8": "operators/classify.argmax_class (label from code)",
+    "M7": "operators/features.label_codes", "M8": "operators/classify.naive_bayes_predict, MLModel.predict_labels (label from code)",
     "M9": "operators/features.stratified_split", "M10": "operators/features.balanced_weights",
-    "M11": "operators/classify.fit_naive_bayes, naive_bayes_jll", "M12": "operators/classify.fit_logistic_regression",
+    "M11": "operators/classify.fit_naive_bayes, naive_bayes_predict, naive_bayes_jll", "M12": "operators/classify.fit_logistic_regression",
     "M13": "operators/classify.fit_decision_tree", "M14": "plans/flows.predict_categories", "M15": "operators/classify.probabilities",
     "M16": "plans/flows.receipt_predictions", "M17": "plans/training.holdout",
     "R1": "operators/rules.analyze", "R2": "operators/rules.RuleAnalysis.status_col", "R3": "operators/placement.category_relations",
