@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,3 +105,29 @@ def bitmap(ids: DataFrame, bits: int) -> np.ndarray:
 
 def in_bitmap(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it does once the driver has
+    collected their handles, which else happens only now and then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def tidy(function):
+    """For a function over a partition's frames: at its end, what it has freed goes back to the system,
+    since the worker lives on beside those of other tasks."""
+    @functools.wraps(function)
+    def run(frames: Iterator) -> Iterator:
+        try:
+            yield from function(frames)
+        finally:
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return run

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import common
-from .common import key_bounds, with_bucket
+from .common import key_bounds, tidy, with_bucket
 from .words import constants, shingle_hashes, shingle_set, word_hashes
 
 
@@ -108,6 +108,7 @@ def edited_pairs(docs: DataFrame, plan: MinHashPlan = MinHashPlan()) -> DataFram
     """
     bounds = key_bounds(docs)
 
+    @tidy
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         minhash = MinHash(plan)
         # the document that waits for the next one: bucket, lent, doc_id, text
@@ -154,6 +155,7 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan()) -> DataF
     pairs.  Bands are counted before the join (map-side), which finds a band's smallest doc_id without
     gathering its members.
     """
+    @tidy
     def banded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         minhash = MinHash(plan)
         for frame in frames:

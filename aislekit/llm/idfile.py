@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import common
-from .common import key_bounds, with_bucket
+from .common import key_bounds, tidy, with_bucket
 from .tokens import codec
 
 # Fixed values of the format: values in a word and bits of each, by selector (0: escape, 1: not used).
@@ -137,6 +137,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
     bounds = key_bounds(docs)
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = codec(tokenizer)
         held: list[tuple[int | None, bytes]] = []
@@ -180,6 +181,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     index = file.select("bucket", "block", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("_blocks"))
     index = index.join(ranges, "bucket").select("bucket", "block", (F.col("_ranges") + F.col("_blocks")).alias("before"))
 
+    @tidy
     def documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():

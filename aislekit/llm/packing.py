@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import common
+from .common import tidy
 from .tokens import codec
 
 
@@ -71,6 +72,7 @@ def pieces(docs: DataFrame, plan: PackingPlan) -> DataFrame:
     end = np.array([plan.end_id], "<u4").tobytes()
     width = 4 * plan.capacity
 
+    @tidy
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = codec(plan.tokenizer)
         for frame in frames:

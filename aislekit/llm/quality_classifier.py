@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import crc_fold
+from .common import crc_fold, tidy
 
 THRESHOLD = 0.3
 
@@ -93,6 +93,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, plan: TrainingPlan) -> Dat
     picked = usable.orderBy(order, "doc_id", "label").limit(plan.max_docs)  # TakeOrderedAndProject
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
+    @tidy
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
         for frame in frames:
@@ -178,8 +179,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, column: str = "sco
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = _Words(shared.value)
-        for texts in parts:
-            yield pd.Series([score_text(t, words) for t in texts], dtype="float64")
+        yield from tidy(lambda parts: (pd.Series([score_text(t, words) for t in texts], dtype="float64") for texts in parts))(parts)
 
     return docs.withColumn(column, scored(F.col("text")))
 

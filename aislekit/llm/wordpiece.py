@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import tidy
 
 END = 256  #: the end-of-word symbol
 _UPPER = bytes(range(65, 91))
@@ -135,6 +136,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_pieces (long) of every whole text.  ``vocabulary`` is the path of the file on
     every machine, as installed with the tokenizers."""
 
+    @tidy
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = _Counts(automaton(vocabulary))
         for frame in frames:
