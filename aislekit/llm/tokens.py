@@ -24,7 +24,7 @@ _LETTER = {b: c for c, b in byte_letters().items()}  # fixed values of byte-leve
 class WordCodec:
     """``encode`` gives each text's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
