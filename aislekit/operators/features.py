@@ -190,7 +190,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
                       .alias("_test_quota")))
     keyed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))))
     numbered = running_total(keyed, ["_h", id_col], None, [label], out="_k")
-    out = numbered.join(F.broadcast(quotas), on=label)
+    out = numbered.join(quotas, on=label)
     return (out.withColumn("split", F.when(F.col("_k") <= F.col("_test_quota"), "test").otherwise("train"))
             .drop("_h", "_k", "_test_quota"))
 
