@@ -5,7 +5,7 @@ gives its transform (the byte before each suffix) and, by counting, where the su
 stands (the last-to-first mapping).  To merge shards, only their interleave is refined: the list of all
 shards' entries, which starts as shard after shard, right for prefixes of length 0.  One pass reads the
 transforms in the order of the interleave and deals the entries out by the byte read, which makes it right for prefixes
-one byte longer.  Ranks whose prefixes are equal so far carry one group number, dealt out along with them, so common
+one byte longer (the code takes two bytes at once).  Ranks whose prefixes are equal so far carry one group number, dealt out along with them, so common
 prefixes and repeated intervals come from the same passes, and suffixes are never compared again.  An entry alone in
 its group stays alone with any byte before it, so it is left out of further passes.
 
@@ -32,15 +32,14 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     Ranks of prefixes of 8 bytes are doubled in length until all suffixes differ or end.
     """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text
-    # bytes after a terminator do not count
     end = np.flatnonzero(text == 0)
-    left = end[np.searchsorted(end, np.arange(n))] - np.arange(n)  # bytes before the terminator
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | np.where(left > i, padded[i:n + i], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    left = np.repeat(end, np.diff(end, prepend=-1)) - np.arange(n)  # bytes before the terminator
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(7, np.uint8)), 8)
+    key = np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64)
+    short = np.flatnonzero(left < 8)  # bytes after a terminator do not count
+    drop = (64 - 8 * left[short]).astype(np.uint64)
+    key[short] = np.where(drop < 64, key[short] >> (drop % 64) << (drop % 64), np.uint64(0))
+    order = np.argsort(key)
     step = 8
     while True:
         new = np.ones(n, bool)
@@ -48,16 +47,16 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         longer = left >= step
-        if new.all() or not longer.any():
+        if new.all():
             return order
+        if not longer.any():
+            return np.argsort(rank * n + np.arange(n))  # equal suffixes by position
         after = np.zeros(n, np.int64)
         at = np.flatnonzero(longer)
         after[at] = rank[at + step]
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step *= 2
-        if step > int(left.max()) * 2:
-            return order
 
 
 class Shard:
@@ -83,13 +82,17 @@ def merge(shards: Sequence[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     shift = np.cumsum([0] + [len(x.before) for x in shards])
     before = np.concatenate([x.before for x in shards])
     back = np.concatenate([x.last_to_first + np.int32(f) for x, f in zip(shards, shift, strict=False)])
+    # two passes at once: both bytes before an entry, and where the suffix stands that starts with them
+    twice = before[back].astype(np.uint16) << np.uint16(8) | before
+    twice[(before == 0) | (before[back] == 0)] = 0
+    steps = [(before, back)] * (depth % 2) + [(twice, back[back])] * (depth // 2)
     entry = np.arange(shift[-1], dtype=np.int32)
     group = np.zeros(len(entry), np.int32)
-    for _ in range(depth):
-        read = before[entry]
+    for bytes_before, to in steps:
+        read = bytes_before[entry]
         deal = np.argsort(read, kind="stable")
         deal = deal[np.count_nonzero(read == 0):]  # nothing stands before a string's start
-        entry, byte, old = back[entry[deal]], read[deal], group[deal]
+        entry, byte, old = to[entry[deal]], read[deal], group[deal]
         new = np.ones(len(entry) + 1, bool)
         new[1:-1] = (byte[1:] != byte[:-1]) | (old[1:] != old[:-1])
         group = np.cumsum(new[:-1], dtype=np.int32)

@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,8 +111,10 @@ def in_bitmap(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps: it does once the driver has
     collected their handles, which else happens only now and then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # handles that others hold are seen the second time
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def tidy(function):

@@ -36,7 +36,7 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class TrainingPlan:
-    buckets: int = 1 << 16
+    buckets: int = 1 << 16  #: at most 2^16
     dim: int = 8
     min_gram: int = 3
     max_gram: int = 4
@@ -70,6 +70,7 @@ def repeats(words: list[str]) -> int:
 
 
 def _bag(text: str | None, plan: TrainingPlan, seen: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a text (at most 65,536 buckets) and their counts; a longest text's counts are scaled down."""
     ids: list[np.ndarray] = []
     words = (text or "").split()
     for w in words:
@@ -79,14 +80,15 @@ def _bag(text: str | None, plan: TrainingPlan, seen: dict[str, np.ndarray]) -> t
             f = seen[w] = np.array(word_features(w, plan), np.int32)
         ids.append(f)
     if not ids:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
+        return np.empty(0, np.uint16), np.empty(0, np.uint16)
     ids.append(np.zeros(repeats(words), np.int32))
     found, counts = np.unique(np.concatenate(ids), return_counts=True)
-    return found.astype(np.int32), (counts / counts.sum()).astype(np.float32)
+    counts = np.ceil(counts * min(1, 65535 / counts.max()))  # two bytes each
+    return found.astype(np.uint16), counts.astype(np.uint16)
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, plan: TrainingPlan) -> DataFrame:
-    """(label, ids, weights) of a bounded sample of labelled rows outside the held-out fold."""
+    """(label, ids, counts) of a bounded sample of labelled rows outside the held-out fold."""
     usable = (labels.select("doc_id", F.col("quality").cast("int").alias("label"))
               .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_fold(F.col("doc_id")) != 0)))
     order = F.md5(F.concat_ws(":", F.lit(plan.seed), F.col("doc_id").cast("string")).cast("binary"))
@@ -101,9 +103,9 @@ def training_bags(docs: DataFrame, labels: DataFrame, plan: TrainingPlan) -> Dat
                 rows = frame.iloc[part:part + 256]
                 made = [_bag(t, plan, seen) for t in rows["text"]]
                 yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "label": rows["label"].to_numpy(),
-                                    "ids": [a.tobytes() for a, _ in made], "weights": [b.tobytes() for _, b in made]})
+                                    "ids": [a.tobytes() for a, _ in made], "counts": [b.tobytes() for _, b in made]})
 
-    return texts.mapInPandas(bags, "doc_id long, label int, ids binary, weights binary")
+    return texts.mapInPandas(bags, "doc_id long, label int, ids binary, counts binary")
 
 
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], plan: TrainingPlan) -> Model:
@@ -122,7 +124,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], plan: TrainingPlan) -> M
     steps, done = plan.epochs * len(bags), 0
     for _ in range(plan.epochs):
         for i in rng.permutation(len(bags)):
-            y, ids, w = bags[i]
+            y, ids, counts = bags[i]
+            w = counts / max(1, counts.sum())
             rate = plan.rate * (1 - done / steps)
             done += 1
             hidden = w @ emb[ids] if len(ids) else np.zeros(plan.dim)
@@ -144,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, plan: TrainingPlan = TrainingPlan(
     """Learn from the labelled rows whose fold is not held out; at most ``max_docs`` reach the driver."""
     rows = training_bags(docs, labels, plan).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["ids"])))
-    return fit([(r["label"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weights"], np.float32))
+    return fit([(r["label"], np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint16))
                 for r in rows], plan)
 
 

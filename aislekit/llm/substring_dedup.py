@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, ensure_checkpoint_dir
 from . import common
 from .bwt import repeated_prefixes
-from .common import doc_key
+from .common import doc_key, tidy
 from .words import _power, constants, mix
 
 _BYTE = constants(4, 256)
@@ -88,6 +88,7 @@ def _listed(owner: np.ndarray, name: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 def shared_minimisers(texts: DataFrame, shards: int, plan: DedupPlan) -> DataFrame:
     """(owner, names): for every distinct text, its minimisers that another text has too (names of them)."""
+    @tidy
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         size = 0
@@ -123,7 +124,7 @@ def shared_minimisers(texts: DataFrame, shards: int, plan: DedupPlan) -> DataFra
                 raw = _raw(text)
                 if len(raw) < plan.length or (me := owner_of(raw)) in held:
                     continue
-                held[me] = np.unique(np.concatenate([np.unique(m) for _, m in minimisers(raw, plan)]))
+                held[me] = np.unique(np.concatenate([m[np.append(True, m[1:] != m[:-1])] for _, m in minimisers(raw, plan)]))
                 size += len(held[me])
                 if size >= 2_000_000:
                     yield out()
@@ -131,6 +132,7 @@ def shared_minimisers(texts: DataFrame, shards: int, plan: DedupPlan) -> DataFra
         if held:
             yield out()
 
+    @tidy
     def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owners, names, known, shard = [], [], [], 0
         for frame in frames:
@@ -167,7 +169,8 @@ def _runs(raw: bytes, shared: np.ndarray, shards: int, plan: DedupPlan) -> tuple
     for at, key in minimisers(raw, plan):
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         last = np.append(cut[1:], len(key))
-        mine = np.isin(_names(key[cut], shards), shared)
+        name = _names(key[cut], shards)
+        mine = shared[np.minimum(np.searchsorted(shared, name), len(shared) - 1)] == name
         for a, b in zip(cut[mine].tolist(), last[mine].tolist(), strict=True):
             for c in range(a, b, plan.run):
                 keys.append(key[a])
@@ -176,30 +179,34 @@ def _runs(raw: bytes, shared: np.ndarray, shards: int, plan: DedupPlan) -> tuple
     return np.array(keys, np.uint64), np.array(first, np.int64), np.array(end, np.int64)
 
 
-def _smallest_owners(strings: list[bytes], key: np.ndarray, least: np.ndarray, rows: np.ndarray, plan: DedupPlan) -> Iterator[tuple[int, int, int, int]]:
+def _smallest_owners(strings: list[bytes], key: np.ndarray, least: np.ndarray, rows: np.ndarray,
+                     plan: DedupPlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(string, first, end, doc): for every distinct run, the smallest document of each of its strings, where it
     may remove something."""
     _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
     several = counts[inverse] > 1
     width = np.array([len(s) for s in strings], np.int64) - plan.length + 1
-    for i in np.flatnonzero(~several & (rows > 1)).tolist():
-        yield i, 0, int(width[i]), int(least[i])
+    alone = np.flatnonzero(~several & (rows > 1))
     mine = np.flatnonzero(several)
-    if not len(mine):
-        return
+    of = np.repeat(np.arange(len(mine)), width[mine])
     shift = np.cumsum(width[mine]) - width[mine]
-    low = np.repeat(least[mine], width[mine])
-    string, offset, group = repeated_prefixes([strings[i] for i in mine], plan.length)
-    if len(group):
-        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        best = np.minimum.reduceat(least[mine][string], start)
-        low[shift[string] + offset] = np.repeat(best, np.diff(np.append(start, len(group))))
-    for j, i in enumerate(mine.tolist()):
-        part = low[shift[j]:shift[j] + width[i]]
-        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True):
-            if rows[i] > 1 or part[a] < least[i]:
-                yield i, a, b, int(part[a])
+    low = least[mine][of]
+    if len(mine):
+        string, offset, group = repeated_prefixes([strings[i] for i in mine], plan.length)
+        if len(group):
+            start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            best = np.minimum.reduceat(least[mine][string], start)
+            low[shift[string] + offset] = np.repeat(best, np.diff(np.append(start, len(group))))
+    # runs of strings of one text with the same smallest document
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (low[1:] != low[:-1])
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], len(of))
+    text = of[first]
+    keep = (rows[mine][text] > 1) | (low[first] < least[mine][text])
+    first, end, text = first[keep], end[keep], text[keep]
+    return (np.concatenate([alone, mine[text]]), np.concatenate([np.zeros(len(alone), np.int64), first - shift[text]]),
+            np.concatenate([width[alone], end - shift[text]]), np.concatenate([least[alone], low[first]]))
 
 
 def dedup(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
@@ -207,6 +214,7 @@ def dedup(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
     spark = docs.sparkSession
     one = docs.select(doc_key(docs).alias("k"), F.col("text").cast("string").alias("text"))
 
+    @tidy
     def sized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             raw = [_raw(t) for t in frame["text"].tolist()]
@@ -223,6 +231,7 @@ def dedup(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
         """(k, owner, text) of the documents ``ids`` names by rep; a bitmap keeps most others out of the shuffle."""
         bits = spark.sparkContext.broadcast(common.bitmap(ids.select(F.col("rep").alias("doc_id")), plan.bitmap_bits))
 
+        @tidy
         def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 frame = frame[common.in_bitmap(bits.value, frame["slot"].to_numpy())]
@@ -232,13 +241,14 @@ def dedup(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
         slot = common.bitmap_slot(F.col("k"), plan.bitmap_bits)
         return one.select("k", "text", slot.alias("slot")).mapInPandas(named, "k long, owner long, text string")
 
+    @tidy
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 128):
                 keys, places, strings, ks, owners = [], [], [], [], []
                 for row in frame.iloc[at:at + 128].itertuples():
                     raw = _raw(row.text)
-                    key, a, b = _runs(raw, np.concatenate([np.frombuffer(x, "<u8") for x in row.names]), shards, plan)
+                    key, a, b = _runs(raw, np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in row.names])), shards, plan)
                     strings += [raw[x:y + plan.length - 1] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                     keys.append(key)
                     places.append(a)
@@ -252,26 +262,36 @@ def dedup(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
     runs = texts.join(shared.select(F.col("rep").alias("k"), "owner", "names"), ["k", "owner"]).mapInPandas(
         cut, "key long, string binary, k long, owner long, pos long")
     path = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
-    runs.withColumn("sid", F.xxhash64("string")).write.parquet(path)  # read twice; overlaps compress well
+    runs.write.option("compression", "zstd").parquet(path)  # read twice; the strings' overlaps compress well
+    del texts, runs
+    common.release(spark)
     runs = spark.read.parquet(path)
+    sid = F.xxhash64("string")  # names a run together with its minimiser
 
+    @tidy
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(frames) or [pd.DataFrame()])
         if not len(frame):
             return
         keys, sids = frame["key"].to_numpy(), frame["sid"].to_numpy()
-        out = list(_smallest_owners(frame["string"].tolist(), keys, frame["least"].to_numpy(), frame["rows"].to_numpy(), plan))
-        i = np.array([x[0] for x in out], np.int64)
-        yield pd.DataFrame({"key": keys[i], "sid": sids[i], "first": [x[1] for x in out], "end": [x[2] for x in out], "least": [x[3] for x in out]})
-
-    distinct = runs.groupBy("key", "sid", "string").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("rows"))
-    least = (distinct.repartitionById(parts, F.pmod("key", F.lit(parts)).cast("int"))
-             .mapInPandas(merged, "key long, sid long, first long, end long, least long"))
-    spans = (runs.select("key", "sid", "k", "owner", "pos").join(least, ["key", "sid"]).where("least < k")
+        i, first_string, end, low = _smallest_owners(frame["string"].tolist(), keys, frame["least"].to_numpy(), frame["rows"].to_numpy(), plan)
+        yield pd.DataFrame({"key": keys[i], "sid": sids[i], "first": first_string, "end": end, "least": low})
+
+    distinct = runs.groupBy("key", "string").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("rows"))
+    (distinct.repartitionById(parts, F.pmod("key", F.lit(parts)).cast("int")).withColumn("sid", sid)
+     .mapInPandas(merged, "key long, sid long, first long, end long, least long")
+     .write.option("compression", "zstd").parquet(f"{path}-least"))
+    del distinct  # its shuffles are the largest
+    common.release(spark)
+    least = spark.read.parquet(f"{path}-least")
+    spans = (runs.select("key", sid.alias("sid"), "k", "owner", "pos").join(least, ["key", "sid"]).where("least < k")
              .groupBy("k", "owner").agg(F.collect_list(F.struct(
                  (F.col("pos") + F.col("first")).alias("a"), (F.col("pos") + F.col("end") + (plan.length - 1)).alias("b"))).alias("spans")))
     spans = cut_lineage(spans)
+    del runs, least
+    common.release(spark)
 
+    @tidy
     def removed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
