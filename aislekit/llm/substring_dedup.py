@@ -135,9 +135,10 @@ def shared_minimisers(texts: DataFrame, shards: int, plan: DedupPlan) -> DataFra
     @tidy
     def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owners, names, known, shard = [], [], [], 0
+        found: list[tuple[int, bytes]] = []
         for frame in frames:
             ready = frame["shard"] < 0
-            yield frame.loc[ready, ["owner", "names"]]
+            found += zip(frame.loc[ready, "owner"].tolist(), frame.loc[ready, "names"].tolist(), strict=True)
             for row in frame[~ready].itertuples():
                 both = np.frombuffer(row.owners, "<i8")
                 ids, counts = both[:len(both) // 2], both[len(both) // 2:]
@@ -155,12 +156,29 @@ def shared_minimisers(texts: DataFrame, shards: int, plan: DedupPlan) -> DataFra
             several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
             mine = several[np.cumsum(new[:-1]) - 1] & ~counted
             full = name[mine].astype(np.uint64) | np.uint64(shard) << np.uint64(32)
-            yield pd.DataFrame(list(_listed(owner[mine], full)), columns=["owner", "names"])
+            found += _listed(owner[mine], full)
+        # a row for each bucket of owners, not for each owner
+        packed: dict[int, list[tuple[int, bytes]]] = {}
+        for owner_id, of in found:
+            packed.setdefault(owner_id % shards, []).append((owner_id, of))
+        if packed:
+            yield pd.DataFrame([(bucket, [o for o, _ in rows], [x for _, x in rows]) for bucket, rows in packed.items()],
+                               columns=["bucket", "owners", "names"])
+
+    @tidy
+    def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: dict[int, list[bytes]] = {}
+        for frame in frames:
+            for owners, names in zip(frame["owners"], frame["names"], strict=True):
+                for owner, part in zip(owners, names, strict=True):
+                    of.setdefault(int(owner), []).append(part)
+        if of:
+            yield pd.DataFrame({"owner": np.array(list(of), np.int64), "names": list(of.values())})
 
     sent = texts.mapInPandas(mapped, "shard int, known boolean, owner long, owners binary, names binary")
     to = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod(F.col("owner"), F.lit(shards)).cast("int"))
-    found = sent.repartitionById(shards, to).mapInPandas(met, "owner long, names binary")
-    return found.groupBy("owner").agg(F.collect_list("names").alias("names"))
+    packed = sent.repartitionById(shards, to).mapInPandas(met, "bucket int, owners array<long>, names array<binary>")
+    return packed.repartitionById(shards, F.col("bucket")).mapInPandas(gathered, "owner long, names array<binary>")
 
 
 def _runs(raw: bytes, shared: np.ndarray, shards: int, plan: DedupPlan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
