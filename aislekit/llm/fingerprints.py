@@ -5,7 +5,7 @@ bits) over a text's shingles of five words, all in vectorised numpy.  It keeps 1
 sets have equal fingerprints, and the share of equal values estimates the Jaccard similarity.
 
 ``near_duplicates`` joins bands of a fingerprint in Spark (documents that agree in a whole band) and verifies the Jaccard
-similarity of the shingle sets, each document against the first of its band.
+similarity of the shingle sets: each document against the first of its band, then against those that a shared rare shingle leaves.
 
 An edited text, as ``edited_pairs`` makes it, is the text with its last quarter replaced by the
 start of the next document.  Its shingles inside the kept part are the text's own, so only the others are
@@ -25,12 +25,13 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import common
 from .common import key_bounds, tidy, with_bucket
+from .components import components
 from .words import constants, shingle_hashes, shingle_set, word_hashes
 
 
@@ -148,42 +149,111 @@ def edited_pairs(docs: DataFrame, plan: MinHashPlan = MinHashPlan()) -> DataFram
                                      "edited_fingerprint string, near_edited double, near_next double")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, plan: MinHashPlan) -> DataFrame:
+    """(doc_id, other_id, similarity) of the pairs whose shingle sets are as similar as wanted."""
+    left = sets.select("doc_id", F.col("shingles").alias("a"))
+    right = sets.select(F.col("doc_id").alias("other_id"), F.col("shingles").alias("b"))
+
+    @F.pandas_udf("double")
+    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> float:
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common_n = len(np.intersect1d(a, b, assume_unique=True))
+            return common_n / max(1, len(a) + len(b) - common_n)
+        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return cut_lineage(pairs.join(left, "doc_id").join(right, "other_id").select(
+        "doc_id", "other_id", jaccard("a", "b").alias("similarity")).where(F.col("similarity") >= plan.similarity))
+
+
+def _candidates(sets: DataFrame, plan: MinHashPlan) -> DataFrame:
+    """(doc_id, other_id): every pair of ``sets`` (doc_id, component, n, shingles) of different components that can be similar.
+
+    Shingles are ordered by how many of the sets have them, rarest first.  The first shingle that a similar pair shares
+    lies among the first n - t n + 1 of the larger set and the first n - 2 t / (1 + t) n + 1 of the smaller
+    one, and enough of both sets follows it.  So nothing is missed, and shingles of a template, which stand last, bring no
+    pairs together but those with enough of them.
+    """
+    t, few = plan.similarity, 1e-9
+
+    @tidy
+    def exploded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, component, n, raw in zip(frame["doc_id"], frame["component"], frame["n"], frame["shingles"], strict=True):
+                yield pd.DataFrame({"doc_id": doc_id, "component": component, "n": n, "shingle": np.frombuffer(raw, np.int64)})
+
+    rows = cut_lineage(sets.mapInPandas(exploded, "doc_id long, component long, n long, shingle long"))
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ranked = rows.join(counts, "shingle").withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")))
+    ranked = ranked.where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(t * F.col("n") - few) + 1))
+    large = cut_lineage(ranked.select("shingle", "doc_id", "component", "n", "pos"))
+    small = large.where(F.col("pos") <= F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - few) + 1).select(
+        "shingle", F.col("doc_id").alias("other_id"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    rest = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    able = (F.col("component") != F.col("other")) & (F.col("m") >= t * F.col("n") - few) & (
+        (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other_id") < F.col("doc_id")))) & (
+        rest >= t / (1 + t) * (F.col("n") + F.col("m")) - few)
+    pairs = large.join(small, "shingle").where(able)
+    return pairs.select(F.greatest("doc_id", "other_id").alias("doc_id"), F.least("doc_id", "other_id").alias("other_id")).distinct()
+
+
 def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan()) -> DataFrame:
-    """(doc_id, other_id, similarity): documents and the first document of a band they share, verified.
+    """(doc_id, other_id, similarity): verified links, doc_id the larger; every pair that shares a band and is as similar as wanted
+    is joined through them, directly or by others.
+
+    1. Equal shingle sets are one: each document is linked with the smallest doc_id of its set, and that goes on.
+    2. Each member of a band is compared with the band's smallest doc_id, also in bands of two and four times as many
+       values, where unrelated texts of one template seldom meet.  A band of n documents makes n - 1 pairs.
+    3. Where the members of a band are not all in one component of these links, they are compared with
+       those of other components (``_candidates``): the smallest may be like none of two that are like each other.
 
-    Every member of a band is compared with the band's smallest doc_id only, so a band of n documents makes n - 1
-    pairs.  Bands are counted before the join (map-side), which finds a band's smallest doc_id without
-    gathering its members.
+    Bands are counted before the join (map-side), which finds a band's smallest doc_id without gathering its members.
+    Of several rows with one doc_id the first in order of text counts.
     """
+    @tidy
+    def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                shingles = shingle_set(_encoded(text or ""), plan.shingle)
+                if len(shingles):
+                    raw = shingles.tobytes()
+                    out.append((doc_id, sha256(raw).digest(), len(shingles), raw))
+            yield pd.DataFrame(out, columns=["doc_id", "set", "n", "shingles"])
+
     @tidy
     def banded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         minhash = MinHash(plan)
         for frame in frames:
             out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                lows = fingerprint(text, minhash)
-                if (lows == minhash.none).all():
-                    continue
-                bands = lows[:len(lows) // plan.band * plan.band].reshape(-1, plan.band)
-                out += [(doc_id, i, band.tobytes()) for i, band in enumerate(bands)]
-            yield pd.DataFrame(out, columns=["doc_id", "no", "band"])
+            for doc_id, raw in zip(frame["doc_id"], frame["shingles"], strict=True):
+                lows = minhash.lows(np.frombuffer(raw, np.uint64))
+                for width in (plan.band, 2 * plan.band, 4 * plan.band):
+                    bands = lows[:len(lows) // width * width].reshape(-1, width)
+                    out += [(doc_id, width, i, sha256(band.tobytes()).digest()[:16]) for i, band in enumerate(bands)]
+            yield pd.DataFrame(out, columns=["doc_id", "width", "no", "band"])
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bands = cut_lineage(known.mapInPandas(banded, "doc_id long, no int, band binary"))
-    first = bands.groupBy("no", "band").agg(F.min("doc_id").alias("other_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = bands.join(first.drop("n"), ["no", "band"]).where("doc_id <> other_id").select("doc_id", "other_id").distinct()
-    texts = known.groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other")), "other_id")
-
-    @F.pandas_udf("double")
-    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None) -> float:
-            a, b = shingle_set(_encoded(x or ""), plan.shingle), shingle_set(_encoded(y or ""), plan.shingle)
-            common_n = len(np.intersect1d(a, b, assume_unique=True))
-            return common_n / max(1, len(a) + len(b) - common_n)
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
-
-    return both.select("doc_id", "other_id", jaccard("text", "other").alias("similarity")).where(F.col("similarity") >= plan.similarity)
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"))
+    every = cut_lineage(known.mapInPandas(sketched, "doc_id long, set binary, n long, shingles binary"))
+    first = every.groupBy("set").agg(F.min("doc_id").alias("other_id"))
+    equal = every.select("doc_id", "set").join(first, "set").where("doc_id <> other_id").select(
+        "doc_id", "other_id", F.lit(1.0).alias("similarity"))
+    sets = every.join(first, every["doc_id"] == first["other_id"], "left_semi").select("doc_id", "n", "shingles")
+
+    bands = cut_lineage(sets.select("doc_id", "shingles").mapInPandas(banded, "doc_id long, width int, no int, band binary"))
+    name = ["width", "no", "band"]
+    smallest = bands.groupBy(name).agg(F.min("doc_id").alias("other_id"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    links = _verified(bands.join(smallest.drop("many"), name).where("doc_id <> other_id").select("doc_id", "other_id").distinct(), sets, plan)
+
+    groups = components(links, "doc_id", "other_id").withColumnRenamed("node", "doc_id")
+    known_to = cut_lineage(sets.select("doc_id").join(groups, "doc_id", "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    narrow = bands.where(F.col("width") == plan.band).join(known_to, "doc_id")
+    split = narrow.groupBy(name).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    open_ids = narrow.join(split, name, "left_semi").select("doc_id", "component").distinct()
+    more = _verified(_candidates(sets.join(open_ids, "doc_id").select("doc_id", "component", "n", "shingles"), plan), sets, plan)
+    return equal.unionByName(links).unionByName(more)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

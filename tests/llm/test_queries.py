@@ -100,6 +100,49 @@ def test_near_duplicates_of_bands(spark, docs):
     assert in_groups == set(found.doc_id) | set(found.other_id)
 
 
+def test_near_duplicates_inside_a_template(spark):
+    """Texts of ten paragraphs, each sibling with two others: whatever four paragraphs a band comes from, some sibling
+    with a smaller doc_id has them, and is like neither of the planted copies."""
+    def paragraph(name):
+        return [f"{name}w{i}" for i in range(30)]
+
+    texts = []
+    for family in range(3):
+        base = [paragraph(f"f{family}p{i}") for i in range(10)]
+        texts += [sum((paragraph(f"f{family}s{i}x{j}x{k}") if k in (i, j) else base[k] for k in range(10)), [])
+                  for i in range(10) for j in range(i)]
+        whole = sum(base, [])
+        copies = [list(whole) for _ in range(4)]
+        for at, copy in zip((100, 150, 250), copies[1:], strict=True):
+            copy[at] = f"f{family}c{at}"
+        texts += [*copies, list(copies[1])]
+    texts = [" ".join(t) for t in texts]
+    sets = [shingle_set(t.encode()) for t in texts]
+    found = fingerprints.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    for r in found.itertuples():
+        n = len(np.intersect1d(sets[r.doc_id], sets[r.other_id]))
+        assert r.similarity == pytest.approx(n / (len(sets[r.doc_id]) + len(sets[r.other_id]) - n)) and r.similarity >= 0.8
+    root = list(range(len(texts)))
+    for _ in root:
+        for r in found.itertuples():
+            root[r.doc_id] = root[r.other_id] = min(root[r.doc_id], root[r.other_id])
+    want = smallest_reachable(sets, list(range(len(texts))))
+    assert sorted(Counter(want).values())[-3:] == [5, 5, 5] and root == want
+
+
+def test_candidates_miss_no_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.choice(60, int(rng.integers(1, 40)))) for _ in range(60)]
+    for s in sets[:40]:
+        sets.append(np.unique(np.where(rng.random(len(s)) < 0.12, rng.integers(60, 90, len(s)), s)))
+    rows = [(i, i % 70, len(s), bytearray(s.astype(np.int64).tobytes())) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "doc_id long, component long, n long, shingles binary")
+    found = {(r.doc_id, r.other_id) for r in fingerprints._candidates(table, fingerprints.MinHashPlan()).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i)
+            if i % 70 != j % 70 and 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)}
+    assert len(want) > 10 and want <= found
+
+
 def test_op2(spark, docs):
     got = QUERIES["op2_packing"](spark, SF).toPandas()
     ids = dict(zip(docs.doc_id, ids_of("word_bpe_49k.json", docs.text), strict=True))
