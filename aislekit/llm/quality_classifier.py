@@ -6,6 +6,7 @@ Training takes a bounded sample of the labelled documents (``TrainingPlan.max_do
 smallest md5 values of doc_id first), whole texts.  Scoring covers every document: the
 average of embeddings followed by the linear output equals the average of one number per
 feature, so a word adds a fixed sum and a count, which workers keep for words seen.
+All character n-grams of every word count, however long the word; long ones are hashed in overlapping pieces.
 
 Nulls and ties: a null or wordless text has no features and gets the score of the output
 bias; rows without doc_id are scored and never trained on; repeated rows are scored
@@ -32,6 +33,9 @@ from . import common
 from .common import crc_fold, tidy
 
 THRESHOLD = 0.3
+#: Longer words (texts without spaces) are hashed in pieces of so many characters and are not kept.
+LONG_WORD = 200
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -56,7 +60,7 @@ class Model:
 
 def word_features(word: str, plan: TrainingPlan) -> list[int]:
     """Hash buckets of a word: the word itself and its character n-grams with ends marked."""
-    raw = f"<{word[:200]}>" if len(word) <= 200 else f"<{word[:100]}\0{word[-100:]}>"
+    raw = f"<{word}>"
     found = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % (plan.buckets - 1) + 1]
     for n in range(plan.min_gram, plan.max_gram + 1):
         found += [zlib.crc32(raw[i:i + n].encode("utf-8", "surrogatepass"), n) % (plan.buckets - 1) + 1
@@ -64,6 +68,43 @@ def word_features(word: str, plan: TrainingPlan) -> list[int]:
     return found
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+_LEAD = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)
+
+
+def _gram_buckets(piece: str, n: int, plan: TrainingPlan) -> np.ndarray:
+    """Buckets of all n-grams of a piece, as in ``word_features``: crc32 of their UTF-8 bytes."""
+    codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
+    count = max(0, len(codes) - n + 1)
+    width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    most = int(width.max(initial=1))
+    shift = 6 * (width - 1)
+    encoded = [(codes >> shift.astype(np.uint32)) | _LEAD[width]]
+    encoded += [(codes >> np.maximum(shift - 6 * k, 0).astype(np.uint32)) & 0x3F | 0x80 for k in range(1, most)]
+    crc = np.full(count, n ^ 0xFFFFFFFF, np.uint32)
+    for j in range(n):
+        for k in range(most):
+            step = _CRC[(crc ^ encoded[k][j:j + count]) & 0xFF] ^ (crc >> 8)
+            crc = step if most == 1 else np.where(width[j:j + count] > k, step, crc)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(plan.buckets - 1)).astype(np.int32) + 1
+
+
+def long_word_features(word: str, plan: TrainingPlan) -> Iterator[np.ndarray]:
+    """The same buckets as ``word_features``, piece by piece; pieces overlap by ``max_gram - 1``, each n-gram counts once."""
+    yield np.array([zlib.crc32(word.encode("utf-8", "surrogatepass")) % (plan.buckets - 1) + 1], np.int32)
+    raw = f"<{word}>"
+    for at in range(0, len(raw), PIECE):
+        for n in range(plan.min_gram, plan.max_gram + 1):
+            yield _gram_buckets(raw[at:at + PIECE + n - 1], n, plan)
+
+
 def repeats(words: list[str]) -> int:
     """Adjacent equal words.  Every bigram of one word with itself is one feature: bucket 0."""
     return sum(map(operator.eq, words, words[1:]))
@@ -73,16 +114,25 @@ def _bag(text: str | None, plan: TrainingPlan, seen: dict[str, np.ndarray]) -> t
     """Features of a text (at most 65,536 buckets) and their counts; a longest text's counts are scaled down."""
     ids: list[np.ndarray] = []
     words = (text or "").split()
+    long = np.zeros(plan.buckets if any(len(w) > LONG_WORD for w in words) else 0, np.int64)
     for w in words:
+        if len(w) > LONG_WORD:
+            for part in long_word_features(w, plan):
+                long += np.bincount(part, minlength=plan.buckets)
+            continue
         if (f := seen.get(w)) is None:
             if len(seen) > 200_000:
                 seen.clear()
             f = seen[w] = np.array(word_features(w, plan), np.int32)
         ids.append(f)
-    if not ids:
+    if not words:
         return np.empty(0, np.uint16), np.empty(0, np.uint16)
     ids.append(np.zeros(repeats(words), np.int32))
     found, counts = np.unique(np.concatenate(ids), return_counts=True)
+    if len(long):
+        long[found] += counts
+        found = np.flatnonzero(long)
+        counts = long[found]
     counts = np.ceil(counts * min(1, 65535 / counts.max()))  # two bytes each
     return found.astype(np.uint16), counts.astype(np.uint16)
 
@@ -158,6 +208,9 @@ class _Words(dict):
         self.model, self.limit, self.value = model, limit, model.value.tolist()
 
     def __missing__(self, word: str) -> complex:
+        if len(word) > LONG_WORD:
+            parts = [complex(self.model.value[ids].sum(), len(ids)) for ids in long_word_features(word, self.model.plan)]
+            return sum(parts, 0j)
         ids = word_features(word, self.model.plan)
         value = self.value
         if len(self) >= self.limit:

@@ -219,3 +219,23 @@ def test_classifier_learns_words_and_repeats():
     assert sum(right) >= 195
     assert qc.fit([], plan).bias == 0 and qc.fit([(1, *qc._bag("a", plan, {}))], plan).bias > 3
     assert 0 <= qc.score_text(None, known) <= 1
+
+
+def test_classifier_reads_long_words_whole(monkeypatch):
+    plan, rnd = qc.TrainingPlan(buckets=1 << 12, epochs=6), random.Random(13)
+    monkeypatch.setattr(qc, "PIECE", 61)
+    for alphabet in ("ab<>\0", "aé\u4e2d\ud800\U0001f600", "\u4e00\u4e01\u4e02"):
+        for length in (201, 242, 243, 244, 245, 700):
+            word = "".join(rnd.choices(alphabet, k=length))
+            assert sorted(qc.word_features(word, plan)) == sorted(np.concatenate([*qc.long_word_features(word, plan)]).tolist())
+            found, counts = qc._bag(f"{word} {word} x", plan, {})
+            want = [*qc.word_features(word, plan)] * 2 + qc.word_features("x", plan) + [0]
+            assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == {f: want.count(f) for f in want}
+
+    def text(label):  # one word; only its middle tells
+        chars = rnd.choices("\u4e2d\u6587\u5b57" if label else "\u30a2\u30ab\u30b5", k=300)
+        return "\u3042" * 120 + "".join(chars) + "\u3044" * 120
+
+    known = qc._Words(qc.fit([(y, *qc._bag(text(y), plan, {})) for y in (0, 1) * 100], plan))
+    right = [(qc.score_text(text(y), known) >= 0.5) == bool(y) for y in (0, 1) * 50]
+    assert sum(right) >= 95 and len(known) == 0
