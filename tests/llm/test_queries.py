@@ -308,6 +308,24 @@ def test_pii_model_adds_look_alikes(spark):
     assert got[9999] == "phone:5:21" and got[1].startswith("phone:5:")
 
 
+def test_pii_look_alikes_as_frequent_as_base_spans(spark):
+    rng, rows = np.random.default_rng(15), []
+    for i in range(1500):
+        d = rng.integers(0, 10, 16)
+        name, host = f"user{i}", f"host{i % 40}.example.org"
+        rows.append((
+            f"call {'+' * (i // 6 % 2)}1 ({i % 900 + 100}) 555-{i % 9000 + 1000} now",
+            f"write to {name}@{host} soon" if i // 6 % 2 else f"write to {name} [at] {host.replace('.', ' [dot] ')} soon",
+            f"number {''.join(map(str, d))} here", f"built 20{d[0]}{d[1]}-0{d[2] % 9 + 1}-1{d[3]} 10 times",
+            f"meet {name} [at] noon today", f"range {d[0]}{d[1]}00/{d[2]}{d[3]}/{d[4]}{d[5]}00 of sizes")[i % 6])
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark, table, pii.train(table)).collect()}
+    alike = [i for i, t in enumerate(rows) if t.startswith("call 1") or "[dot]" in t]
+    other = [i for i, t in enumerate(rows) if t.startswith(("built", "meet", "range"))]
+    assert len(alike) > 200 and len(other) > 200
+    assert np.mean([got[i] != "" for i in alike]) > 0.95 and not any(got[i] for i in other)
+
+
 # -- edge cases ------------------------------------------------------------------------------------
 
 LONG = "lorem ipsum dolor " * 12_000
