@@ -5,7 +5,9 @@ minimisers (the 24-byte gram of smallest hash inside), so a text is cut into run
 are sent by minimiser.  Minimisers that only one text has cannot repeat, and are found first, by shards of
 their hash.  Equal runs are aggregated to one, with the smallest doc_id.  Each task then turns its distinct runs into
 shards of Burrows-Wheeler transforms and merges them (``bwt``), down to common prefixes of 50 bytes; the
-repeated intervals give every string's smallest doc_id, which is joined back to the runs' places.
+repeated intervals give every string's smallest doc_id, which is joined back to the runs' places.  A minimiser whose distinct
+runs exceed ``DedupPlan.key_bytes`` (a common passage beside each document's own context) goes to no single task: its runs
+are cut into their strings, which meet by their 50 bytes (``split_owners``).
 
 Texts that equal a text with a smaller doc_id are removed whole when 50 bytes or longer, and take no part in the rest.
 
@@ -24,7 +26,7 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
@@ -44,6 +46,7 @@ class DedupPlan:
     gram: int = 24
     shard_bytes: int = 24 << 20  #: text behind the minimisers of one shard
     part_bytes: int = 16 << 20  #: text behind the runs of one merge
+    key_bytes: int = 16 << 20  #: most bytes of one minimiser's distinct runs in a merge
     run: int = 64  #: most strings of a run
     bitmap_bits: int = 23
 
@@ -227,6 +230,37 @@ def _smallest_owners(strings: list[bytes], key: np.ndarray, least: np.ndarray, r
             np.concatenate([width[alone], end - shift[text]]), np.concatenate([least[alone], low[first]]))
 
 
+def heavy_keys(runs: DataFrame, plan: DedupPlan) -> DataFrame | None:
+    """(key) of the minimisers whose distinct runs exceed ``key_bytes``; None if there are none.  At most one key for
+    ``key_bytes`` of runs reaches the driver."""
+    spark = runs.sparkSession
+
+    def above(sizes: DataFrame) -> DataFrame | None:
+        rows = sizes.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > plan.key_bytes).select("key").collect()
+        return F.broadcast(spark.createDataFrame([(r["key"],) for r in rows], "key long")) if rows else None
+
+    # with equal runs first, of two short columns; then without
+    able = above(runs.select("key", "size"))
+    return able and above(runs.join(able, "key", "left_semi").groupBy("key", "string").agg(F.first("size").alias("size")))
+
+
+def split_owners(distinct: DataFrame, plan: DedupPlan, salts: int = 16) -> DataFrame:
+    """As ``_smallest_owners``, of runs (key, string, sid, least, rows) cut into strings of ``length`` bytes, which are
+    aggregated by their bytes before the shuffle and joined back over ``salts`` tasks."""
+    places = F.explode(F.sequence(F.lit(0), F.length("string") - plan.length))
+    cut = distinct.select("key", "sid", "least", "rows", "string", places.alias("at")).select(
+        "key", "sid", "least", "rows", "at", F.expr(f"substring(string, at + 1, {plan.length})").alias("bytes"),
+        F.pmod("sid", F.lit(salts)).cast("int").alias("salt"))
+    best = cut.groupBy("bytes").agg(F.min("least").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "bytes", "low", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    found = cut.join(best, ["bytes", "salt"], "left").withColumn("low", F.coalesce("low", "least")).where("rows > 1 or low < least")
+    # strings that follow each other with the same smallest document
+    nth = F.row_number().over(Window.partitionBy("key", "sid", "low").orderBy("at"))
+    return found.select("key", "sid", "low", "at", (F.col("at") - nth).alias("island")).groupBy("key", "sid", "low", "island").agg(
+        F.min("at").cast("long").alias("first"), (F.max("at") + 1).cast("long").alias("end")).select(
+        "key", "sid", "first", "end", F.col("low").alias("least"))
+
+
 def dedup(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
@@ -273,12 +307,12 @@ def dedup(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
                     ks.append(np.full(len(a), row.k))
                     owners.append(np.full(len(a), row.owner))
                 if strings:
-                    yield pd.DataFrame({"key": np.concatenate(keys).astype(np.int64), "string": strings, "k": np.concatenate(ks),
+                    yield pd.DataFrame({"key": np.concatenate(keys).astype(np.int64), "string": strings, "size": [len(x) for x in strings], "k": np.concatenate(ks),
                                         "owner": np.concatenate(owners), "pos": np.concatenate(places)})
 
     texts = with_text(shared)
     runs = texts.join(shared.select(F.col("rep").alias("k"), "owner", "names"), ["k", "owner"]).mapInPandas(
-        cut, "key long, string binary, k long, owner long, pos long")
+        cut, "key long, string binary, size int, k long, owner long, pos long")
     path = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
     runs.write.option("compression", "zstd").parquet(path)  # read twice; the strings' overlaps compress well
     del texts, runs
@@ -295,11 +329,16 @@ def dedup(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
         i, first_string, end, low = _smallest_owners(frame["string"].tolist(), keys, frame["least"].to_numpy(), frame["rows"].to_numpy(), plan)
         yield pd.DataFrame({"key": keys[i], "sid": sids[i], "first": first_string, "end": end, "least": low})
 
-    distinct = runs.groupBy("key", "string").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("rows"))
+    heavy = heavy_keys(runs, plan)
+    light = runs if heavy is None else runs.join(heavy, "key", "left_anti")
+    distinct, whole = (r.groupBy("key", "string").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("rows")) for r in (
+        light, runs if heavy is None else runs.join(heavy, "key", "left_semi")))
     (distinct.repartitionById(parts, F.pmod("key", F.lit(parts)).cast("int")).withColumn("sid", sid)
      .mapInPandas(merged, "key long, sid long, first long, end long, least long")
      .write.option("compression", "zstd").parquet(f"{path}-least"))
-    del distinct  # its shuffles are the largest
+    if heavy is not None:
+        split_owners(cut_lineage(whole.withColumn("sid", sid)), plan).write.mode("append").option("compression", "zstd").parquet(f"{path}-least")
+    del distinct, whole, light  # their shuffles are the largest
     common.release(spark)
     least = spark.read.parquet(f"{path}-least")
     spans = (runs.select("key", sid.alias("sid"), "k", "owner", "pos").join(least, ["key", "sid"]).where("least < k")

@@ -241,6 +241,41 @@ def test_op6(spark, docs):
     assert list(got[columns].itertuples(index=False, name=None)) == cut_brute(docs.text)
 
 
+def test_op6_common_passage_with_own_contexts(spark, monkeypatch):
+    """The first and last minimiser of a passage have a run for each document; none goes to one task."""
+    rng = np.random.default_rng(16)
+
+    def own(n):
+        return "".join(rng.choice(list("abcdefgh "), n))
+
+    passage, again = own(90), own(60)
+    texts = [own(60) + passage + own(60) + (again if i % 3 else "") + own(40) for i in range(300)] + [passage, own(30) + passage[:70], own(200)]
+    merge = substring_dedup._smallest_owners
+
+    def watched(strings, key, *rest):
+        totals = Counter()
+        for s, k in zip(strings, key.tolist(), strict=True):
+            totals[k] += len(s)
+        if totals:
+            assert max(totals.values()) <= 2000, "a minimiser's runs in one task"
+        return merge(strings, key, *rest)
+
+    watched.__module__ = "__main__"  # goes to the workers whole
+    monkeypatch.setattr(substring_dedup, "_smallest_owners", watched)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plan = substring_dedup.DedupPlan(key_bytes=2000, part_bytes=4000)
+    got = substring_dedup.dedup(table, plan).toPandas().sort_values("doc_id")
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert list(got[columns].itertuples(index=False, name=None)) == cut_brute(texts)
+    # and what is split is what a merge finds
+    runs = spark.createDataFrame([(i % 4, bytearray(t[40:130].encode()), i, 1 + i % 2) for i, t in enumerate(texts[:300])],
+                                 "key long, string binary, least long, rows long").withColumn("sid", F.xxhash64("string")).cache()
+    split = {tuple(r) for r in substring_dedup.split_owners(runs, plan).collect()}
+    held = runs.toPandas()
+    i, first, end, least = merge([bytes(x) for x in held.string], np.zeros(len(held), np.int64), held.least.to_numpy(), held.rows.to_numpy(), plan)
+    assert split == set(zip(held.key[i].tolist(), held.sid[i].tolist(), first.tolist(), end.tolist(), least.tolist(), strict=True))
+
+
 def test_op7(spark, docs, monkeypatch):
     monkeypatch.setattr(idfile.key_bounds, "__defaults__", (100_000,))
     monkeypatch.setattr(idfile, "BLOCK_IDS", 5000)
