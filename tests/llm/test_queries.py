@@ -462,3 +462,21 @@ def test_pipeline_stages(spark):
     assert set(pieces.doc_id) == set(table.doc_id)
     last = pipeline.run(spark, SF).toPandas()
     assert len(last) and last.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_mixture_meets_its_budgets(spark):
+    """Words of every leaf are what the mixing gives it, although one document is as long as its leaf's budget twice over."""
+    import corpus_pipeline as pipeline
+
+    rows = [(i, "  " + " \n".join(f"w{i}x{j}" for j in range(700 if i % 10 == 0 else 7)) + "\t", "en", f"src{i % 3 * 6}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    mixed = dict(pipeline.STAGES)["mixture"](spark, docs, SF)
+    assert mixed.schema == docs.schema
+    mixed, whole = mixed.toPandas(), {i: t for i, t, _, _ in rows}
+    table = mixing.with_tokens(docs).withColumn("domain", mixing.domain_of(F.col("source")))
+    want = mixing.mix(table, pipeline.MIXTURE).toPandas()
+    mixed["words"] = mixed.text.map(lambda t: len(re.findall(WORD, t)))
+    assert (mixed.n_chars == mixed.text.str.len()).all()
+    assert mixed.groupby("source").words.sum().to_dict() == want.groupby("source").take_tokens.sum().to_dict()
+    assert sorted(zip(mixed.doc_id, mixed.words, strict=True)) == sorted(zip(want.doc_id, want.take_tokens, strict=True))
+    assert (want.take_tokens < want.n_tokens).any() and all(whole[r.doc_id].startswith(r.text) for r in mixed.itertuples())
