@@ -24,6 +24,7 @@ from .spelling import op12_spelling_variants, spelling_sql
 from .substring_dedup import op6_substring_dedup
 from .turn_trie import op11_turn_trie, turn_trie_sql
 from .wordpiece import op5_wordpiece_counts
+from .wrapper import op13_wrapper_text
 
 _shipped: set[str] = set()
 
@@ -55,5 +56,5 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shipping(q) for q in (
     op1_fingerprints, op2_packing, op3_mixing, op4_quality_rules, op5_wordpiece_counts, op6_substring_dedup, op7_token_ids,
-    op8_ngram_join, op9_quality_classifier, op10_pii, op11_turn_trie, op12_spelling_variants)}
+    op8_ngram_join, op9_quality_classifier, op10_pii, op11_turn_trie, op12_spelling_variants, op13_wrapper_text)}
 SQL: dict[str, str] = {"op3_mixing": mixing_sql(), "op11_turn_trie": turn_trie_sql(), "op12_spelling_variants": spelling_sql()}

@@ -144,6 +144,8 @@ class DoubleArray:
 def dense_ids(turns: np.ndarray, where: np.ndarray) -> np.ndarray:
     """Numbers of the distinct 16-byte turns, in order of the first (level, row) ``where`` each stands, which gives
     siblings neighbouring numbers."""
+    if not len(turns):  # a shard of the turnless path alone
+        return np.empty(0, np.int64)
     order = np.lexsort((where, turns[:, 1], turns[:, 0]))
     s = turns[order]
     new = np.append(True, (s[1:] != s[:-1]).any(axis=1))
