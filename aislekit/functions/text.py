@@ -67,6 +67,11 @@ def split_items(col) -> Column:
     return F.filter(F.transform(parts, strip_ws), lambda x: x != F.lit(""))
 
 
+def has_item(line) -> Column:
+    """Whether :func:`split_items` of a line gives any item: a character other than commas and white space."""
+    return _c(line).rlike(f"[^,{_WS}]")
+
+
 def split_lines(col) -> Column:
     """``str.splitlines()`` boundaries."""
     return F.split(_c(col), LINE_BREAK)

@@ -6,7 +6,8 @@ are numbered 1-based over the non-empty lines in file order (``Siparis_NN``).
 Numbering is exact and distributed: a running total over the rows' keys and counts
 of non-empty lines (range partitioned, see ``operators.ordering``) gives each row its
 first receipt number, joined back by key, and lines inside a row are numbered by
-``posexplode``.  No global window, no collect.
+``posexplode``.  No global window, no collect.  The keys belong to the rows: for files they are the file and the
+byte at which a line begins (``sources.lines``), the same in every reading.
 """
 
 from __future__ import annotations
@@ -19,15 +20,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.ordering import running_total
+from .lines import read_lines
 
 
 def receipts_from_texts(df: DataFrame, text_col: str, order_cols: Sequence[str],
-                        group_cols: Sequence[str] = (), file_cols: Sequence[str] | None = None) -> DataFrame:
+                        group_cols: Sequence[str] = (), file_cols: Sequence[str] | None = None,
+                        marks: bool = True) -> DataFrame:
     """Rows of text (ordered by ``order_cols``) -> ``receipt_no, receipt_id, items``.
 
+    ``group_cols`` and ``order_cols`` together must name a row, whenever the rows are read.  Items are parsed once; the count
+    of a row's receipts looks only for a character in each line that an item can have.
+
     The concatenation of the texts in ``order_cols`` order is the receipt file.
     Byte-order marks are stripped at the start of each file only: its first row in
-    ``file_cols`` (default: ``group_cols``).  With ``group_cols`` (e.g. the file) the
+    ``file_cols`` (default: ``group_cols``), unless ``marks`` says that there are none.  With ``group_cols`` (e.g. the file) the
     numbering restarts for each group and the group columns are kept.
     """
     order_cols, group_cols = list(order_cols), list(group_cols)
@@ -35,41 +41,38 @@ def receipts_from_texts(df: DataFrame, text_col: str, order_cols: Sequence[str],
     file_cols = group_cols if file_cols is None else list(file_cols)
     at = F.struct(*keys)
     df = df.select(*keys, text_col)
-    if file_cols:
+    if not marks:
+        text = F.col(text_col)
+    elif file_cols:
         firsts = df.groupBy(*file_cols).agg(F.min(at).alias("_first"))
         df = df.join(firsts, file_cols)
     else:
         df = df.withColumn("_first", df.agg(F.min(at).alias("_first")).scalar())
-    text = F.when(at == F.col("_first"), X.strip_bom(F.col(text_col))).otherwise(F.col(text_col))
-    lines = (df.select(*keys, X.split_lines(text).alias("_lines"))
-             .select(*keys,
-                     F.filter(F.transform("_lines", X.split_items), lambda a: F.size(a) > 0)
-                     .alias("_receipts")))
-    counted = lines.withColumn("_n", F.size("_receipts")).where(F.col("_n") > 0)
+    if marks:
+        text = F.when(at == F.col("_first"), X.strip_bom(F.col(text_col))).otherwise(F.col(text_col))
+    # a filter on what is parsed here, or one that an inner explode implies, would be pushed below the projection and
+    # the parsing with it
+    receipts = df.select(*keys, F.filter(F.transform(X.split_lines(text), X.split_items), lambda a: F.size(a) > 0).alias("_receipts"))
+    counts = df.select(*keys, F.size(F.filter(X.split_lines(text), X.has_item)).cast("long").alias("_n"))
     # only the keys and counts are numbered; the receipts meet their numbers by key
-    numbered = running_total(counted.select(*keys, "_n"), order_cols, weight="_n", group_cols=group_cols, out="_last_no")
-    numbered = numbered.select(*[F.col(c).alias(f"_no_{c}") for c in keys], "_last_no")
+    numbered = running_total(counts, order_cols, weight="_n", group_cols=group_cols, out="_last_no").where("_n > 0")
+    numbered = numbered.select(*[F.col(c).alias(f"_no_{c}") for c in keys], (F.col("_last_no") - F.col("_n")).alias("_before"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_no_{c}")) for c in keys])
-    out = (counted.join(numbered, same)
-           .select(*group_cols, F.posexplode("_receipts").alias("_i", "items"), "_last_no", "_n")
-           .select(*group_cols, (F.col("_last_no") - F.col("_n") + F.col("_i") + 1).alias("receipt_no"), "items"))
+    out = (receipts.join(numbered, same)
+           .select(*group_cols, F.posexplode_outer("_receipts").alias("_i", "items"), "_before").where("_i is not null")
+           .select(*group_cols, (F.col("_before") + F.col("_i") + 1).alias("receipt_no"), "items"))
     return out.select(*group_cols, "receipt_no", X.receipt_id("receipt_no").alias("receipt_id"), "items")
 
 
 def read_receipts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Read receipt text file(s); file order = (file name, line position)."""
-    # split packing reorders file blocks, so order by (file, block start, position in split)
-    raw = (spark.read.option("encoding", encoding).text(path)
-           .select(F.col("_metadata.file_path").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("_block"),
-                   F.monotonically_increasing_id().alias("_line"), "value"))
-    return receipts_from_texts(raw, "value", ["_file", "_block", "_line"], file_cols=["_file"])
+    """Read receipt text file(s); file order = (file name, byte at which a line begins)."""
+    return receipts_from_texts(read_lines(spark, [path], encoding), "value", ["_file", "_offset"], marks=False)
 
 
 def receipt_items(receipts: DataFrame) -> DataFrame:
     """One row per (receipt, position, product)."""
     keep = [c for c in receipts.columns if c != "items"]
-    return receipts.select(*keep, F.posexplode("items").alias("pos", "product"))
+    return receipts.select(*keep, F.posexplode_outer("items").alias("pos", "product")).where("pos is not null")
 
 
 def require_nonempty(receipts: DataFrame) -> DataFrame:
