@@ -18,6 +18,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
 #: Text bytes that one task of a range-partitioned pass over documents should get.
 BUCKET_BYTES = 16 << 20
+#: Ranges of doc_ids, of which the driver and every task know the bounds.
+MAX_RANGES = 1 << 15
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,39 +35,56 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def _numbers(values: list[int]) -> Column:
+    """An array<bigint> that Spark folds into one constant, whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _at_most(bounds: list[int], value: Column) -> Column:
     """How many of the sorted ``bounds`` are <= value, in two short scans per row."""
     step = max(1, math.isqrt(len(bounds)))
-    every = F.array(*[F.lit(b).cast("long") for b in bounds])
-    coarse = F.array(*[F.lit(b).cast("long") for b in bounds[::step]])
+    every, coarse = _numbers(bounds), _numbers(bounds[::step])
     block = F.size(F.filter(coarse, lambda b: b <= value))
     start = F.greatest(block - 1, F.lit(0)) * step
     fine = F.size(F.filter(F.slice(every, start + 1, step), lambda b: b <= value))
     return F.when(block == 0, 0).otherwise(start + fine)
 
 
+def id_text(doc_id: Column | str = "doc_id") -> Column:
+    """doc_id as it goes through Python: pandas turns whole numbers beside a null into doubles, text stays as it is."""
+    return F.col(doc_id).cast("long").cast("string") if isinstance(doc_id, str) else doc_id.cast("long").cast("string")
+
+
+def with_id(df: DataFrame) -> DataFrame:
+    """``doc_id`` as a number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 #: Where rows without a doc_id stand in ascending order: last.
 NULL_KEY = (1 << 63) - 1
 
 
 def doc_key(docs: DataFrame) -> Column:
+    """The place of a row in ascending doc_id order."""
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY))
 
 
 def key_bounds(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> list[int]:
     """First keys of consecutive doc_id ranges with about ``bucket_bytes`` of text each.
 
-    Every bound is a doc_id that occurs, so no range is empty and the first document
-    of a range is its bound.  One number per ``bucket_bytes`` of input reaches the driver.
+    Quantiles only say where the ranges lie (they are doubles, which from 2^53 on name other ids); a bound is the exact
+    smallest key of its range, so every bound occurs, no range is empty and the first document of a range is its bound.  At most
+    ``MAX_RANGES`` numbers reach the driver: beyond, ranges are larger, and tasks that stream through them longer.
     """
-    key = doc_key(docs).alias("k")
+    keys = docs.select(doc_key(docs).alias("k"))
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     if not rows:
         return []
-    n = max(1, math.ceil((total or 0) / bucket_bytes))
+    n = min(MAX_RANGES, max(1, math.ceil((total or 0) / bucket_bytes)))
     cuts = F.percentile_approx("k", [i / n for i in range(n)], 100 * n)
-    low, found = docs.select(key).agg(F.min("k"), cuts).first()
-    return sorted({low, *found})
+    low, found = keys.agg(F.min("k"), cuts).first()
+    ranges = sorted({low, *(max(low, min(int(c), NULL_KEY)) for c in found)})
+    return sorted(r["k"] for r in keys.groupBy(_at_most(ranges, F.col("k"))).agg(F.min("k").alias("k")).collect())
 
 
 def with_bucket(docs: DataFrame, bounds: list[int], borrow: bool = False) -> DataFrame:
@@ -83,8 +102,7 @@ def with_bucket(docs: DataFrame, bounds: list[int], borrow: bool = False) -> Dat
     n = max(1, len(bounds))
     own = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("l"))
     lent = F.struct(F.pmod(F.col("_bucket") - 1, F.lit(n)).cast("int").alias("b"), F.lit(True).alias("l"))
-    is_first = F.array_contains(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("_key")) \
-        if bounds else F.lit(False)
+    is_first = F.get(_numbers(bounds), F.col("_bucket")) == F.col("_key") if bounds else F.lit(False)
     df = df.withColumn("_to", F.explode(F.when(is_first, F.array(own, lent)).otherwise(F.array(own))))
     return df.withColumns({"_bucket": F.col("_to.b"), "_lent": F.col("_to.l")}).drop("_to")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import common
-from .common import key_bounds, tidy, with_bucket
+from .common import id_text, key_bounds, tidy, with_bucket, with_id
 from .components import components
 from .words import constants, shingle_hashes, shingle_set, word_hashes
 
@@ -122,8 +122,7 @@ def edited_pairs(docs: DataFrame, plan: MinHashPlan = MinHashPlan()) -> DataFram
             out.append((*row, likeness(own, following)))
 
         for frame in frames:
-            doc_ids = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
-            for b, lent, doc_id, text in zip(frame["_bucket"].tolist(), frame["_lent"].tolist(), doc_ids, frame["text"].tolist(), strict=True):
+            for b, lent, doc_id, text in zip(frame["_bucket"].tolist(), frame["_lent"].tolist(), frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
                 if held is not None and held[0] == b and not held[1]:
                     own, changed, edited = both_fingerprints(held[3], text or "", minhash)
                     own, changed = minhash.short(own), minhash.short(changed)
@@ -135,18 +134,22 @@ def edited_pairs(docs: DataFrame, plan: MinHashPlan = MinHashPlan()) -> DataFram
                     if lent:
                         finish(*waiting, minhash.short(fingerprint(text, minhash)))
                         waiting = None
+                elif held is not None and not held[1]:
+                    raise ValueError("a range of doc_ids ends without the document after it")
                 held = (b, lent, doc_id, text or "")
                 if len(out) >= 512:
-                    yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(out, columns=names)
                     out.clear()
+        if waiting is not None or held is not None and not held[1]:
+            raise ValueError("a range of doc_ids ends without the document after it")
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one = docs.select(id_text().alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = with_bucket(one, bounds, borrow=True).repartitionById(max(1, len(bounds)), F.col("_bucket"))
     ordered = ranged.sortWithinPartitions("_bucket", "_lent", "_key", "text").select("doc_id", "text", "_bucket", "_lent")
-    return ordered.mapInPandas(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                     "edited_fingerprint string, near_edited double, near_next double")
+    return with_id(ordered.mapInPandas(rows, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, "
+                                             "edited_fingerprint string, near_edited double, near_next double"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, plan: MinHashPlan) -> DataFrame:

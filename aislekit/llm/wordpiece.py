@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import tidy
+from .common import id_text, tidy, with_id
 
 END = 256  #: the end-of-word symbol
 _UPPER = bytes(range(65, 91))
@@ -145,8 +145,8 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_words": [len(w) for w in words],
                                 "n_pieces": [sum(map(counts.__getitem__, w)) for w in words]})
 
-    one = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return one.mapInPandas(counted, "doc_id long, n_words long, n_pieces long")
+    one = docs.select(id_text().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_id(one.mapInPandas(counted, "doc_id string, n_words long, n_pieces long"))
 
 
 def op5_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
