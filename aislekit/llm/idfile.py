@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import common
-from .common import key_bounds, tidy, with_bucket
+from .common import id_text, key_bounds, tidy, with_bucket, with_id
 from .tokens import codec
 
 # Fixed values of the format: values in a word and bits of each, by selector (0: escape, 1: not used).
@@ -140,7 +140,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
     @tidy
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = codec(tokenizer)
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[str | None, bytes]] = []
         bucket, number, size = None, 0, 0
 
         def closed() -> pd.DataFrame:
@@ -153,8 +153,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         for frame in frames:
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at:at + 512]
-                doc_ids = [None if pd.isna(d) else int(d) for d in part["doc_id"]]
-                for b, doc_id, ids in zip(part["_bucket"].tolist(), doc_ids, encoder.encode(part["text"].tolist()), strict=True):
+                for b, doc_id, ids in zip(part["_bucket"].tolist(), part["doc_id"].tolist(), encoder.encode(part["text"].tolist()), strict=True):
                     if held and (b != bucket or size >= BLOCK_IDS):
                         yield closed()
                         number, size = (number + 1 if b == bucket else 0), 0
@@ -165,10 +164,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         if held:
             yield closed()
 
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one = docs.select(id_text().alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = with_bucket(one, bounds).repartitionById(max(1, len(bounds)), F.col("_bucket"))
     ordered = ranged.sortWithinPartitions("_bucket", "_key", "text").select("doc_id", "text", "_bucket")
-    ordered.mapInPandas(blocks, BLOCK_SCHEMA).write.mode("overwrite").option("compression", "none").parquet(path)
+    made = ordered.mapInPandas(blocks, BLOCK_SCHEMA.replace("doc_ids array<long>", "doc_ids array<string>"))
+    made.withColumn("doc_ids", F.col("doc_ids").cast("array<bigint>")).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -189,14 +189,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 lengths = np.asarray(row.lengths, np.int64)
                 ends = np.cumsum(lengths)
                 yield pd.DataFrame({
-                    "bucket": row.bucket, "block": row.block, "doc_id": pd.array(row.doc_ids, "Int64") if not any(d != d or d is None for d in row.doc_ids)
-                    else pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], "Int64"),
+                    "bucket": row.bucket, "block": row.block, "doc_id": row.doc_ids,
                     "_at": ends - lengths, "n_tokens": lengths,
                     "ids_crc32": [zlib.crc32(ids[e - n:e].tobytes()) for e, n in zip(ends, lengths, strict=True)]})
 
-    found = file.select("bucket", "block", "doc_ids", "lengths", "words").mapInPandas(
-        documents, "bucket int, block int, doc_id long, _at long, n_tokens long, ids_crc32 long")
-    return found.join(index, ["bucket", "block"]).select(
+    found = file.select("bucket", "block", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "lengths", "words").mapInPandas(
+        documents, "bucket int, block int, doc_id string, _at long, n_tokens long, ids_crc32 long")
+    return with_id(found).join(index, ["bucket", "block"]).select(
         "doc_id", (F.col("before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import common
-from .common import tidy
+from .common import doc_key, id_text, tidy, with_id
 from .tokens import codec
 
 
@@ -83,10 +83,10 @@ def pieces(docs: DataFrame, plan: PackingPlan) -> DataFrame:
                     ids += end
                     out += [(doc_id, i // 4, min(width, len(ids) - i) // 4, zlib.crc32(ids[i:i + width]), len(ids) // 4)
                             for i in range(0, len(ids), width)]
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return with_id(docs.select(id_text().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
+        cut, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"))
 
 
 def pack(docs: DataFrame, plan: PackingPlan) -> DataFrame:
@@ -94,16 +94,16 @@ def pack(docs: DataFrame, plan: PackingPlan) -> DataFrame:
     table = cut_lineage(pieces(docs, plan))
     groups = max(1, round(table.count() / plan.group_pieces))
     # the table is kept, so a repeated task draws the same groups
-    table = table.withColumn("_group", F.floor(F.rand(plan.seed) * groups).cast("long"))
+    table = table.withColumns({"_group": F.floor(F.rand(plan.seed) * groups).cast("long"), "_key": doc_key(table), "doc_id": id_text()})
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        frame = frame.sort_values(["length", "_key", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         placed = first_fit_decreasing(frame["length"].tolist(), plan.capacity)
         number = int(frame["_group"].iloc[0]) << 32
-        return frame.drop(columns="_group").assign(sequence_id=[number + s for s, _ in placed], offset=[o for _, o in placed])
+        return frame.drop(columns=["_group", "_key"]).assign(sequence_id=[number + s for s, _ in placed], offset=[o for _, o in placed])
 
-    return table.groupBy("_group").applyInPandas(
-        packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return with_id(table.groupBy("_group").applyInPandas(
+        packed, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

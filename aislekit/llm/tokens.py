@@ -5,7 +5,7 @@ texts are cut at single spaces and line ends and only words that are new to the
 straight to its merges if they are letters of Latin-1 only, else through all its steps.  A word with ASCII
 marks at its end is the word and those marks.
 Texts where such a cut is not safe (runs of white space, white space at an end) are encoded whole.
-Strings of special tokens in a text are ordinary text.
+Texts that hold the string of a special token are encoded whole as well: the library takes it out first.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # every word comes to it once only
         # white space is dropped between words, or kept as the start of the next one
@@ -132,11 +132,12 @@ class WordCodec:
         if len(self.known) > self.limit:
             self.before, self.known = self.known, {}
         get = self.known.get
-        cuts = [self._cut(t) if t else [] for t in texts]
+        marked = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        cuts = [self._cut(t) if t and i not in marked else [] for i, t in enumerate(texts)]
         found = [list(map(get, c)) for c in cuts]
         late = {i: [j for j, v in enumerate(ids) if v is None] for i, ids in enumerate(found) if None in ids}
         self._learn(list(dict.fromkeys([cuts[i][j] for i, at in late.items() for j in at])))
-        whole = []
+        whole = sorted(marked)
         for i, at in late.items():
             cut, ids = cuts[i], found[i]
             for j in at:

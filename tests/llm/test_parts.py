@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from aislekit.llm import bwt, fingerprints, idfile, ngram_join, packing, pii, words
 from aislekit.llm import quality_classifier as qc
@@ -114,7 +115,9 @@ def test_codec_equals_library(name):
              "\x1c a\x1cb", "a \n b", "ΑΣ ΣΑΣ", "１２ 12³4", "😀 a😀b", "a\r\nb", "don 't", "a\x00b \x00", "İ I", "wait... a,", "a!!! b?.,"]
     texts += ["".join(rnd.choices(["a", "b", "'s", " ", "\n", "  ", "é", "1", "#", "\t", " ", "the", " the", ".", ",\n"], k=rnd.randint(1, 14)))
               for _ in range(1500)]
-    library = codec.tokenizer.encode_batch(texts, add_special_tokens=False)
+    specials = [t.content for t in codec.tokenizer.get_added_tokens_decoder().values()]
+    texts += [a + s + b for s in specials for a in ("", "x", "x ", " ", "\n", "A\n\n") for b in ("", "y", " y", "  ", s, s.upper(), s[1:])]
+    library = Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)
     assert [np.array(e.ids, "<u4").tobytes() for e in library] == codec.encode(texts)
 
 
