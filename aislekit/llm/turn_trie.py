@@ -246,9 +246,10 @@ def shard_nodes(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     node = np.concatenate(levels)
     parent = trie.check[node]
     open_parent = np.isin(parent, list(shared)) & (node > 0)
+    below_root = depth[node] == 1  # the root's name is known to all
     key = [keys.get(s) for s in node.tolist()]
     return pd.DataFrame({
-        "key": key, "parent_key": [keys[p] if o else None for p, o in zip(parent.tolist(), open_parent, strict=True)],
+        "key": key, "parent_key": [keys[p] if o else None for p, o in zip(parent.tolist(), open_parent & ~below_root, strict=True)],
         "conv_id": low[node], "depth": depth[node],
         "parent_conv_id": pd.array(np.where(open_parent | (node == 0), 0, low[parent]), "Int64").copy(),
         "n_convs": n[node], "n_children": children[node], "n_leaves": leaves[node], "gain": gain[node],
@@ -259,8 +260,8 @@ def shard_nodes(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
 def trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """One row per node of the trie of rebuilt conversations; see the module."""
     found = cut_lineage(paths(rebuild(conversations)))
-    total = found.agg(F.sum(F.size("sizes"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_turns))
+    total, smallest = found.agg(F.sum(F.size("sizes")), F.min("conv_id")).first()
+    shards = max(1, math.ceil((total or 0) / shard_turns))
     dealt = cut_lineage(found.repartitionByRange(shards, "path").withColumn("shard", F.spark_partition_id()))
     ends = dealt.groupBy("shard").agg(F.min("path").alias("low"), F.max("path").alias("high"))
     order = Window.orderBy("shard")  # two paths for a shard: one row for SHARD_TURNS turns
@@ -273,7 +274,7 @@ def trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     whole = nodes.where("key is null").unionByName(upper)
     names = upper.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("_up"))
     return whole.join(names, "parent_key", "left").select(
-        "conv_id", "depth", F.coalesce("parent_conv_id", "_up").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        "conv_id", "depth", F.when(F.col("depth") == 1, F.lit(smallest)).otherwise(F.coalesce("parent_conv_id", "_up")).cast("long").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
         (F.col("gain") - F.col("cost")).alias("saved_tokens"), F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256"))
 
 
