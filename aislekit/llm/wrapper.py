@@ -8,8 +8,8 @@ differ elsewhere (their longest blocks are not all equal), else content: a conta
 again beside its host's wrapper: template blocks go, as do containers that mostly hold links; of the rest the page's main
 region is taken, its articles where most of the host's varying text lies in such, else the deepest container with 70 % of it.
 
-Only trees and hashes of blocks are shuffled.  Pages meet wrappers in a join by host that Spark broadcasts only under its own
-measured bound and else splits for hot hosts (AQE).
+Only trees and hashes of blocks are shuffled.  All wrappers are sent to every task if they are measured to be small
+(``BROADCAST_BYTES``); else pages and wrappers are joined by host, and hot hosts split (AQE).
 
 Defined cases: null html is an empty text; pages without a host in their url form a host together; repeated rows each give a row; columns
 other than page_id, url and html are ignored; an empty table gives no rows.  A host with one page has no template, only the
@@ -34,6 +34,8 @@ from . import dom
 FAN_IN = 64
 #: Trees for which a task keeps sums before it hands them on.
 FLUSH = 20000
+#: Wrappers of all hosts that may go to every task; more are joined by host.
+BROADCAST_BYTES = 8 << 20
 #: Share of a page's varying text that makes a container the main region; of articles; share of links that makes a menu.
 DESCEND, ARTICLES, LINKED = 0.7, 0.5, 0.5
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -239,7 +241,9 @@ def extract(pages: DataFrame) -> DataFrame:
     hosted = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html",
                           F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
     found = cut_lineage(induce(hosted))
-    out = hosted.join(found, "host", "left").select("page_id", "url", "html", "wrapper", "slots").mapInPandas(
+    size = found.agg(F.sum(F.octet_length("wrapper") + F.coalesce(F.octet_length("slots"), F.lit(0)))).first()[0] or 0
+    known = F.broadcast(found) if size <= BROADCAST_BYTES else found
+    out = hosted.join(known, "host", "left").select("page_id", "url", "html", "wrapper", "slots").mapInPandas(
         _extract, "page_id string, url string, text string, n_chars long")
     return out.withColumn("page_id", F.col("page_id").cast(id_type))
 
