@@ -19,13 +19,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .features import TfidfModel, balanced_weights, tfidf_vectors
+from . import termrows as R
+from .features import TfidfModel, balanced_weights, row_vectors
 
 # Fixed values of the reference's estimators.
 NB_ALPHA = 1.0
@@ -55,7 +59,15 @@ class NaiveBayesModel:
 def fit_naive_bayes(tfidf: DataFrame, labels: DataFrame, label_codes: DataFrame, vocab_size: int,
                     alpha: float = NB_ALPHA) -> NaiveBayesModel:
     """``tfidf`` = (doc_id, term, tfidf) of training docs, ``labels`` = (doc_id, label)."""
-    train = tfidf.join(labels, "doc_id")
+    return _naive_bayes(tfidf.join(labels, "doc_id"), labels, label_codes, vocab_size, alpha)
+
+
+def fit_naive_bayes_rows(labelled: DataFrame, label_codes: DataFrame, vocab: DataFrame, alpha: float = NB_ALPHA) -> NaiveBayesModel:
+    """M11 from ``doc_id, idx, tf, w, label`` rows: what is shuffled are partial sums by class and term."""
+    return _naive_bayes(R.long_rows(labelled, vocab, "label"), labelled.select("doc_id", "label"), label_codes, vocab.count(), alpha)
+
+
+def _naive_bayes(train: DataFrame, labels: DataFrame, label_codes: DataFrame, vocab_size: int, alpha: float) -> NaiveBayesModel:
     fc = train.groupBy("label", "term").agg(F.sum("tfidf").alias("fc"))
     tot = fc.groupBy("label").agg(F.sum("fc").alias("tot"))
     docs = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -117,6 +129,71 @@ def naive_bayes_predict(model: NaiveBayesModel, doc_ids: DataFrame, tfidf: DataF
             .select("doc_id", F.col("s.label").alias("predicted"), (-F.col("s.nc")).alias("predicted_code")))
 
 
+#: Numbers of a model that may go to every task; larger ones are joined by term.
+MAX_BROADCAST = 1 << 22
+
+
+def score_rows(model: NaiveBayesModel, rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``doc_id, scores`` (as :func:`_with_scores`) of ``doc_id, idx, w`` rows, each scored in its row.
+
+    Classes x vocabulary of a model are counted first: up to ``MAX_BROADCAST`` numbers go to the tasks as a matrix, beyond that
+    terms meet the model in a join.
+    """
+    classes = [r["code"] for r in model.classes.select("code").orderBy("code").limit(MAX_BROADCAST // max(1, model.vocab_size) + 1).collect()]
+    if len(classes) * model.vocab_size > MAX_BROADCAST:
+        return _with_scores(model, rows.select("doc_id"), R.long_rows(rows, vocab))
+    place = {c: i for i, c in enumerate(classes)}
+    matrix = np.zeros((max(1, model.vocab_size), max(1, len(classes))))
+    known = model.features.join(model.classes.select("label", "code"), "label").join(vocab.select("term", "idx"), "term")
+    for r in known.select("idx", "code", "delta").collect():  # no more than the matrix
+        matrix[r["idx"], place[r["code"]]] = r["delta"]
+    sent = rows.sparkSession.sparkContext.broadcast(matrix)
+
+    def scored(batches):
+        delta = sent.value
+        step = max(1, (1 << 21) // delta.shape[1])  # terms at a time
+        for batch in batches:
+            n = len(batch)
+            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(n), lengths)
+            idx, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            sums = np.zeros((n, delta.shape[1]))
+            for at in range(0, len(idx), step):
+                part = slice(at, at + step)
+                first = np.flatnonzero(np.append(True, row[part][1:] != row[part][:-1]))
+                sums[row[part][first]] += np.add.reduceat(delta[idx[part]] * w[part, None], first, axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.bincount(row, w, n)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * delta.shape[1]), pa.array(sums.ravel()))],
+                names=["doc_id", "X", "sp"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sums = rows.select("doc_id", "idx", "w").mapInArrow(scored, f"doc_id {kind}, X double, sp array<double>")
+    la = math.log(model.alpha)
+    params = model.classes.agg(F.sort_array(F.collect_list(F.struct("code", "label", "log_prior", "log_norm"))).alias("classes"))
+
+    def one(c, i):
+        base = c["log_prior"] + F.col("X") * (F.lit(la) - c["log_norm"])
+        return F.struct((base + F.get("sp", i)).alias("jll"), (-c["code"]).alias("nc"), c["label"].alias("label"))
+
+    return sums.withColumn("classes", params.scalar()).select("doc_id", F.transform("classes", one).alias("scores"))
+
+
+def best_class(scores: DataFrame) -> DataFrame:
+    """``doc_id, predicted, predicted_code``; ties go to the smallest code."""
+    return scores.select("doc_id", F.array_max("scores").alias("s")).select(
+        "doc_id", F.col("s.label").alias("predicted"), (-F.col("s.nc")).alias("predicted_code"))
+
+
+def score_probabilities(scores: DataFrame) -> DataFrame:
+    """``doc_id, label, code, proba``, the softmax of a row's scores in the row."""
+    top = F.array_max(F.transform("scores", lambda s: s["jll"]))
+    z = scores.withColumn("_m", top).withColumn("_z", F.transform("scores", lambda s: F.exp(s["jll"] - F.col("_m"))))
+    total = F.aggregate("_z", F.lit(0.0), lambda a, x: a + x)
+    parts = z.select("doc_id", F.posexplode("scores").alias("_i", "s"), "_z", total.alias("_t"))
+    return parts.select("doc_id", "s.label", (-F.col("s.nc")).alias("code"), (F.get("_z", F.col("_i")) / F.col("_t")).alias("proba"))
+
+
 def probabilities(jll: DataFrame, score: str = "jll") -> DataFrame:
     """Softmax over classes per document (a window bounded by the class count)."""
     w = Window.partitionBy("doc_id")
@@ -142,33 +219,29 @@ class MLModel:
     tfidf: TfidfModel
     label_codes: DataFrame
 
-    def predict_labels(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """``doc_id, predicted, predicted_code``: the model's own prediction."""
-        out = self.model.transform(tfidf_vectors(docs, id_col, text_col, self.tfidf))
+    def predict_labels(self, rows: DataFrame) -> DataFrame:
+        """``doc_id, predicted, predicted_code`` of coded rows: the model's own prediction."""
+        out = self.model.transform(row_vectors(rows, self.tfidf))
         return (out.select("doc_id", F.col("prediction").cast("int").alias("code")).join(self.label_codes, "code")
                 .select("doc_id", F.col("label").alias("predicted"), F.col("code").cast("int").alias("predicted_code")))
 
-    def predict(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def predict(self, rows: DataFrame) -> DataFrame:
         """``doc_id, label, code, proba`` per class (for probability metrics)."""
-        out = self.model.transform(tfidf_vectors(docs, id_col, text_col, self.tfidf))
+        out = self.model.transform(row_vectors(rows, self.tfidf))
         probs = (out.select("doc_id", F.posexplode(vector_to_array("probability")).alias("code", "proba"))
                  .join(self.label_codes, "code"))
         return probs.select("doc_id", "label", F.col("code").cast("int").alias("code"), "proba")
 
 
-def _training_frame(train_docs: DataFrame, id_col: str, text_col: str, label: str, tfidf: TfidfModel,
-                    label_codes: DataFrame) -> DataFrame:
-    feats = tfidf_vectors(train_docs, id_col, text_col, tfidf)
-    w = balanced_weights(train_docs, label).select(F.col("label").alias(label), "weight")
-    lab = (train_docs.select(F.col(id_col).alias("doc_id"), label)
-           .join(w, label)
-           .join(label_codes.select(F.col("label").alias(label), "code"), label))
-    return feats.join(lab, "doc_id").select("doc_id", "features", F.col("code").cast("double").alias("y"),
-                                             "weight")
+def _training_frame(labelled: DataFrame, tfidf: TfidfModel, label_codes: DataFrame) -> DataFrame:
+    """``doc_id, features, y, weight`` of ``doc_id, idx, tf, label`` rows."""
+    w = balanced_weights(labelled, "label").select("label", "weight")
+    lab = labelled.select("doc_id", "label").join(w, "label").join(label_codes.select("label", "code"), "label")
+    return row_vectors(labelled, tfidf).join(lab, "doc_id").select(
+        "doc_id", "features", F.col("code").cast("double").alias("y"), "weight")
 
 
-def fit_logistic_regression(train_docs: DataFrame, id_col: str, text_col: str, label: str,
-                            tfidf: TfidfModel, label_codes: DataFrame, c: float = LR_C,
+def fit_logistic_regression(labelled: DataFrame, tfidf: TfidfModel, label_codes: DataFrame, c: float = LR_C,
                             max_iter: int = LR_MAX_ITER) -> MLModel:
     """Multinomial, L2, C = 1, balanced weights.
 
@@ -176,7 +249,7 @@ def fit_logistic_regression(train_docs: DataFrame, id_col: str, text_col: str, l
     sum(w_i * loss_i) / sum(w) + regParam * ||W||^2 / 2, so regParam = 1 / (C * sum(w)).
     With balanced weights sum(w) equals the number of training rows.
     """
-    data = _training_frame(train_docs, id_col, text_col, label, tfidf, label_codes)
+    data = _training_frame(labelled, tfidf, label_codes)
     sw = data.agg(F.sum("weight")).first()[0] or 1.0
     lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight",
                             family="multinomial", regParam=1.0 / (c * sw), elasticNetParam=0.0,
@@ -184,8 +257,7 @@ def fit_logistic_regression(train_docs: DataFrame, id_col: str, text_col: str, l
     return MLModel("logistic_regression", lr.fit(data), tfidf, label_codes)
 
 
-def fit_decision_tree(train_docs: DataFrame, id_col: str, text_col: str, label: str,
-                      tfidf: TfidfModel, label_codes: DataFrame, max_depth: int = TREE_MAX_DEPTH,
+def fit_decision_tree(labelled: DataFrame, tfidf: TfidfModel, label_codes: DataFrame, max_depth: int = TREE_MAX_DEPTH,
                       seed: int = TREE_SEED, max_bins: int = TREE_MAX_BINS) -> MLModel:
     """Gini tree, balanced weights.
 
@@ -193,7 +265,7 @@ def fit_decision_tree(train_docs: DataFrame, id_col: str, text_col: str, label:
     ``max_bins`` - 1 quantiles of it and stops at depth ``max_depth`` (30 is Spark's maximum), so splits may lie
     elsewhere and very deep leaves stay together.
     """
-    data = _training_frame(train_docs, id_col, text_col, label, tfidf, label_codes)
+    data = _training_frame(labelled, tfidf, label_codes)
     dt = DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="weight",
                                 impurity="gini", maxDepth=max_depth, maxBins=max_bins, seed=seed)
     return MLModel("decision_tree", dt.fit(data), tfidf, label_codes)

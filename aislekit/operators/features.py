@@ -1,8 +1,8 @@
 """Catalogue features.
 
-TF-IDF is kept in long form ``(doc_id, term, tf, tfidf)`` so that relational
-operators (Naive Bayes, SQL checks) use it directly; :func:`tfidf_vectors`
-turns the same numbers into ``SparseVector`` features for ``pyspark.ml``.
+TF-IDF is kept as coded rows (``termrows``): a document is one row with its term codes, counts and weights.
+:func:`termrows.long_rows` gives the long form for relational use, :func:`row_vectors` ``SparseVector`` features for
+``pyspark.ml``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .ordering import running_total
+from ..session import cut_lineage
+from . import heavy_hitters as H
+from . import selection as S
+from . import termrows as R
 
 # Fixed values of the reference's preprocessing.
 MAX_FEATURES = 5000      # vocabulary ceiling, word 1-2 grams
@@ -62,31 +65,20 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 # ---------------------------------------------------------------- tf-idf
 
-def _prep(t, normalize: str):
-    if normalize == "train":
-        return X.normalize_train(t)
-    if normalize == "fold":
-        return X.fold_ascii(t)
-    return t
-
-
 def doc_terms(docs: DataFrame, id_col: str, text_col: str, normalize: str = "train") -> DataFrame:
-    """M1/M2/M4: ``(doc_id, term, tf)`` for word 1- and 2-grams.
+    """M1/M2/M4: ``(doc_id, term, tf)`` for all word 1- and 2-grams, whatever the vocabulary.
 
-    ``normalize='train'`` applies X1 first (training side), ``'fold'`` applies
-    X2 (serving side of the reference), ``'none'`` neither.  A document's terms are
-    counted inside its row (runs of the sorted terms): neither text nor tokens are shuffled.
+    A document's terms are counted inside its row (runs of the sorted terms): neither text nor tokens are shuffled.  Rows
+    without terms are dropped after the explode: a filter before it would be pushed below the text work and repeat it.
     """
-    tokens = X.train_tokens("_t") if normalize == "train" else X.word_tokens("_t")
-    terms = (docs.select(F.col(id_col).alias("doc_id"), _prep(F.col(text_col), normalize).alias("_t"))
-             .select("doc_id", tokens.alias("_tok"))
-             .select("doc_id", F.sort_array(X.word_ngrams_1_2("_tok")).alias("_s")))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1),
+    terms = R.token_rows(docs, id_col, text_col, normalize).select(
+        "doc_id", F.sort_array(X.word_ngrams_1_2("tokens")).alias("_s"))
+    starts = F.filter(F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)),
                       lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-    runs = terms.where(F.size("_s") > 0).select("doc_id", "_s", starts.alias("_at"))
+    runs = terms.select("doc_id", "_s", starts.alias("_at"))
     counted = F.transform("_at", lambda i, j: F.struct(
         F.get("_s", i).alias("term"), (F.coalesce(F.get("_at", j + 1), F.size("_s")) - i).cast("long").alias("tf")))
-    return runs.select("doc_id", F.explode(counted).alias("_c")).select("doc_id", "_c.term", "_c.tf")
+    return runs.select("doc_id", F.explode_outer(counted).alias("_c")).where("_c is not null").select("doc_id", "_c.term", "_c.tf")
 
 
 @dataclass
@@ -97,71 +89,76 @@ class TfidfModel:
     n_docs: int
     normalize: str = "train"
 
+    def terms(self) -> list[tuple[str, float]]:
+        """(term, idf) by idx: at most ``MAX_FEATURES`` rows."""
+        return [(r["term"], r["idf"]) for r in self.vocab.select("term", "idf", "idx").orderBy("idx").collect()]
+
+    def rows(self, docs: DataFrame, id_col: str, text_col: str, normalize: str | None = None) -> DataFrame:
+        """``doc_id, idx, tf, w``, one row a document; unknown terms vanish."""
+        known = self.terms()
+        tokens = R.token_rows(docs, id_col, text_col, normalize or self.normalize)
+        return R.weigh_rows(R.code_rows(tokens, [t for t, _ in known]), [i for _, i in known])
+
     def transform(self, docs: DataFrame, id_col: str, text_col: str,
                   normalize: str | None = None) -> DataFrame:
-        """``(doc_id, term, idx, tf, tfidf)``; unknown terms vanish.
-
-        The vocabulary is broadcast: its size is bounded by ``MAX_FEATURES``.
-        """
-        tf = doc_terms(docs, id_col, text_col, normalize or self.normalize)
-        return weigh(tf, self.vocab)
+        """The same in long form: ``(doc_id, term, idx, tf, tfidf)``."""
+        return R.long_rows(self.rows(docs, id_col, text_col, normalize), self.vocab)
 
-    def vectors(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        return tfidf_vectors(docs, id_col, text_col, self)
 
+def fit_rows(tokens: DataFrame, max_features: int = MAX_FEATURES, normalize: str = "train", fit_ids: DataFrame | None = None,
+             capacity: int = H.CAPACITY) -> tuple[TfidfModel, DataFrame]:
+    """M3/M5 on token rows: the model, and ``doc_id, idx, tf, w`` of all rows (kept).
 
-def weigh(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    w = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), on="term")
-    w = w.withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", "idx", "tf", (F.col("_w") / norm).alias("tfidf"))
+    Vocabulary = ``max_features`` terms with the highest corpus count (ties by term), smoothed idf
+    ``ln((1 + n) / (1 + df)) + 1``, fitted on the documents of ``fit_ids`` (default: all).  Heavy-hitter summaries leave candidates;
+    rows are coded by these and kept, and their exact counts decide.  Texts are read twice, and no term is shuffled but
+    those of the summaries.
+    """
+    fitted = tokens if fit_ids is None else tokens.join(fit_ids, "doc_id", "left_semi")
+    found = H.candidates(fitted.select("tokens"), R.gram_values, max_features, capacity)
+    coded = cut_lineage(R.code_rows(tokens, found))
+    counted = coded if fit_ids is None else coded.join(fit_ids, "doc_id", "left_semi")
+    n = counted.count()
+    # codes are places in the sorted candidates, so the smaller code is the smaller term
+    top = R.code_counts(counted).orderBy(F.col("total").desc(), F.col("code")).limit(max_features).collect()
+    rows = [(found[r["code"]], i, r["df"], math.log((1.0 + n) / (1.0 + r["df"])) + 1.0, r["total"], r["code"])
+            for i, r in enumerate(sorted(top, key=lambda r: r["code"]))]
+    spark = tokens.sparkSession
+    vocab = spark.createDataFrame([r[:5] for r in rows], "term string, idx int, df long, idf double, total long")
+    number = [-1] * len(found)
+    weight = [0.0] * len(rows)
+    for _, idx, _, idf, _, code in rows:
+        number[code], weight[idx] = idx, idf
+    weighed = cut_lineage(R.weigh_rows(coded, weight, number))
+    return TfidfModel(cut_lineage(vocab), n, normalize), weighed
 
 
 def fit_tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int = MAX_FEATURES,
-              normalize: str = "train", tf: DataFrame | None = None) -> TfidfModel:
-    """M3/M5: vocabulary = ``max_features`` terms with the highest corpus count
-    (ties by term), smoothed idf ``ln((1 + n) / (1 + df)) + 1``.
-
-    ``tf`` (from :func:`doc_terms`) may be passed when it is already computed,
-    so the corpus is tokenised once for fitting and weighting.
-    """
-    n = docs.count()
-    tf = tf if tf is not None else doc_terms(docs, id_col, text_col, normalize)
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
-    # vocabulary indices in sorted term order, as the reference's vectoriser numbers them
-    vocab = (top.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-             .withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
-             .select("term", "idx", "df", "idf", "total"))
-    return TfidfModel(vocab, n, normalize)
+              normalize: str = "train") -> TfidfModel:
+    """M3/M5: :func:`fit_rows` from texts, the model only."""
+    return fit_rows(R.token_rows(docs, id_col, text_col, normalize), max_features, normalize)[0]
 
 
-def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, model: TfidfModel) -> DataFrame:
-    """``doc_id, features`` (``SparseVector``) with the same numbers as the long form.
+def row_vectors(rows: DataFrame, model: TfidfModel) -> DataFrame:
+    """``doc_id, features`` (``SparseVector``) of ``doc_id, idx, tf`` rows, for ``pyspark.ml``.
 
-    Spark ML transformers do the work JVM-side: ``CountVectorizerModel`` built
-    from our vocabulary counts terms, ``ElementwiseProduct`` multiplies by the
-    idf vector and ``Normalizer`` applies the L2 norm.  Only the vocabulary
-    (at most ``MAX_FEATURES`` rows) passes through the driver.
+    Spark ML transformers do the work JVM-side: ``CountVectorizerModel`` counts the codes, ``ElementwiseProduct``
+    multiplies by idf and ``Normalizer`` applies the L2 norm.
     """
-    rows = model.vocab.select("term", "idx", "idf").orderBy("idx").collect()
-    vocab = [r["term"] for r in rows]
-    idf = Vectors.dense([r["idf"] for r in rows])
-    t = F.col(text_col)
-    if model.normalize == "train":
-        t = X.normalize_train(t)
-    elif model.normalize == "fold":
-        t = X.fold_ascii(t)
-    tokens = X.train_tokens("_t") if model.normalize == "train" else X.word_tokens("_t")
-    base = (docs.select(F.col(id_col).alias("doc_id"), t.alias("_t"))
-            .select("doc_id", tokens.alias("_tok"))
-            .select("doc_id", X.word_ngrams_1_2("_tok").alias("_terms")))
-    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol="_tf")
-    ep = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_w")
+    known = model.terms()
+    codes = F.flatten(F.transform(F.arrays_zip("idx", "tf"), lambda x: F.array_repeat(x["idx"].cast("string"), x["tf"])))
+    cv = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(known))], inputCol="_terms", outputCol="_tf")
+    ep = ElementwiseProduct(scalingVec=Vectors.dense([i for _, i in known]), inputCol="_tf", outputCol="_w")
     nz = Normalizer(p=2.0, inputCol="_w", outputCol="features")
+    base = rows.select("doc_id", codes.alias("_terms"))
     return nz.transform(ep.transform(cv.transform(base))).select("doc_id", "features")
 
 
+def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, model: TfidfModel) -> DataFrame:
+    """``doc_id, features`` of texts, with the same numbers as :meth:`TfidfModel.rows`."""
+    return row_vectors(model.rows(docs, id_col, text_col), model)
+
+
 # ---------------------------------------------------------------- split and weights
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float = TEST_SIZE,
@@ -171,9 +168,9 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
     Sizes follow the reference's splitter: n_test = ceil(test_size * N); train
     quotas per class = floor of the proportional share plus one for the largest
     remainders (ties: label order); test quota = class rows - train quota.  Which
-    rows go to test: the first ``quota`` rows of the class in md5(seed|id) order,
-    numbered with a distributed running count (a large class is spread over
-    many tasks, not gathered in one window partition).
+    rows go to test: the first ``quota`` rows of the class in (md5(seed|id), id) order.  Selection finds each class's last
+    test key (``selection.quota_thresholds``, on the hash's first 60 bits) without sorting rows; a row then compares its own
+    key, and only rows with just that key, one or two for a class, are put in order.
     """
     counts = class_counts(df, label)
     n_total = int(counts.agg(F.sum("n")).first()[0] or 0)
@@ -186,13 +183,17 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
     w = Window.orderBy((F.col("_cont") - F.col("_floor")).desc(), F.col("label"))
     quotas = (q.withColumn("_r", F.row_number().over(w))
               .select(F.col("label").alias(label),
-                      (F.col("n") - F.col("_floor") - F.when(F.col("_r") <= need, 1).otherwise(0))
-                      .alias("_test_quota")))
-    keyed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))))
-    numbered = running_total(keyed, ["_h", id_col], None, [label], out="_k")
-    out = numbered.join(quotas, on=label)
-    return (out.withColumn("split", F.when(F.col("_k") <= F.col("_test_quota"), "test").otherwise("train"))
-            .drop("_h", "_k", "_test_quota"))
+                      (F.col("n") - F.col("_floor") - F.when(F.col("_r") <= need, 1).otherwise(0)).alias("quota")))
+    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    keyed = df.withColumn("_h", hashed).withColumn("_k", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
+    last = S.quota_thresholds(keyed.select(label, "_k"), quotas, label, "_k")
+    edge = keyed.join(last.withColumnRenamed("threshold", "_k"), [label, "_k"]).select(label, "_h", id_col, "left")
+    nth = F.row_number().over(Window.partitionBy(label).orderBy("_h", id_col))
+    edge = edge.withColumn("_nth", nth).where("_nth <= left").select(F.col(label).alias("_l"), F.col("_h").alias("_eh"), F.col(id_col).alias("_e"))
+    marked = keyed.join(last.drop("left"), label, "left").join(
+        edge, (F.col(label) == F.col("_l")) & (F.col("_h") == F.col("_eh")) & (F.col(id_col) == F.col("_e")), "left")
+    test = (F.col("_k") < F.col("threshold")) | F.col("_e").isNotNull()
+    return marked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_k", "threshold", "_l", "_eh", "_e")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

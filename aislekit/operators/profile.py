@@ -1,22 +1,20 @@
 """Table profiling.
 
-Quantiles are exact with pandas' linear interpolation but never gather a
-column into one task: values are first reduced to a (column, value, count)
-histogram (map-side combined), then a distributed running total
-(:func:`ordering.running_total`) gives every distinct value its rank interval,
-and the handful of wanted ranks are picked with a broadcast range join against
-a table whose size is ``columns x quantiles x 2``.
+Quantiles are exact with pandas' linear interpolation and neither sort nor gather a column: radix selection
+(:func:`selection.ranked_values`) finds the values of the wanted ranks in four rounds of counts; ``columns x quantiles x 2``
+of them reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import running_total
+from . import selection as S
 
 QUANTILES = (0.25, 0.5, 0.75)  # fixed: pandas describe() default percentiles
 
@@ -89,26 +87,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str],
 
 
 def quantiles_of_long(long: DataFrame, probs: Sequence[float] = QUANTILES) -> DataFrame:
-    """Exact quantiles of a long ``(column, v)`` table (``column`` may be any grouping label)."""
-    hist = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = running_total(hist, ["v"], weight="cnt", group_cols=["column"], out="cum_end")
-    cum = cum.withColumn("cum_start", F.col("cum_end") - F.col("cnt"))  # 0-based rank range
-    n = hist.groupBy("column").agg(F.sum("cnt").alias("n"))
-    # wanted ranks: columns x quantiles x {floor, ceil}; bounded by the request, not the data
-    wanted = (n.select("column", "n", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"))
-              .select("column", "q", ((F.col("n") - 1) * F.col("q")).alias("h")))
-    picks = wanted.select("column", "q", "h", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.floor("h").cast("long").alias("r")),
-        F.struct(F.lit("hi").alias("side"), F.ceil("h").cast("long").alias("r")))).alias("p")
-    ).select(F.col("column").alias("wanted"), "q", "h", "p.side", "p.r")
-    hit = cum.join(F.broadcast(picks), on=(F.col("column") == F.col("wanted"))
-                   & (F.col("r") >= F.col("cum_start")) & (F.col("r") < F.col("cum_end")))
-    vals = (hit.groupBy("column", "q", "h")
-            .agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
-                 F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi")))
-    return vals.select("column", "q",
-                       (F.col("lo") + (F.col("h") - F.floor("h")) * (F.col("hi") - F.col("lo")))
-                       .alias("value"))
+    """Exact quantiles of a long ``(column, v)`` table; ``column`` is one of a few labels."""
+    sizes = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    places = {(c, float(q)): (n - 1) * float(q) for c, n in sizes.items() for q in probs}
+    wanted = {c: sorted({r for (d, _), h in places.items() if d == c for r in (math.floor(h), math.ceil(h))}) for c in sizes}
+    value = S.ranked_values(long.select("column", F.col("v").cast("double").alias("v")), wanted)
+    rows = []
+    for (c, q), h in places.items():
+        low, high = value[c, math.floor(h)], value[c, math.ceil(h)]
+        rows.append((c, q, low + (h - math.floor(h)) * (high - low)))
+    return long.sparkSession.createDataFrame(rows, "column string, q double, value double")
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

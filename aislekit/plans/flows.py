@@ -35,16 +35,12 @@ def predict_categories(products: DataFrame, product_col: str, prepared: T.Prepar
     if model_choice not in C.MODEL_CHOICES:
         raise ValueError(f"unknown model {model_choice!r}; choose one of {C.MODEL_CHOICES}")
     distinct = products.select(F.col(product_col).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    distinct = distinct.withColumn("text", F.col("doc_id"))
+    # a product is scored in its row, from its text to its class
+    rows = prepared.tfidf.rows(distinct.withColumn("text", F.col("doc_id")), "doc_id", "text", normalize=normalizer)
     if model_choice == "naive_bayes":
-        nb = T.train_naive_bayes(prepared)
-        w = prepared.tfidf.transform(distinct, "doc_id", "text", normalize=normalizer)
-        best = C.naive_bayes_predict(nb, distinct, w)
+        best = C.best_class(C.score_rows(T.train_naive_bayes(prepared), rows, prepared.tfidf.vocab))
     else:
-        m = T.fitted_model(prepared, model_choice)
-        m = C.MLModel(m.kind, m.model, T.FE.TfidfModel(prepared.tfidf.vocab, prepared.tfidf.n_docs, normalizer),
-                      m.label_codes)
-        best = m.predict_labels(distinct, "doc_id", "text")
+        best = T.fitted_model(prepared, model_choice).predict_labels(rows)
     return best.select(F.col("doc_id").alias("product"), F.col("predicted").alias("category"))
 
 
@@ -72,7 +68,9 @@ def receipt_results(predictions: DataFrame) -> DataFrame:
     good = F.to_json(F.struct("receipt_id", items.alias("items")))
     bad = F.to_json(F.struct("receipt_id", F.lit("no product could be classified").alias("error")))
     out = per.select("receipt_no", "receipt_id", F.when(F.col("n") > 0, good).otherwise(bad).alias("json"))
-    return row_index(out, ["receipt_id", "receipt_no"], "rank")
+    # only the keys are put in order; the documents meet their rank by key
+    ranks = row_index(per.select("receipt_no", "receipt_id"), ["receipt_id", "receipt_no"], "rank")
+    return out.join(ranks, ["receipt_no", "receipt_id"])
 
 
 def receipt_json(predictions: DataFrame) -> DataFrame:

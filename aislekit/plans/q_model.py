@@ -330,8 +330,8 @@ def q_saved_models(spark: SparkSession, sf: str) -> DataFrame:
     a, docs = _saved(spark, sf), table(spark, sf, "documents")
     test = a["split"].where("split = 'test'").select("doc_id", "label")
     held = docs.join(test.select("doc_id"), "doc_id", "left_semi")
-    w = a["tfidf"].transform(held, "doc_id", "text")
-    return C.naive_bayes_predict(a["nb"], test, w).join(test, "doc_id").select(
+    rows = a["tfidf"].rows(held, "doc_id", "text")
+    return C.best_class(C.score_rows(a["nb"], rows, a["tfidf"].vocab)).join(test, "doc_id").select(
         "doc_id", F.col("label").alias("y"), F.col("predicted").alias("p"))
 
 
@@ -340,9 +340,8 @@ SELECT pred.doc_id, codes.code, pred.p AS label FROM pred JOIN codes ON codes.la
 def q_decode_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted codes of the hold-out documents, decoded by the label table."""
     p = prepared(spark, sf)
-    test = p.rows("test")
-    w = p.weights.join(test.select("doc_id"), "doc_id", "left_semi")
-    codes = C.naive_bayes_predict(T.train_naive_bayes(p), test, w).select("doc_id", F.col("predicted_code").alias("code"))
+    scores = C.score_rows(T.train_naive_bayes(p), p.coded_of("test"), p.tfidf.vocab)
+    codes = C.best_class(scores).select("doc_id", F.col("predicted_code").alias("code"))
     return codes.join(p.codes, "code").select("doc_id", "code", "label")
 
 

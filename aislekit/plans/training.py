@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..operators import evaluate as E
 from ..operators import features as FE
+from ..operators import termrows as TR
 from ..session import cut_lineage
 
 
@@ -23,13 +24,21 @@ class Prepared:
     docs: DataFrame          # id, text, label (after F1)
     codes: DataFrame         # label, code
     tfidf: FE.TfidfModel
-    weights: DataFrame       # doc_id, term, idx, tf, tfidf (all rows, checkpointed)
+    coded: DataFrame         # doc_id, idx, tf, w (all rows, one a document, checkpointed)
     split: DataFrame         # doc_id, label, split (after F5, checkpointed)
     id_col: str = "doc_id"
     text_col: str = "text"
     label_col: str = "label"
     _cache: dict = field(default_factory=dict)
 
+    @property
+    def weights(self) -> DataFrame:
+        """The coded rows in long form: doc_id, term, idx, tf, tfidf."""
+        return TR.long_rows(self.coded, self.tfidf.vocab)
+
+    def coded_of(self, which: str) -> DataFrame:
+        return self.coded.join(self.rows(which).select("doc_id"), "doc_id", "left_semi")
+
     def rows(self, which: str) -> DataFrame:
         return self.split.where(F.col("split") == which).select("doc_id", "label")
 
@@ -49,18 +58,9 @@ def prepare(df: DataFrame, id_col: str, text_col: str, label_col: str,
     kept = FE.drop_rare_classes(labels, "label")
     split = cut_lineage(FE.stratified_split(kept, id_col, "label")
                         .select(F.col(id_col).alias("doc_id"), "label", "split"))
-    fit_docs = docs
-    if fit_on == "train":
-        fit_docs = docs.join(split.where("split = 'train'").select(F.col("doc_id").alias(id_col)),
-                             id_col, "left_semi")
-    # tokenise once: term counts feed both the vocabulary fit and the weights
-    tf = cut_lineage(FE.doc_terms(docs, id_col, text_col, "train"))
-    fit_tf = tf if fit_on == "all" else tf.join(
-        split.where("split = 'train'").select("doc_id"), "doc_id", "left_semi")
-    model = FE.fit_tfidf(fit_docs, id_col, text_col, max_features, tf=fit_tf)
-    model = FE.TfidfModel(cut_lineage(model.vocab), model.n_docs, model.normalize)
-    weights = cut_lineage(FE.weigh(tf, model.vocab))
-    return Prepared(docs, codes, model, weights, split, id_col, text_col, "label")
+    fit_ids = None if fit_on == "all" else split.where("split = 'train'").select("doc_id")
+    model, coded = FE.fit_rows(TR.token_rows(docs, id_col, text_col, "train"), max_features, "train", fit_ids)
+    return Prepared(docs, codes, model, coded, split, id_col, text_col, "label")
 
 
 def vocab_size(p: Prepared) -> int:
@@ -71,22 +71,18 @@ def vocab_size(p: Prepared) -> int:
 
 def train_naive_bayes(p: Prepared) -> C.NaiveBayesModel:
     if "nb" not in p._cache:
-        train = p.rows("train")
-        tw = p.weights.join(train.select("doc_id"), "doc_id", "left_semi")
-        p._cache["nb"] = C.fit_naive_bayes(tw, train, p.codes, vocab_size(p))
+        labelled = p.coded.join(p.rows("train"), "doc_id")
+        p._cache["nb"] = C.fit_naive_bayes_rows(labelled, p.codes, p.tfidf.vocab)
     return p._cache["nb"]
 
 
 def nb_holdout(p: Prepared) -> tuple[DataFrame, DataFrame]:
-    """Hold-out predictions ``(doc_id, y, p)`` and probabilities ``(doc_id, label, proba)``."""
-    nb = train_naive_bayes(p)
-    test = p.rows("test")
-    tw = p.weights.join(test.select("doc_id"), "doc_id", "left_semi")
-    jll = C.naive_bayes_jll(nb, test, tw)
-    pred = C.naive_bayes_predict(nb, test, tw).join(test, "doc_id").select("doc_id", F.col("label").alias("y"),
-                                                          F.col("predicted").alias("p"))
-    proba = C.probabilities(jll).select("doc_id", "label", "proba")
-    return pred, proba
+    """Hold-out predictions ``(doc_id, y, p)`` and probabilities ``(doc_id, label, proba)``; scored once."""
+    if "nb_scores" not in p._cache:
+        p._cache["nb_scores"] = cut_lineage(C.score_rows(train_naive_bayes(p), p.coded_of("test"), p.tfidf.vocab))
+    scores, test = p._cache["nb_scores"], p.rows("test")
+    pred = C.best_class(scores).join(test, "doc_id").select("doc_id", F.col("label").alias("y"), F.col("predicted").alias("p"))
+    return pred, C.score_probabilities(scores).select("doc_id", "label", "proba")
 
 
 def fitted_model(p: Prepared, kind: str) -> C.MLModel:
@@ -96,15 +92,16 @@ def fitted_model(p: Prepared, kind: str) -> C.MLModel:
         fits = {"logistic_regression": C.fit_logistic_regression, "decision_tree": C.fit_decision_tree}
         if kind not in fits:
             raise ValueError(kind)
-        p._cache[key] = fits[kind](p.docs_of("train"), p.id_col, p.text_col, "label", p.tfidf, p.codes)
+        p._cache[key] = fits[kind](p.coded.join(p.rows("train"), "doc_id"), p.tfidf, p.codes)
     return p._cache[key]
 
 
 def ml_holdout(p: Prepared, kind: str) -> tuple[DataFrame, DataFrame]:
     m = fitted_model(p, kind)
     test = p.rows("test")
-    proba = m.predict(p.docs_of("test"), p.id_col, p.text_col)
-    pred = (m.predict_labels(p.docs_of("test"), p.id_col, p.text_col).join(test, "doc_id")
+    rows = p.coded_of("test")
+    proba = m.predict(rows)
+    pred = (m.predict_labels(rows).join(test, "doc_id")
             .select("doc_id", F.col("label").alias("y"), F.col("predicted").alias("p")))
     return pred, proba.select("doc_id", "label", "proba")
 

@@ -21,7 +21,7 @@ def prepared(spark):
 
 
 def _matrix(p):
-    data = C._training_frame(p.docs_of("train"), "doc_id", "text", "label", p.tfidf, p.codes).orderBy("doc_id").collect()
+    data = C._training_frame(p.coded.join(p.rows("train"), "doc_id"), p.tfidf, p.codes).orderBy("doc_id").collect()
     return (np.array([r["features"].toArray() for r in data]), np.array([int(r["y"]) for r in data]),
             np.array([r["weight"] for r in data]))
 
@@ -55,17 +55,16 @@ def test_logistic_regression_meets_the_newton_solution(spark, prepared):
     x, y, w = _matrix(prepared)
     expected = _newton(x, y, w, 3)
     m = T.fitted_model(prepared, "logistic_regression")
-    got = m.predict(prepared.docs_of("train"), "doc_id", "text").orderBy("doc_id", "code").collect()
+    got = m.predict(prepared.coded_of("train")).orderBy("doc_id", "code").collect()
     found = np.array([r["proba"] for r in got]).reshape(-1, 3)
     assert np.abs(found - expected).max() < 2e-2
-    labels = {r["doc_id"]: r["predicted_code"] for r in m.predict_labels(prepared.docs_of("train"), "doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["predicted_code"] for r in m.predict_labels(prepared.coded_of("train")).collect()}
     assert list(expected.argmax(1)) == [labels[k] for k in sorted(labels)]
 
 
 def test_tree_root_is_the_best_split(spark, prepared):
     x, y, w = _matrix(prepared)
-    root = C.fit_decision_tree(prepared.docs_of("train"), "doc_id", "text", "label", prepared.tfidf, prepared.codes,
-                               max_depth=1).model._call_java("rootNode").split()
+    root = C.fit_decision_tree(prepared.coded.join(prepared.rows("train"), "doc_id"), prepared.tfidf, prepared.codes, max_depth=1).model._call_java("rootNode").split()
 
     def gini(mask):
         share = np.bincount(y[mask], w[mask], 3) / w[mask].sum()

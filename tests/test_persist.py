@@ -46,11 +46,11 @@ def test_prepared_and_models_round_trip(spark):
     b = {r["doc_id"]: r["predicted"] for r in C.argmax_class(C.naive_bayes_jll(nb2, test, w)).collect()}
     assert a == b
 
-    dt = C.fit_decision_tree(p.docs_of("train"), "doc_id", "text", "label", p.tfidf, p.codes, max_depth=5)
+    dt = C.fit_decision_tree(p.coded.join(p.rows("train"), "doc_id"), p.tfidf, p.codes, max_depth=5)
     PS.save_ml_model(dt, os.path.join(root, "dt"))
     dt2 = PS.load_ml_model(spark, os.path.join(root, "dt"), art["tfidf"])
-    pa = dt.predict(p.docs_of("test"), "doc_id", "text").orderBy("doc_id", "code").collect()
-    pb = dt2.predict(p.docs_of("test"), "doc_id", "text").orderBy("doc_id", "code").collect()
+    pa = dt.predict(p.coded_of("test")).orderBy("doc_id", "code").collect()
+    pb = dt2.predict(p.coded_of("test")).orderBy("doc_id", "code").collect()
     assert [(r["doc_id"], r["label"], round(r["proba"], 9)) for r in pa] == \
         [(r["doc_id"], r["label"], round(r["proba"], 9)) for r in pb]
     assert dt2.kind == "decision_tree"
