@@ -29,6 +29,7 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # of words; texts that hold such tokens go another way
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # every word comes to it once only
@@ -132,12 +133,12 @@ class WordCodec:
         if len(self.known) > self.limit:
             self.before, self.known = self.known, {}
         get = self.known.get
-        marked = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        marked = [i for i, t in enumerate(texts) if t and any(s in t for s in self.special)]
         cuts = [self._cut(t) if t and i not in marked else [] for i, t in enumerate(texts)]
         found = [list(map(get, c)) for c in cuts]
         late = {i: [j for j, v in enumerate(ids) if v is None] for i, ids in enumerate(found) if None in ids}
         self._learn(list(dict.fromkeys([cuts[i][j] for i, at in late.items() for j in at])))
-        whole = sorted(marked)
+        whole = []
         for i, at in late.items():
             cut, ids = cuts[i], found[i]
             for j in at:
@@ -147,6 +148,11 @@ class WordCodec:
         out = [b"" if None in ids else b"".join(ids) for ids in found]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
+        if marked:
+            self.tokenizer.encode_special_tokens = False
+            for i, ids in zip(marked, self._library([texts[i] for i in marked]), strict=True):
+                out[i] = ids
+            self.tokenizer.encode_special_tokens = True
         return out
 
 
