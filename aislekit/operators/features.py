@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut_lineage
+from ..session import cut_lineage, small, spread
 from . import heavy_hitters as H
 from . import selection as S
 from . import termrows as R
@@ -136,7 +136,7 @@ def fit_rows(tokens: DataFrame, max_features: int = MAX_FEATURES, normalize: str
 def fit_tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int = MAX_FEATURES,
               normalize: str = "train") -> TfidfModel:
     """M3/M5: :func:`fit_rows` from texts, the model only."""
-    return fit_rows(R.token_rows(docs, id_col, text_col, normalize), max_features, normalize)[0]
+    return fit_rows(R.token_rows(spread(docs.select(id_col, text_col)), id_col, text_col, normalize), max_features, normalize)[0]
 
 
 def row_vectors(rows: DataFrame, model: TfidfModel) -> DataFrame:
@@ -187,11 +187,11 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
     keyed = df.withColumn("_h", hashed).withColumn("_k", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
     last = S.quota_thresholds(keyed.select(label, "_k"), quotas, label, "_k")
-    edge = keyed.join(last.withColumnRenamed("threshold", "_k"), [label, "_k"]).select(label, "_h", id_col, "left")
+    edge = keyed.join(small(last.withColumnRenamed("threshold", "_k")), [label, "_k"]).select(label, "_h", id_col, "left")
     nth = F.row_number().over(Window.partitionBy(label).orderBy("_h", id_col))
     edge = edge.withColumn("_nth", nth).where("_nth <= left").select(F.col(label).alias("_l"), F.col("_h").alias("_eh"), F.col(id_col).alias("_e"))
-    marked = keyed.join(last.drop("left"), label, "left").join(
-        edge, (F.col(label) == F.col("_l")) & (F.col("_h") == F.col("_eh")) & (F.col(id_col) == F.col("_e")), "left")
+    marked = keyed.join(small(last.drop("left")), label, "left").join(
+        small(cut_lineage(edge)), (F.col(label) == F.col("_l")) & (F.col("_h") == F.col("_eh")) & (F.col(id_col) == F.col("_e")), "left")
     test = (F.col("_k") < F.col("threshold")) | F.col("_e").isNotNull()
     return marked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_k", "threshold", "_l", "_eh", "_e")
 

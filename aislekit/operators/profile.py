@@ -79,62 +79,52 @@ def null_counts(df: DataFrame) -> DataFrame:
         for c in df.columns])).alias("s")).select("s.*")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str],
-                    probs: Sequence[float] = QUANTILES) -> DataFrame:
-    """(column, q, value) with linear interpolation at position (n - 1) * q."""
-    long = _long_values(df, cols, "double").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    return quantiles_of_long(long, probs)
+def _finite(c: str):
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
 
 
-def quantiles_of_long(long: DataFrame, probs: Sequence[float] = QUANTILES) -> DataFrame:
-    """Exact quantiles of a long ``(column, v)`` table; ``column`` is one of a few labels."""
-    sizes = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = {(c, float(q)): (n - 1) * float(q) for c, n in sizes.items() for q in probs}
-    wanted = {c: sorted({r for (d, _), h in places.items() if d == c for r in (math.floor(h), math.ceil(h))}) for c in sizes}
-    value = S.ranked_values(long.select("column", F.col("v").cast("double").alias("v")), wanted)
-    rows = []
+def _quantiles(df: DataFrame, sizes: dict[str, int], probs: Sequence[float]) -> dict[tuple[str, float], float]:
+    """{(column, q): value} with linear interpolation at position (n - 1) * q of n values."""
+    places = {(c, float(q)): (n - 1) * float(q) for c, n in sizes.items() if n for q in probs}
+    wanted = {c: sorted({r for (d, _), h in places.items() if d == c for r in (math.floor(h), math.ceil(h))}) for c, n in sizes.items() if n}
+    value = S.ranked_values(df, wanted) if wanted else {}
+    out = {}
     for (c, q), h in places.items():
         low, high = value[c, math.floor(h)], value[c, math.ceil(h)]
-        rows.append((c, q, low + (h - math.floor(h)) * (high - low)))
-    return long.sparkSession.createDataFrame(rows, "column string, q double, value double")
+        out[c, q] = low + (h - math.floor(h)) * (high - low) if high != low else low
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUANTILES) -> DataFrame:
+    """(column, q, value) with linear interpolation at position (n - 1) * q."""
+    counts = df.agg(*[F.count(_finite(c)).alias(c) for c in cols]).first()
+    found = _quantiles(df, {c: counts[c] for c in cols}, probs)
+    return df.sparkSession.createDataFrame([(c, q, v) for (c, q), v in found.items()], "column string, q double, value double")
+
+
+_DESCRIBED = "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+
+
+def _described(df: DataFrame, cols: Sequence[str]) -> list[tuple]:
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[f(_finite(c)).alias(f"{s}_{i}") for i, c in enumerate(cols) for s, f in stats.items()]).first()
+    at = {c: {s: row[f"{s}_{i}"] for s in stats} for i, c in enumerate(cols)}
+    q = _quantiles(df, {c: at[c]["count"] for c in cols}, QUANTILES)
+    return [(c, at[c]["count"], at[c]["mean"], at[c]["std"], at[c]["min"], *(q.get((c, p)) for p in QUANTILES), at[c]["max"])
+            for c in cols if at[c]["count"]]
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Column, count, mean, std, min, p25, p50, p75, max (pandas ``describe``)."""
-    cols = list(cols or numeric_columns(df))
-    long = _long_values(df, cols, "double").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    return describe_long(long)
+    """Column, count, mean, std, min, p25, p50, p75, max (pandas ``describe``); a row for each column with values."""
+    return df.sparkSession.createDataFrame(_described(df, list(cols or numeric_columns(df))), _DESCRIBED)
 
 
 def describe_tables(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """P4 for several tables in one pass: ``tbl`` + the :func:`describe_numeric` columns.
-
-    All tables' values share one histogram and one distributed running total.
-    """
-    parts = [_long_values(df, cols, "double").select(F.lit(name).alias("tbl"), "column", "v")
-             for name, (df, cols) in tables.items()]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    long = long.where(F.col("v").isNotNull() & ~F.isnan("v")).select(
-        F.concat_ws("\x1f", "tbl", "column").alias("column"), "v")
-    out = describe_long(long)
-    key = F.split(F.col("column"), "\x1f")
-    return out.select(key[0].alias("tbl"), key[1].alias("column"),
-                      *[c for c in out.columns if c != "column"])
-
-
-def describe_long(long: DataFrame) -> DataFrame:
-    basic = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
-    q = quantiles_of_long(long)
-    piv = q.groupBy("column").pivot("q", [float(x) for x in QUANTILES]).agg(F.first("value"))
-    names = {str(float(x)): f"p{int(round(x * 100))}" for x in QUANTILES}
-    for k, v in names.items():
-        piv = piv.withColumnRenamed(k, v)
-    return basic.join(piv, on="column", how="left").select(
-        "column", "count", "mean", "std", "min", *names.values(), "max")
+    """P4 for several tables: ``tbl`` + the :func:`describe_numeric` columns."""
+    rows = [(name, *row) for name, (df, cols) in tables.items() for row in _described(df, cols)]
+    spark = next(iter(tables.values()))[0].sparkSession
+    return spark.createDataFrame(rows, f"tbl string, {_DESCRIBED}")
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

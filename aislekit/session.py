@@ -64,6 +64,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+#: Rows of a table of classes or the like that may go to every task.
+BROADCAST_ROWS = 100_000
+
+
+def small(df):
+    """``df``, a kept table, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows (counted); else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def spread(df):
+    """``df`` over at least as many tasks as there are cores, for text work on few files; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df):
     """Reliable checkpoint: materialise ``df`` in the shared folder and restart lineage.
 

@@ -143,20 +143,23 @@ def test_image_keeps_the_order_of_doubles():
 def test_ranked_values_without_a_sort(spark):
     rng = np.random.default_rng(7)
     data = {"a": rng.normal(size=1000), "b": np.round(rng.normal(size=777), 1), "c": np.array([3.5]), "d": np.repeat([1e300, -1e-300], 50)}
-    df = spark.createDataFrame([(c, float(v)) for c, x in data.items() for v in x], "column string, v double").repartition(5)
+    longest = max(map(len, data.values()))
+    rows = [tuple(float(x[i]) if i < len(x) else (None, float("nan"))[i % 2] for x in data.values()) for i in range(longest)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(5)
     wanted = {c: sorted({0, len(x) // 3, len(x) // 2, len(x) - 1}) for c, x in data.items()}
     assert S.ranked_values(df, wanted) == {(c, r): float(np.sort(data[c])[r]) for c, ranks in wanted.items() for r in ranks}
 
 
-@pytest.mark.parametrize("bits", [60, 12])
-def test_quota_thresholds(spark, bits):
+@pytest.mark.parametrize("rounds", [S.ROUNDS, (6, 3, 3)])
+def test_quota_thresholds(spark, rounds):
     """Also where many rows share a key: 12 bits for 3000 rows."""
+    bits = sum(rounds)
     rng = random.Random(bits)
     rows = [(rng.choice("aabc"), rng.randrange(1 << bits)) for _ in range(3000)]
     df = spark.createDataFrame(rows, "label string, k long")
     quotas = {"a": 700, "b": 1, "c": 0}
     got = {r["label"]: (r["threshold"], r["left"]) for r in S.quota_thresholds(
-        df, spark.createDataFrame(list(quotas.items()), "label string, quota long"), "label", "k", bits).collect()}
+        df, spark.createDataFrame(list(quotas.items()), "label string, quota long"), "label", "k", rounds).collect()}
     for c, q in quotas.items():
         keys = sorted(k for x, k in rows if x == c)
         assert got.get(c) == ((keys[q - 1], q - sum(k < keys[q - 1] for k in keys)) if q else None)
