@@ -10,8 +10,8 @@
   where F_ct is the summed TF-IDF of term t in class c, T_c its row sum, V the
   vocabulary size and X_d the sum of the document's weights.  The sparse part
   joins only the (class, term) pairs seen in training.
-* Logistic regression (M12) and the decision tree (M13) are ``pyspark.ml``
-  estimators on ``SparseVector`` features built JVM-side.
+* Logistic regression (M12) is solved by Newton steps over the coded rows (``softmax``).
+* The decision tree (M13) is a ``pyspark.ml`` estimator on ``SparseVector`` features built JVM-side.
 """
 
 from __future__ import annotations
@@ -22,20 +22,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import softmax
 from . import termrows as R
 from .features import TfidfModel, balanced_weights, row_vectors
 
 # Fixed values of the reference's estimators.
 NB_ALPHA = 1.0
 LR_C = 1.0
-LR_MAX_ITER = 5000
-LR_TOL = 1e-4                # the reference estimator's default stopping tolerance
+LR_MAX_ITER = 5000           # of the reference's solver; Newton steps end far earlier
 TREE_SEED = 42
 TREE_MAX_DEPTH = 30          # Spark's ceiling; the reference grows the tree without limit
 TREE_MAX_BINS = 32           # Spark's default number of threshold candidates
@@ -151,17 +151,12 @@ def score_rows(model: NaiveBayesModel, rows: DataFrame, vocab: DataFrame) -> Dat
 
     def scored(batches):
         delta = sent.value
-        step = max(1, (1 << 21) // delta.shape[1])  # terms at a time
         for batch in batches:
             n = len(batch)
             lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(n), lengths)
             idx, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            sums = np.zeros((n, delta.shape[1]))
-            for at in range(0, len(idx), step):
-                part = slice(at, at + step)
-                first = np.flatnonzero(np.append(True, row[part][1:] != row[part][:-1]))
-                sums[row[part][first]] += np.add.reduceat(delta[idx[part]] * w[part, None], first, axis=0)
+            sums = R.products(row, idx, w, n, delta)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.bincount(row, w, n)),
                  pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * delta.shape[1]), pa.array(sums.ravel()))],
@@ -242,19 +237,9 @@ def _training_frame(labelled: DataFrame, tfidf: TfidfModel, label_codes: DataFra
 
 
 def fit_logistic_regression(labelled: DataFrame, tfidf: TfidfModel, label_codes: DataFrame, c: float = LR_C,
-                            max_iter: int = LR_MAX_ITER) -> MLModel:
-    """Multinomial, L2, C = 1, balanced weights.
-
-    The reference minimises C * sum(w_i * loss_i) + ||W||^2 / 2; Spark minimises
-    sum(w_i * loss_i) / sum(w) + regParam * ||W||^2 / 2, so regParam = 1 / (C * sum(w)).
-    With balanced weights sum(w) equals the number of training rows.
-    """
-    data = _training_frame(labelled, tfidf, label_codes)
-    sw = data.agg(F.sum("weight")).first()[0] or 1.0
-    lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight",
-                            family="multinomial", regParam=1.0 / (c * sw), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=LR_TOL)
-    return MLModel("logistic_regression", lr.fit(data), tfidf, label_codes)
+                            max_iter: int = LR_MAX_ITER) -> softmax.SoftmaxModel:
+    """Multinomial, L2, C = 1, balanced weights: the minimum of C * sum(w_i * loss_i) + ||W||^2 / 2."""
+    return softmax.fit(labelled, tfidf.vocab.count(), label_codes, c, max_steps=max_iter)
 
 
 def fit_decision_tree(labelled: DataFrame, tfidf: TfidfModel, label_codes: DataFrame, max_depth: int = TREE_MAX_DEPTH,

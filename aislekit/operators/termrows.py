@@ -115,6 +115,17 @@ def weigh_rows(coded: DataFrame, idf: list[float], renumber: list[int] | None =
     return coded.select("doc_id", "idx", "tf").mapInArrow(weighed, f"doc_id {kind}, idx array<int>, tf array<int>, w array<double>")
 
 
+def products(row: np.ndarray, idx: np.ndarray, w: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
+    """n sparse rows times a terms x classes matrix, a bounded number of terms at a time."""
+    out = np.zeros((n, matrix.shape[1]))
+    step = max(1, (1 << 21) // max(1, matrix.shape[1]))
+    for at in range(0, len(idx), step):
+        part = slice(at, at + step)
+        first = np.flatnonzero(np.append(True, row[part][1:] != row[part][:-1]))
+        out[row[part][first]] += np.add.reduceat(matrix[idx[part]] * w[part, None], first, axis=0)
+    return out
+
+
 def code_counts(coded: DataFrame) -> DataFrame:
     """``code, total, df``: occurrences and documents of every code."""
     return (coded.select(F.explode_outer(F.arrays_zip("idx", "tf")).alias("c")).select(F.col("c.idx").alias("code"), F.col("c.tf").alias("tf"))

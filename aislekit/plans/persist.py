@@ -8,7 +8,7 @@ directory, written and read in parallel:
 * vectoriser: vocabulary table (term, idx, df, idf) + the fitted row count;
 * label encoder: (label, code);
 * Naive Bayes: its class table and (class, term) table;
-* logistic regression / decision tree: ``model.write().overwrite().save``.
+* logistic regression: its parameters by class; decision tree: ``model.write().overwrite().save``.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegressionModel
+import numpy as np
+from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify as C
 from ..operators import features as FE
+from ..operators.softmax import SoftmaxModel
 from . import training as T
 
 
@@ -70,19 +72,25 @@ def load_naive_bayes(spark: SparkSession, root: str) -> C.NaiveBayesModel:
                              float(meta["alpha"]), int(meta["vocab_size"]))
 
 
-def save_ml_model(m: C.MLModel, root: str) -> None:
-    m.model.write().overwrite().save(os.path.join(root, "model"))
+def save_ml_model(m: C.MLModel | SoftmaxModel, root: str) -> None:
+    if isinstance(m, SoftmaxModel):
+        rows = [(code, row.tolist()) for code, row in enumerate(m.theta)]
+        m.label_codes.sparkSession.createDataFrame(rows, "code int, theta array<double>").write.mode("overwrite").parquet(os.path.join(root, "model"))
+    else:
+        m.model.write().overwrite().save(os.path.join(root, "model"))
     m.label_codes.write.mode("overwrite").parquet(os.path.join(root, "codes"))
     spark = m.label_codes.sparkSession
     spark.createDataFrame([(json.dumps({"kind": m.kind}),)], "meta string") \
         .write.mode("overwrite").text(_meta_path(root))
 
 
-def load_ml_model(spark: SparkSession, root: str, tfidf: FE.TfidfModel) -> C.MLModel:
+def load_ml_model(spark: SparkSession, root: str, tfidf: FE.TfidfModel) -> C.MLModel | SoftmaxModel:
     kind = json.loads(spark.read.text(_meta_path(root)).first()[0])["kind"]
-    cls = LogisticRegressionModel if kind == "logistic_regression" else DecisionTreeClassificationModel
-    return C.MLModel(kind, cls.load(os.path.join(root, "model")), tfidf,
-                     spark.read.parquet(os.path.join(root, "codes")))
+    codes = spark.read.parquet(os.path.join(root, "codes"))
+    if kind == "logistic_regression":
+        rows = spark.read.parquet(os.path.join(root, "model")).orderBy("code").collect()  # one for each class
+        return SoftmaxModel(np.array([r["theta"] for r in rows]), codes)
+    return C.MLModel(kind, DecisionTreeClassificationModel.load(os.path.join(root, "model")), tfidf, codes)
 
 
 def split_sets(sets: DataFrame, which: str) -> DataFrame:

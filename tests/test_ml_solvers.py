@@ -57,7 +57,7 @@ def test_logistic_regression_meets_the_newton_solution(spark, prepared):
     m = T.fitted_model(prepared, "logistic_regression")
     got = m.predict(prepared.coded_of("train")).orderBy("doc_id", "code").collect()
     found = np.array([r["proba"] for r in got]).reshape(-1, 3)
-    assert np.abs(found - expected).max() < 2e-2
+    assert np.abs(found - expected).max() < 1e-5
     labels = {r["doc_id"]: r["predicted_code"] for r in m.predict_labels(prepared.coded_of("train")).collect()}
     assert list(expected.argmax(1)) == [labels[k] for k in sorted(labels)]
 

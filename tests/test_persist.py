@@ -54,3 +54,10 @@ def test_prepared_and_models_round_trip(spark):
     assert [(r["doc_id"], r["label"], round(r["proba"], 9)) for r in pa] == \
         [(r["doc_id"], r["label"], round(r["proba"], 9)) for r in pb]
     assert dt2.kind == "decision_tree"
+
+    lr = C.fit_logistic_regression(p.coded.join(p.rows("train"), "doc_id"), p.tfidf, p.codes)
+    PS.save_ml_model(lr, os.path.join(root, "lr"))
+    lr2 = PS.load_ml_model(spark, os.path.join(root, "lr"), art["tfidf"])
+    assert (lr2.theta == lr.theta).all() and lr2.kind == "logistic_regression"
+    pa, pb = (sorted(m.predict(p.coded_of("test")).collect()) for m in (lr, lr2))
+    assert pa == pb
