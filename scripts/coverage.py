@@ -10,7 +10,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 IMPL = {
-    "S1": "sources/tables.read_catalogue", "S2": "sources/receipts.read_receipts, receipts_from_texts, require_nonempty",
+    "S1": "sources/tables.read_catalogue", "S2": "sources/lines.read_lines, sources/receipts.read_receipts, receipts_from_texts, require_nonempty",
     "S3": "sources/receipts.receipts_from_texts (running_total numbering)", "S4": "sources/receipts.receipt_items",
     "S5": "sources/shelves.shelves_from_json, require_shelves", "S6": "sources/shelves.shelf_grid",
     "S7": "plans/persist.save_prepared (partitionBy split)", "S8": "plans/persist save/load of vocabulary, codes, NB, Spark ML models",
@@ -38,7 +38,7 @@ IMPL = {
     "A17": "operators/evaluate.weighted_precision", "A18": "operators/evaluate.log_loss", "A19": "operators/evaluate.roc_auc_ovr",
     "A20": "plans/training.compare_models", "A21": "operators/rules.RuleAnalysis.summary, plans/flows.ShelfPlan.summary",
     "W1": "operators/placement.category_scores (rank)", "W2": "operators/placement.place(maximize) rank by distance",
-    "W3": "operators/placement.place(minimize)", "W4": "operators/features.stratified_split (distributed running count)",
+    "W3": "operators/placement.place(minimize)", "W4": "operators/features.stratified_split, selection.quota_thresholds",
     "W5": "operators/rules.keep_stronger_direction", "W6": "operators/insight.first_relation", "W7": "operators/insight.score_chart",
     "O1": "operators/rules.order_rules", "O2": "operators/rules.top_rules", "O3": "operators/features.top_classes",
     "O4": "plans/flows.receipt_json; receipt ids sort as text", "O5": "operators/insight.category_detail_nested",
@@ -51,11 +51,11 @@ IMPL = {
     "X10": "operators/insight.shelf_positions_scaled", "X11": "operators/insight.fade", "X12": "functions/text.fixed",
     "X13": "operators/insight.score_chart", "X14": "operators/placement.category_relations / category_scores (concat)",
     "X15": "sources/shelves.shelves_from_json (from_json), plans/flows.receipt_json (to_json)",
-    "M1": "functions/text.word_tokens, train_tokens", "M2": "functions/text.word_ngrams_1_2", "M3": "operators/features.fit_tfidf",
-    "M4": "operators/features.doc_terms", "M5": "operators/features.fit_tfidf (smoothed idf + 1)", "M6": "operators/features.weigh",
+    "M1": "functions/text.word_tokens, train_tokens", "M2": "functions/text.word_ngrams_1_2", "M3": "operators/features.fit_rows, heavy_hitters.candidates",
+    "M4": "operators/termrows.code_rows, features.doc_terms", "M5": "operators/features.fit_tfidf (smoothed idf + 1)", "M6": "operators/termrows.weigh_rows",
     "M7": "operators/features.label_codes", "M8": "operators/classify.naive_bayes_predict, MLModel.predict_labels (label from code)",
-    "M9": "operators/features.stratified_split", "M10": "operators/features.balanced_weights",
-    "M11": "operators/classify.fit_naive_bayes, naive_bayes_predict, naive_bayes_jll", "M12": "operators/classify.fit_logistic_regression",
+    "M9": "operators/features.stratified_split, selection.quota_thresholds", "M10": "operators/features.balanced_weights",
+    "M11": "operators/classify.fit_naive_bayes, naive_bayes_predict, naive_bayes_jll", "M12": "operators/softmax.fit, classify.fit_logistic_regression",
     "M13": "operators/classify.fit_decision_tree", "M14": "plans/flows.predict_categories", "M15": "operators/classify.probabilities",
     "M16": "plans/flows.receipt_predictions", "M17": "plans/training.holdout",
     "R1": "operators/rules.analyze", "R2": "operators/rules.RuleAnalysis.status_col", "R3": "operators/placement.category_relations",
