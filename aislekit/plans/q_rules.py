@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sorted_key
+from ..operators import closed as CL
 from ..operators import rules as R
-from ..operators.baskets import support_choice_frame
+from ..operators.baskets import category_baskets, support_choice_frame
+from ..sources.tables import table
 from .driver_tables import baskets_by_name, cached_analysis, order_baskets, sql_basket_items
 from .registry import register
 
@@ -31,8 +33,8 @@ FALLBACK_SUPPORT = ("CASE WHEN top * 10 >= n THEN 0.1 WHEN n >= 2 AND top >= 2 T
 
 
 def _support_count(support: str) -> str:
-    """Exact integer minimum count for the supports used here (0.1, 0.01, or the A8 fallback)."""
-    return {"0.1": "(n + 9) // 10", "0.01": "(n + 99) // 100", "fallback": FALLBACK_COUNT}[support]
+    """Exact integer minimum count for the supports used here (0.1, 0.05, 0.01, or the A8 fallback)."""
+    return {"0.1": "(n + 9) // 10", "0.05": "(n + 19) // 20", "0.01": "(n + 99) // 100", "fallback": FALLBACK_COUNT}[support]
 
 
 def sql_itemsets_ctes(name: str, support: str, max_k: int, bi_sql: str | None = None) -> str:
@@ -167,3 +169,86 @@ def q_rule_status(spark: SparkSession, sf: str) -> DataFrame:
         a = cached_analysis(spark, sf, name, float(support))
         frames.append(a.summary().select(F.lit(name).alias("basket_set"), "*"))
     return reduce(DataFrame.unionByName, frames)
+
+
+# ---------------------------------------------------------------- closed itemsets, the fallback's last threshold
+
+_ORIGIN_SUPPORT = 0.05
+_ORIGIN_BI = """SELECT DISTINCT l.l_orderkey AS basket_id, unnest([n.n_name, r.r_name]) AS item
+FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey"""
+# 7 items: no origin set of more reaches the support, and a set's supersets are in the list as well
+_CLOSED_CTES = f"""{sql_itemsets_ctes('', str(_ORIGIN_SUPPORT), 7, _ORIGIN_BI)},
+parts AS (SELECT items, freq, unnest(range(1, k + 1)) AS drop FROM its WHERE k >= 2),
+subs AS (SELECT list_filter(items, lambda x, i: i <> drop) AS sub, items, freq FROM parts),
+closed AS (SELECT * FROM its WHERE NOT EXISTS (SELECT 1 FROM subs WHERE subs.sub = its.items AND subs.freq = its.freq))"""
+
+_CLOSED: dict = {}
+
+
+def _closed(spark: SparkSession, sf: str, name: str) -> CL.ClosedItemsets:
+    """Closed sets of the orders' supplier nations and regions, or of the orders' own lines; once per process."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _CLOSED:
+        li = table(spark, sf, "lineitem")
+        if name == "lines":
+            item = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+            _CLOSED[key] = CL.closed_itemsets(category_baskets(li.select("l_orderkey", item.alias("item")), "l_orderkey", "item"))
+        else:
+            places = (table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+                      .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+            lines = (li.select("l_orderkey", "l_suppkey").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+                     .select("l_orderkey", F.explode(F.array("n_name", "r_name")).alias("item")))
+            _CLOSED[key] = CL.closed_itemsets(category_baskets(lines, "l_orderkey", "item"), _ORIGIN_SUPPORT)
+    return _CLOSED[key]
+
+
+@register("closed_itemsets", "A7 F7", sql=f"""WITH {_CLOSED_CTES}
+SELECT array_to_string(items, '|') AS items_key, CAST(k AS INTEGER) AS k, freq,
+       round(CAST(freq AS DOUBLE) / (SELECT n FROM nn), 6) AS support FROM closed""")
+def q_closed_itemsets(spark: SparkSession, sf: str) -> DataFrame:
+    return _closed(spark, sf, "origins").sets().select(
+        sorted_key("items").alias("items_key"), "k", "freq", F.round("support", R6).alias("support"))
+
+
+@register("itemset_generators", "A7 A9", sql=f"""WITH {_CLOSED_CTES},
+gen AS (SELECT items, freq FROM its WHERE freq < (SELECT n FROM nn) AND NOT EXISTS (
+          SELECT 1 FROM subs JOIN its s ON s.items = subs.sub AND s.freq = subs.freq WHERE subs.items = its.items))
+SELECT array_to_string(gen.items, '|') AS generator_key, array_to_string(c.items, '|') AS closure_key, gen.freq
+FROM gen JOIN closed c ON c.freq = gen.freq AND list_has_all(c.items, gen.items)""")
+def q_itemset_generators(spark: SparkSession, sf: str) -> DataFrame:
+    return CL.generator_items(_closed(spark, sf, "origins")).select(
+        sorted_key("items").alias("generator_key"), sorted_key("closure").alias("closure_key"), "freq")
+
+
+# brute force: every subset and every rule of every basket is listed
+_LINE_BI = "SELECT DISTINCT l_orderkey AS basket_id, concat_ws('-', l_orderkey, l_linenumber) AS item FROM lineitem"
+
+
+def _sql_lines(max_k: int = 7) -> str:
+    return f"""{sql_itemsets_ctes('', 'fallback', max_k, _LINE_BI)},
+{RULES_CTES.rsplit(",\nkept AS", 1)[0]},
+kept AS (SELECT * FROM pos WHERE freq_a < freq_b OR (freq_a = freq_b AND if_key < then_key))"""
+
+
+@register("sparse_rule_status", "A8 A9 A21 R1 R2", sql=f"""WITH {_sql_lines()}
+SELECT CASE WHEN (SELECT n FROM nn) <= 1 THEN 'insufficient_transactions'
+            WHEN (SELECT count(*) FROM its) = 0 THEN 'no_frequent_itemsets'
+            WHEN (SELECT count(*) FROM its WHERE k >= 2) = 0 THEN 'no_rules'
+            WHEN (SELECT count(*) FROM kept) = 0 THEN 'no_positive_rules' ELSE 'ok' END AS status,
+       (SELECT n FROM nn) AS total_transactions, round((SELECT s FROM mc), 12) AS min_support_used,
+       (SELECT count(DISTINCT basket_id) FROM bi) AS n_closed, (SELECT count(*) FROM its) AS n_itemsets,
+       (SELECT count(*) FROM kept) AS total_positive_rules_found""")
+def q_sparse_rule_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Baskets whose items are their own: the fallback ends at 1/N."""
+    s = CL.sparse_summary(_closed(spark, sf, "lines"))
+    return s.select("status", "total_transactions", F.round("min_support_used", 12).alias("min_support_used"), "n_closed",
+                    F.col("n_itemsets").cast("long").alias("n_itemsets"),
+                    F.col("total_positive_rules_found").cast("long").alias("total_positive_rules_found"))
+
+
+@register("sparse_category_scores", "A8 A10 R4", sql=f"""WITH {_sql_lines()},
+sides AS (SELECT unnest(list_concat(a_items, c_items)) AS category, lift FROM kept)
+SELECT category, round(sum(lift), 6) AS score FROM sides GROUP BY category""")
+def q_sparse_category_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return CL.sparse_scores(_closed(spark, sf, "lines")).select("category", F.round("score", R6).alias("score"))
