@@ -156,11 +156,16 @@ def minimal_generators(closed: ClosedItemsets) -> DataFrame:
     return pairs.where(F.size(F.array_except("codes", "closure")) == 0).select("codes", "freq", "closure")
 
 
-def generator_items(closed: ClosedItemsets) -> DataFrame:
-    """``items, closure, freq`` of the minimal generators, each class by its first item (its other members serve as well)."""
-    first = closed.classes.select("code", F.array(F.col("members")[0]).alias("members"))
+def generator_items(closed: ClosedItemsets, every_member: bool = False) -> DataFrame:
+    """``items, closure, freq`` of the minimal generators, each class by its first item; with ``every_member`` by each of its items in
+    turn, a row for every choice."""
+    members = "members" if every_member else F.slice("members", 1, 1).alias("members")
     gens = cut_lineage(minimal_generators(closed))
-    named = _spell(gens, first, "codes", "items", "codes", "closure", "freq")
+    parts = gens.select("codes", "closure", "freq", F.explode("codes").alias("code")).join(closed.classes.select("code", members), "code")
+    grown = lambda acc, ms: F.flatten(F.transform(acc, lambda a: F.transform(ms, lambda m: F.concat(a, F.array(m)))))
+    start = F.array(F.array().cast("array<string>"))
+    named = parts.groupBy("codes", "closure", "freq").agg(F.aggregate(F.collect_list("members"), start, grown).alias("_all"))
+    named = named.select(F.explode("_all").alias("items"), "closure", "freq").withColumn("items", F.array_sort("items"))
     return _spell(named, closed.classes, "closure", "closed", "items", "closure", "freq").select(
         "items", F.col("closed").alias("closure"), "freq")
 

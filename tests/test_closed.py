@@ -49,6 +49,8 @@ def test_sets_generators_counts_and_rules(spark, seed, support):
         for g in itertools.product(*(member[i] for i in r["items"])):
             got[frozenset(g)] = (frozenset(r["closure"]), r["freq"])
     below = lambda s: min([freq[s - {x}] if len(s) > 1 else n for x in s])
+    rows = CL.generator_items(c, every_member=True).collect()
+    assert len(rows) == len(got) and {frozenset(r["items"]): (frozenset(r["closure"]), r["freq"]) for r in rows} == got
     free = {s: f for s, f in freq.items() if f >= least and below(s) > f}
     assert set(got) == set(free)
     assert all(expected[shut] == f == free[g] and g <= shut for g, (shut, f) in got.items())
