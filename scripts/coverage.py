@@ -30,8 +30,8 @@ IMPL = {
     "J12": "operators/features.weigh (broadcast vocabulary join)", "J13": "operators/insight.category_detail, shelf_detail",
     "A1": "operators/features.class_counts", "A2": "operators/features.rare_class_summary", "A3": "operators/features.rare_class_summary",
     "A4": "operators/features.rare_class_summary, label_codes", "A5": "operators/baskets.category_baskets",
-    "A6": "operators/baskets.basket_stats, support_choice_frame", "A7": "operators/rules.frequent_itemsets (FP-growth)",
-    "A8": "operators/baskets.choose_support, support_choice_frame", "A9": "operators/rules.rule_splits, association_rules",
+    "A6": "operators/baskets.basket_stats, support_choice_frame", "A7": "operators/rules.frequent_itemsets (FP-growth), closed.closed_itemsets",
+    "A8": "operators/baskets.choose_support, support_choice_frame, closed.sparse_summary", "A9": "operators/rules.rule_splits, association_rules",
     "A10": "operators/placement.category_scores", "A11": "operators/placement.shelf_centre, shelf_centre_distance",
     "A12": "operators/insight.shelf_positions_scaled", "A13": "operators/rules.RuleAnalysis.summary",
     "A14": "operators/insight.score_chart", "A15": "operators/evaluate.accuracy", "A16": "operators/evaluate.classification_report",
@@ -56,7 +56,7 @@ IMPL = {
     "M7": "operators/features.label_codes", "M8": "operators/classify.naive_bayes_predict, MLModel.predict_labels (label from code)",
     "M9": "operators/features.stratified_split, selection.quota_thresholds", "M10": "operators/features.balanced_weights",
     "M11": "operators/classify.fit_naive_bayes, naive_bayes_predict, naive_bayes_jll", "M12": "operators/softmax.fit, classify.fit_logistic_regression",
-    "M13": "operators/classify.fit_decision_tree", "M14": "plans/flows.predict_categories", "M15": "operators/classify.probabilities",
+    "M13": "operators/classify.fit_decision_tree, tree.fit", "M14": "plans/flows.predict_categories", "M15": "operators/classify.probabilities",
     "M16": "plans/flows.receipt_predictions", "M17": "plans/training.holdout",
     "R1": "operators/rules.analyze", "R2": "operators/rules.RuleAnalysis.status_col", "R3": "operators/placement.category_relations",
     "R4": "operators/placement.category_scores", "R5": "re-aimed: euclid on related shelf pairs only (no all-pairs table)",
