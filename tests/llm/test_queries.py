@@ -313,6 +313,50 @@ def test_op8_chains_and_large_groups(spark):
     assert [got[d] for d, _ in rows] == expected
 
 
+@pytest.mark.parametrize("block", [1, 40])
+def test_op8_template_families(spark, block):
+    """Texts of one template on both sides of the bound, of several lengths: met by buckets of prefixes, and without."""
+    rng, rows = np.random.default_rng(5), []
+    for family, size in enumerate((30, 33, 41, 60, 90)):
+        template = [f"t{family}w{i}" for i in range(size)]
+        for _ in range(30):
+            words = list(template)
+            for at in rng.choice(size, int(rng.integers(0, 3)), replace=False):
+                words[at] = f"v{family}x{rng.integers(4)}"
+            rows.append((len(rows) * 31 % 151, " ".join(words[:size - int(rng.integers(0, 8))])))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plan = ngram_join.JoinPlan(shard_bytes=3000, batch_shingles=300, block=block)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(table, plan).collect()}
+    rows.sort()
+    assert [got[d] for d, _ in rows] == smallest_reachable([shingle_set(t.encode()) for _, t in rows], [d for d, _ in rows])
+
+
+def test_op8_exact_search_alone(spark):
+    """Every set a component of its own, all shingles crossing: prefixes and size classes lose no link."""
+    rng = np.random.default_rng(6)
+    pool = np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2))
+    sets = [np.sort(rng.choice(pool[k * 20:k * 20 + 20 + k], int(rng.integers(1, 20)), replace=False)) for k in rng.integers(0, 3, 150)]
+    order = {x: i for i, x in enumerate(pool.tolist())}
+    rows = []
+    for i, s in enumerate(sets):
+        keep = len(s) - int(ngram_join.needed(len(s), 80)) + 1
+        rows.append((i, i, len(s), bytearray(s.tobytes()), sorted(s.view(np.int64).tolist(), key=lambda x: order[x % (1 << 64)])[:keep]))
+    table = spark.createDataFrame(rows, "doc_id long, component long, n long, shingles binary, prefix array<long>")
+    expected = smallest_reachable(sets, list(range(len(sets))))
+    for block in (1, 20, 1000):
+        links = ngram_join._exact_links(table, ngram_join.JoinPlan(block=block))
+        groups = {r["node"]: r["component"] for r in ngram_join.components(links, "u", "v").collect()}
+        assert [groups.get(i, i) for i in range(len(sets))] == expected, block
+
+
+def test_op8_size_classes():
+    for percent in (50, 80, 95, 100):
+        starts = ngram_join.size_classes(percent, 500)
+        of = np.searchsorted(starts, np.arange(501), side="right")
+        for n in range(1, 501):
+            assert of[min(500, n * 100 // percent)] - of[n] <= 1
+
+
 def test_op9_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op9_quality_classifier"](spark, sf).toPandas().merge(common.labels(spark, sf).toPandas(), on="doc_id")
