@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..operators import classify as C
 from ..operators import evaluate as E
 from ..operators import features as FE
+from ..operators import tree as TR
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_catalogue, table
 from . import persist as PS
@@ -277,6 +278,59 @@ def q_tree_predict(spark: SparkSession, sf: str) -> DataFrame:
     return pred
 
 
+def _sql_level(i: int) -> str:
+    """Cuts of the nodes ``tn{i}`` (node, doc_id, code) by trying every value, and the next level's nodes."""
+    low, high = "((n - up) * weight)", "(up * weight)"
+    side = "sum({0} * {0} ORDER BY code) / sum({0} ORDER BY code)"
+    return f"""tt{i} AS (SELECT m.node, w.code, w.weight, count(*) FILTER (WHERE m.code = w.code) AS n FROM tn{i} m CROSS JOIN tw w
+        GROUP BY m.node, w.code, w.weight),
+op{i} AS (SELECT node FROM tt{i} WHERE n > 0 GROUP BY node HAVING count(*) > 1),
+cn{i} AS (SELECT m.node, e.idx, e.v, m.code, count(*) AS c FROM tn{i} m JOIN op{i} USING (node) JOIN ent e USING (doc_id)
+        GROUP BY m.node, e.idx, e.v, m.code),
+gr{i} AS (SELECT a.node, a.idx, a.v, t.code, t.weight, t.n,
+               sum(coalesce(c.c, 0)) OVER (PARTITION BY a.node, a.idx, t.code ORDER BY a.v DESC) AS up
+        FROM (SELECT DISTINCT node, idx, v FROM cn{i}) a JOIN tt{i} t USING (node)
+        LEFT JOIN cn{i} c ON c.node = a.node AND c.idx = a.idx AND c.v = a.v AND c.code = t.code),
+pu{i} AS (SELECT node, idx, v, round({side.format(low)} + {side.format(high)}, 9) AS purity
+        FROM gr{i} GROUP BY node, idx, v HAVING sum(n - up) > 0),
+be{i} AS (SELECT node, idx, v FROM pu{i} QUALIFY row_number() OVER (PARTITION BY node ORDER BY purity DESC, idx, v) = 1),
+mo{i} AS (SELECT m.node, m.doc_id, m.code, b.idx, b.v, coalesce(e.v, 0.0) AS x FROM tn{i} m JOIN be{i} b USING (node)
+        LEFT JOIN ent e ON e.doc_id = m.doc_id AND e.idx = b.idx),
+cu{i} AS (SELECT node, idx, (v + max(x) FILTER (WHERE x < v)) / 2 AS threshold FROM mo{i} GROUP BY node, idx, v),
+tn{i + 1} AS MATERIALIZED (SELECT node || CASE WHEN x < v THEN '0' ELSE '1' END AS node, doc_id, code FROM mo{i})"""
+
+
+TREE_LEVELS = 2
+
+
+@register("tree_levels", "M13", sql=f"""WITH {SQL_TFIDF},
+{SQL_SPLIT},
+tr AS (SELECT doc_id, label FROM split WHERE split = 'train'),
+sz AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
+tw AS (SELECT code, CAST((SELECT sum(n) FROM sz) AS DOUBLE) / (CAST((SELECT count(*) FROM sz) AS DOUBLE) * n) AS weight
+       FROM sz JOIN codes USING (label)),
+ent AS MATERIALIZED (SELECT doc_id, idx, round(tfidf, 9) AS v FROM tfidf JOIN vocab USING (term) JOIN tr USING (doc_id)),
+tn0 AS MATERIALIZED (SELECT 'root' AS node, doc_id, code FROM tr JOIN codes USING (label)),
+{", ".join(_sql_level(i) for i in range(TREE_LEVELS))}
+""" + "\nUNION ALL\n".join(f"""SELECT {i} AS depth, m.node, {"v.term, round(c.threshold, 6)" if i < TREE_LEVELS else "NULL AS term, CAST(NULL AS DOUBLE)"} AS threshold, k.label, m.n
+FROM (SELECT node, code, count(*) AS n FROM tn{i} GROUP BY node, code) m JOIN codes k USING (code)
+{f"LEFT JOIN cu{i} c USING (node) LEFT JOIN vocab v ON v.idx = c.idx" if i < TREE_LEVELS else ""}""" for i in range(TREE_LEVELS + 1)))
+def q_tree_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact tree down to ``TREE_LEVELS`` cuts, split by Spark: term and threshold of each node, and its documents by class.
+    Weights are rounded to 9 places, so that values that are equal stay equal however they were added up."""
+    p = prepared(spark, sf)
+    rows = p.coded.join(p.rows("train"), "doc_id").withColumn("w", F.transform("w", lambda x: F.round(x, 9)))
+    nodes = TR.fit(rows, p.codes, max_depth=TREE_LEVELS, local_cells=0).nodes
+    names, level = {TR.ROOT: TR.ROOT}, {TR.ROOT: TR.ROOT}
+    for _ in range(TREE_LEVELS):
+        level = {TR.child(k, side): v + side for k, v in level.items() for side in "01"}
+        names |= level
+    path = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return (nodes.select("depth", path[F.col("node")].alias("node"), "feature", _r("threshold"), F.posexplode("counts").alias("code", "n"))
+            .where("n > 0").join(p.codes, "code").join(p.tfidf.vocab.select(F.col("idx").alias("feature"), "term"), "feature", "left")
+            .select("depth", "node", "term", "threshold", "label", "n"))
+
+
 @register("model_compare", "A20")
 def q_model_compare(spark: SparkSession, sf: str) -> DataFrame:
     return T.compare_models(prepared(spark, sf)).select(

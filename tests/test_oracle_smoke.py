@@ -11,7 +11,7 @@ FAST = ["category_baskets", "frequent_itemsets", "support_fallback", "associatio
         "place_maximize", "place_minimize", "shelf_edges", "relation_matrix", "receipt_lines",
         "profile_numeric", "profile_categorical", "fold_ascii", "tfidf_terms", "stratified_split",
         "nb_predict", "classification_report", "roc_auc_ovr", "receipt_predictions", "rule_cards",
-        "shelves_json"]
+        "shelves_json", "tree_levels"]
 
 
 def _norm(v):
