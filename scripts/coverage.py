@@ -56,7 +56,7 @@ IMPL = {
     "M7": "operators/features.label_codes", "M8": "operators/classify.naive_bayes_predict, MLModel.predict_labels (label from code)",
     "M9": "operators/features.stratified_split, selection.quota_thresholds", "M10": "operators/features.balanced_weights",
     "M11": "operators/classify.fit_naive_bayes, naive_bayes_predict, naive_bayes_jll", "M12": "operators/softmax.fit, classify.fit_logistic_regression",
-    "M13": "operators/classify.fit_decision_tree, tree.fit", "M14": "plans/flows.predict_categories", "M15": "operators/classify.probabilities",
+    "M13": "operators/classify.fit_decision_tree, tree.fit (tree_levels)", "M14": "plans/flows.predict_categories", "M15": "operators/classify.probabilities",
     "M16": "plans/flows.receipt_predictions", "M17": "plans/training.holdout",
     "R1": "operators/rules.analyze", "R2": "operators/rules.RuleAnalysis.status_col", "R3": "operators/placement.category_relations",
     "R4": "operators/placement.category_scores", "R5": "re-aimed: euclid on related shelf pairs only (no all-pairs table)",
