@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aislekit.operators import classify as C
@@ -12,6 +13,7 @@ from aislekit.operators import features as FE
 from aislekit.operators import heavy_hitters as H
 from aislekit.operators import selection as S
 from aislekit.operators import termrows as R
+from aislekit.plans import training as T
 
 
 def zipf_docs(spark, n=400, parts=7):
@@ -177,3 +179,54 @@ def test_split_is_the_first_of_the_class_in_hash_order(spark):
         assert kinds == sorted(kinds) and abs(kinds.count("test") - 0.2 * len(kinds)) <= 1
     plan = FE.stratified_split(spark.createDataFrame(rows, "id long, label string"), "id", "label")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
+
+
+def test_letters_are_cut_as_the_training_normaliser_does(spark):
+    texts = ["", "a", "ab", " Ab c DE", "İSTANBUL ıı ç çç aç ça x", "süt\npeynir9yoğurt_ekmek", "à la ß straße Ünlü", "ab\U0001F600cd é", "ÇĞİÖŞÜ çğıöşü",
+             "ç", "z", "zz", None, "kk", "Å ãã şşı", "§Şşœ ıİ"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "k long, t string").coalesce(2)
+    want = {r["doc_id"]: [w for w in r["tokens"] or []] for r in R.token_rows(docs, "k", "t").collect()}
+    lower = R.letter_rows(docs, "k", "t").toArrow()
+    for at, n in ((0, len(lower)), (5, 17), (40, 0)):  # slices have offsets
+        part = lower.slice(at, n).combine_chunks()
+        got = {i: [] for i in part["doc_id"].to_pylist()}
+        for column in part["tokens"].chunks:
+            doc, words = R._words(column)
+            for d, w in zip(doc, words.to_pylist(), strict=True):
+                got[part["doc_id"][int(d)].as_py()].append(w)
+        assert got == {i: want[i] for i in got}
+    assert "regexp" not in R.letter_rows(docs, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_preparation_reads_texts_without_regular_expressions(spark, monkeypatch):
+    """The pattern took most of the time of long texts; words are numbered once, and grams are counted as numbers."""
+    seen = []
+    whole = H.summarise
+    monkeypatch.setattr(H, "summarise", lambda r, *a: seen.append(r._jdf.queryExecution().optimizedPlan().toString()) or whole(r, *a))
+    docs = spark.createDataFrame([(i, f"süt ekmek {'peynir ' * (i % 4)}", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    p = T.prepare(docs, "doc_id", "text", "lang")
+    assert p.tfidf.vocab.count() == 6 and seen and not any("regexp" in plan for plan in seen)
+
+
+def test_number_summary_bounds_hold_through_merges():
+    rng = random.Random(5)
+    for _ in range(60):
+        capacity = rng.randint(1, 12)
+        whole, true = H.Numbers(capacity), Counter()
+        for _ in range(rng.randint(1, 6)):
+            s = H.Numbers(capacity)
+            for _ in range(rng.randint(0, 40)):
+                batch = Counter(int(rng.paretovariate(0.7)) % 60 for _ in range(5))
+                s.add(list(batch), list(batch.values()))
+                true += batch
+            whole.merge(*s.items(), s.err)
+        held = dict(zip(*whole.items(), strict=True))
+        assert len(held) <= capacity and whole.err * (capacity + 1) <= sum(true.values())
+        assert all(held.get(v, 0) <= n <= held.get(v, 0) + whole.err for v, n in true.items())
+
+
+def test_grams_of_numbered_words():
+    seqs = pa.array([[0, 1, -1, 1, 2], [], [2], [-1], [2, 2, 2]], pa.list_(pa.int32()))
+    doc, gram = R._gram_numbers(seqs, 3)
+    got = Counter(zip(doc.tolist(), (R.gram_name(int(g), ["a", "b", "c"]) for g in gram), strict=True))
+    assert got == Counter([(0, "a"), (0, "b"), (0, "b"), (0, "c"), (0, "a b"), (0, "b c"), (2, "c"), (4, "c"), (4, "c"), (4, "c"), (4, "c c"), (4, "c c")])
