@@ -1,6 +1,7 @@
 """Newton steps over rows in several tasks against the gradient, the Hessian and the minimum in plain numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aislekit.operators import softmax as SM
@@ -50,3 +51,22 @@ def test_more_tasks_than_the_driver_takes(spark):
     a, b = SM.Sums(df.repartition(3), 4, 25), SM.Sums(df.repartition(70), 4, 25)
     theta = np.random.default_rng(2).normal(size=(4, 26))
     assert np.allclose(a.gradient(theta)[1], b.gradient(theta)[1])
+
+
+def test_passes_read_blocks_of_documents(spark):
+    """Rows of lists took longer to take apart than to add up; a kept row holds many documents, empty ones as well."""
+    x, y, w, df = problem(spark, seed=7)
+    sums = SM.Sums(df.coalesce(2), 4, 25)
+    assert sums.data.count() < 10 and {f.dataType.simpleString() for f in sums.data.schema} == {"binary"}
+    batch = pa.RecordBatch.from_arrays([pa.array([[], [1], [0, 2, 3], []], pa.list_(pa.int32())), pa.array([[], [.5], [1., 2., 3.], []], pa.list_(pa.float64())),
+                                        pa.array([0, 1, 2, 3], pa.int32()), pa.array([1., 2., 3., 4.])], names=["idx", "w", "y", "weight"])
+    for most, n in ((1, 3), (2, 3), (4, 1), (100, 1)):
+        SM.BLOCK, whole = most, SM.BLOCK
+        try:
+            got = list(SM._blocks([batch.slice(0, 0), batch]))
+        finally:
+            SM.BLOCK = whole
+        assert len(got) == n
+        read = [np.concatenate([np.frombuffer(b.column(i)[0].as_buffer(), k) for b in got]).tolist()
+                for i, k in enumerate((np.int32, np.int32, np.float64, np.int32, np.float64))]
+        assert read == [[0, 1, 3, 0], [1, 0, 2, 3], [.5, 1., 2., 3.], [0, 1, 2, 3], [1., 2., 3., 4.]]
