@@ -161,7 +161,8 @@ def shelf_optimization(receipts: DataFrame, shelves: DataFrame, prepared: T.Prep
     if goal not in P.GOALS:
         raise ValueError(f"goal must be one of {P.GOALS}")
     shelves = require_shelves(shelves)
-    pred = receipt_predictions(require_nonempty(receipts), prepared, model_choice)
+    # kept as in :func:`basket_report`: lines meet their products in one job, baskets are gathered in the next
+    pred = cut_lineage(receipt_predictions(require_nonempty(receipts), prepared, model_choice).select("receipt_id", "category"))
     baskets = cut_lineage(receipt_baskets(pred.where(F.col("category").isNotNull())).select("items"))
     n = baskets.count()
     if n == 0:

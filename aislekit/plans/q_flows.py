@@ -220,6 +220,8 @@ def _assignment(spark: SparkSession, sf: str, goal: str) -> DataFrame:
     n = table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("k"))
     plan = FL.shelf_optimization(_order_receipts(spark, sf), shelf_grid(n, "k"), _part_prepared(spark, sf), goal,
                                  support=PART_SUPPORT)
+    if plan.assignment is None:  # without positive rules no shelf gets a category
+        return spark.createDataFrame([], "pos long, shelf string, category string, score double")
     return plan.assignment.select("pos", "shelf", "category", F.round("score", R6).alias("score"))
 
 

@@ -73,3 +73,11 @@ def test_second_limits_reach_every_branch(spark):
     assert {"good", "bad", "neutral"} <= set(QP.q_placement_verdict_tight(spark, sf).toPandas().verdict.dropna())
     tiers = spark.createDataFrame([(0.1,), (0.5,), (0.8,)], "c double").select(I.confidence_tier(F.col("c"))).collect()
     assert [r[0] for r in tiers] == ["low", "medium", "high"]
+
+
+def test_orders_without_positive_rules_give_no_assignment(spark, monkeypatch):
+    """Support 1: no itemset is frequent, so no shelf gets a category; the queries return no row instead of failing."""
+    monkeypatch.setattr(Q, "PART_SUPPORT", 1.0)
+    for query in (Q.q_shelf_optimization_together, Q.q_shelf_optimization_apart):
+        out = query(spark, SF)
+        assert out.columns == ["pos", "shelf", "category", "score"] and out.count() == 0
