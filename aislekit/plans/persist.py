@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as C
 from ..operators import features as FE
+from ..operators import termrows as TR
 from ..operators.softmax import SoftmaxModel
 from . import training as T
 
@@ -34,7 +35,8 @@ def _meta_path(root: str) -> str:
 def save_prepared(p: T.Prepared, root: str) -> None:
     """S7 + vectoriser and encoder of S8."""
     spark = p.split.sparkSession
-    sets = p.weights.join(p.split, "doc_id").select("doc_id", "label", "split", "term", "idx", "tfidf")
+    # a document meets its split as one row, before it becomes a row for each term
+    sets = TR.long_rows(p.coded.join(p.split, "doc_id"), p.tfidf.vocab, "label", "split").select("doc_id", "label", "split", "term", "idx", "tfidf")
     sets.write.mode("overwrite").partitionBy("split").parquet(os.path.join(root, "sets"))
     p.tfidf.vocab.write.mode("overwrite").parquet(os.path.join(root, "vocab"))
     p.codes.write.mode("overwrite").parquet(os.path.join(root, "codes"))

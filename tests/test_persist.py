@@ -61,3 +61,16 @@ def test_prepared_and_models_round_trip(spark):
     assert (lr2.theta == lr.theta).all() and lr2.kind == "logistic_regression"
     pa, pb = (sorted(m.predict(p.coded_of("test")).collect()) for m in (lr, lr2))
     assert pa == pb
+
+
+def test_sets_meet_their_split_before_terms_are_rows(spark, monkeypatch):
+    """A shuffle of documents, not of a row for each term."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
+    p = T.prepare(docs, "doc_id", "text", "lang")
+    kept, whole = [], PS.TR.long_rows
+    monkeypatch.setattr(PS.TR, "long_rows", lambda rows, vocab, *keep: kept.append(keep) or whole(rows, vocab, *keep))
+    root = tempfile.mkdtemp(prefix="aislekit-sets-")
+    PS.save_prepared(p, root)
+    got = sorted(map(tuple, PS.load_artifacts(spark, root)["sets"].select("doc_id", "label", "split", "term", "idx", "tfidf").collect()))
+    want = sorted(map(tuple, p.weights.join(p.split, "doc_id").select("doc_id", "label", "split", "term", "idx", "tfidf").collect()))
+    assert kept[0] == ("label", "split") and got == want and got
