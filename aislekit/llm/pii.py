@@ -12,8 +12,9 @@ added.  Others are unlabelled, as the base may have missed them: first trees tel
 unlabelled that these place below the positives left out of the training are negatives for the final trees; those that look
 like personal data count for neither side, however many they are.  Features leave out what the rules
 test (``@``, a leading ``+``, the Luhn sum, the range of parts), so that the trees learn what personal data
-look like and where they stand.  The training sample is bounded (``BoostingPlan.max_rows`` candidates of
-each label and kind, smallest md5 first); every candidate of every text is scored.
+look like and where they stand.  Trees, cuts and thresholds come from every candidate of every text, each distinct surrounding once:
+Spark keeps them in blocks (``Kept``), a level of a tree is one pass that adds up histograms of gradients in the tasks, and
+only these sums reach the driver.  Every candidate is scored.
 
 Offsets count code points, ends are exclusive.  Nulls and ties: a null text counts as empty and has no spans;
 repeated rows get the same spans;
@@ -26,13 +27,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,7 +190,6 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
 
 @dataclass(frozen=True)
 class BoostingPlan:
-    max_rows: int = 3000  #: training candidates of each kind and label
     trees: int = 30
     depth: int = 3
     rate: float = 0.3
@@ -203,15 +205,19 @@ class Tree:
     limit: np.ndarray
     value: np.ndarray
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def place(self, x: np.ndarray, steps: int) -> np.ndarray:
+        """The node of each row after so many steps down."""
         at = np.zeros(len(x), np.int64)
         rows = np.arange(len(x))
-        for _ in range(len(self.feature).bit_length()):
+        for _ in range(steps):
             f = self.feature[at]
             inner = f >= 0
             down = 2 * at + 1 + (x[rows, np.maximum(f, 0)] > self.limit[at])
             at = np.where(inner, down, at)
-        return self.value[at]
+        return at
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.value[self.place(x, len(self.feature).bit_length() - 1)]
 
 
 @dataclass
@@ -228,79 +234,242 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def _grow(x: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, weight: np.ndarray, plan: BoostingPlan) -> Tree:
-    """One regression tree by histograms of gradients, split where the gain is largest."""
+#: Rows of a block, and of a task of a pass.
+BLOCK_ROWS, TASK_ROWS = 1 << 13, 1 << 16
+_BLOCKS = "x binary, label binary, held binary, n binary"
+
+
+class Block(NamedTuple):
+    """Training rows: features, label, whether left out of the training, and how many candidates a row stands for."""
+    x: np.ndarray
+    label: np.ndarray
+    held: np.ndarray
+    n: np.ndarray
+
+    @property
+    def positive(self) -> np.ndarray:
+        return np.isin(self.label, (BASE, VARIANT))
+
+    def only(self, rows: np.ndarray) -> Block:
+        return Block(*(c[rows] for c in self))
+
+    def packed(self) -> pa.RecordBatch:
+        kinds = (np.int32, np.int8, np.bool_, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip(self, kinds, strict=True)],
+                                          names=["x", "label", "held", "n"])
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for x, label, held, n in zip(*(batch.column(i) for i in range(4)), strict=True):
+            yield Block(np.frombuffer(x.as_buffer(), np.int32).reshape(-1, FEATURES).astype(float),
+                        np.frombuffer(label.as_buffer(), np.int8), np.frombuffer(held.as_buffer(), np.bool_),
+                        np.frombuffer(n.as_buffer(), np.int64))
+
+
+def _values(block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(feature, values, how many training candidates have them)"""
+    for f in range(FEATURES):
+        values, place = np.unique(block.x[~block.held, f], return_inverse=True)
+        yield f, values, np.bincount(place, block.n[~block.held], len(values))
+
+
+class Local:
+    """Training rows of one block."""
+
+    def __init__(self, block: Block) -> None:
+        self.block = block
+
+    def total(self, per_block: Callable[[Block], np.ndarray]) -> np.ndarray:
+        return per_block(self.block)
+
+    def values(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(values, n) for _, values, n in _values(self.block)]
+
+
+class Kept:
+    """Training rows that Spark keeps, read by passes: a task hands on sums."""
+
+    def __init__(self, blocks: DataFrame) -> None:
+        self.blocks = cut_lineage(blocks)
+
+    def total(self, per_block: Callable[[Block], np.ndarray]) -> np.ndarray:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(map(per_block, _unpacked(batches)), np.zeros(1))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        sums = [np.frombuffer(r["sums"]) for r in self.blocks.mapInArrow(summed, "sums binary").collect()]
+        return sum((s for s in sums if len(s) > 1), np.zeros(1))
+
+    def values(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A row reaches the driver for each value of a feature: whole numbers, mostly lengths of spans."""
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _unpacked(batches):
+                for f, values, n in _values(block):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), f), pa.int32()), pa.array(values, pa.float64()),
+                                                      pa.array(n, pa.float64())], names=["f", "v", "n"])
+
+        out = self.blocks.mapInArrow(found, "f int, v double, n double").groupBy("f", "v").agg(F.sum("n").alias("n")).toPandas().sort_values("v")
+        return [(out["v"][out["f"] == f].to_numpy(), out["n"][out["f"] == f].to_numpy()) for f in range(FEATURES)]
+
+    def where(self, kept: Callable[[Block], np.ndarray]) -> Kept:
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _unpacked(batches):
+                yield block.only(kept(block)).packed()
+
+        return Kept(self.blocks.mapInArrow(chosen, _BLOCKS))
+
+
+#: Gradients are added up in whole units of this, so that sums are the same in every order.
+_UNIT = 2.0 ** -24
+
+
+def _histograms(model: Model, tree: Tree, level: int, cuts: list[np.ndarray], block: Block) -> np.ndarray:
+    """Sums of gradients and weights by node of the level, feature and interval."""
+    nodes, width = 1 << level, max(map(len, cuts)) + 1
+    train = block.only(~block.held)
+    p = model.probability(train.x)
+    gradient = np.rint((train.positive - p) / _UNIT) * train.n
+    weight = np.rint(p * (1 - p) / _UNIT) * train.n
+    node = tree.place(train.x, level) - (nodes - 1)
+    here = (node >= 0) & (node < nodes)  # others ended above
+    out = np.empty((2, nodes, FEATURES, width))
+    for f, c in enumerate(cuts):
+        slot = (node * width + np.searchsorted(c, train.x[:, f]))[here]
+        out[0, :, f] = np.bincount(slot, gradient[here], nodes * width).reshape(nodes, width)
+        out[1, :, f] = np.bincount(slot, weight[here], nodes * width).reshape(nodes, width)
+    return out.ravel()
+
+
+def _grow(rows: Local | Kept, model: Model, cuts: list[np.ndarray], plan: BoostingPlan) -> Tree:
+    """One regression tree by histograms of gradients, split where the gain is largest; a level is one pass."""
     nodes = 2 ** (plan.depth + 1) - 1
     tree = Tree(np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes))
-    binned = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1)
-    members: dict[int, np.ndarray] = {0: np.arange(len(x))}
-    for node in range(nodes):
-        rows = members.pop(node, None)
-        if rows is None:
-            continue
-        g, h = gradient[rows].sum(), weight[rows].sum()
-        tree.value[node] = plan.rate * g / (h + 1)
-        if 2 * node + 2 >= nodes:
-            continue
-        best = (1e-6, -1, 0)
-        for f, c in enumerate(cuts):
-            if not len(c):
+    for level in range(plan.depth):
+        if level and not (tree.feature[(1 << level - 1) - 1:(1 << level) - 1] >= 0).any():
+            break
+        sums = rows.total(partial(_histograms, model, tree, level, cuts)).reshape(2, 1 << level, FEATURES, -1) * _UNIT
+        for i in range(1 << level):
+            node = (1 << level) - 1 + i
+            if level and tree.feature[(node - 1) // 2] < 0:
                 continue
-            gs = np.bincount(binned[rows, f], gradient[rows], len(c) + 1).cumsum()[:-1]
-            hs = np.bincount(binned[rows, f], weight[rows], len(c) + 1).cumsum()[:-1]
-            gain = gs ** 2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g * g / (h + 1)
-            i = int(gain.argmax())
-            if gain[i] > best[0]:
-                best = (float(gain[i]), f, i)
-        if best[1] >= 0:
-            _, f, i = best
-            tree.feature[node], tree.limit[node] = f, cuts[f][i]
-            low = binned[rows, f] <= i
-            members[2 * node + 1], members[2 * node + 2] = rows[low], rows[~low]
+            g, h = sums[:, i, 0].sum(axis=1)
+            tree.value[node] = plan.rate * g / (h + 1)
+            best = (1e-6, -1, 0)
+            for f, c in enumerate(cuts):
+                if not len(c):
+                    continue
+                gs, hs = sums[:, i, f, :len(c)].cumsum(axis=1)
+                gain = gs ** 2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g * g / (h + 1)
+                at = int(gain.argmax())
+                if gain[at] > best[0]:
+                    best = (float(gain[at]), f, at)
+            if best[1] >= 0:
+                _, f, at = best
+                tree.feature[node], tree.limit[node] = f, cuts[f][at]
+                low_g, low_h = sums[:, i, f, :at + 1].sum(axis=1)
+                tree.value[2 * node + 1] = plan.rate * low_g / (low_h + 1)
+                tree.value[2 * node + 2] = plan.rate * (g - low_g) / (h - low_h + 1)
     return tree
 
 
-def fit(x: np.ndarray, y: np.ndarray, order: np.ndarray, plan: BoostingPlan = BoostingPlan()) -> Model:
-    """Boosted trees from four fifths of the rows, thresholds from the others (``order`` mod 5 = 0)."""
-    held = order % 5 == 0
-    train = ~held
-    if not len(y) or y[train].min(initial=1) == y[train].max(initial=0):
+LIMITS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99)
+
+
+def _sides(block: Block) -> np.ndarray:
+    """Candidates by whether they are left out, and by label 0 or 1."""
+    return np.bincount(2 * block.held + block.positive, block.n, 4)
+
+
+def _chosen(model: Model, block: Block) -> np.ndarray:
+    """Candidates left out, by kind, by how many of 0 and ``LIMITS`` their probability reaches, and by label 0 or 1."""
+    b = block.only(block.held)
+    reached = np.searchsorted(LIMITS, model.probability(b.x), "right")
+    return np.bincount((b.x[:, 0].astype(np.int64) * (len(LIMITS) + 1) + reached) * 2 + b.positive, b.n,
+                       len(KINDS) * (len(LIMITS) + 1) * 2)
+
+
+def _lower(values: np.ndarray, n: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Quantiles of ``values`` that occur ``n`` times: the largest one not above the place."""
+    ends = n.cumsum()
+    return values[np.searchsorted(ends, np.floor(shares * (ends[-1] - 1)), "right")]
+
+
+def boost(rows: Local | Kept, plan: BoostingPlan = BoostingPlan()) -> Model:
+    """Boosted trees from the rows that are not held out, thresholds from the others."""
+    sides = rows.total(_sides)
+    if len(sides) < 4 or not sides[0] or not sides[1]:
         return Model()
-    share = y[train].mean()
+    share = sides[1] / (sides[0] + sides[1])
     model = Model(float(np.log(share / (1 - share))))
-    xt, yt = x[train], y[train]
-    cuts = [np.unique(np.quantile(xt[:, f], np.linspace(0, 1, plan.bins + 1)[:-1], method="lower")) for f in range(x.shape[1])]
-    z = np.full(len(yt), model.start)
+    shares = np.linspace(0, 1, plan.bins + 1)[:-1]
+    cuts = [np.unique(_lower(values, n, shares)) for values, n in rows.values()]
     for _ in range(plan.trees):
-        p = 1 / (1 + np.exp(-z))
-        tree = _grow(xt, cuts, yt - p, p * (1 - p), plan)
-        model.trees.append(tree)
-        z += tree.predict(xt)
-    p = model.probability(x)
-    for kind in range(len(KINDS)):
-        mine = held & (x[:, 0] == kind)
-        if not (y[mine] == 1).any() or not (y[mine] == 0).any():
+        model.trees.append(_grow(rows, model, cuts, plan))
+    chosen = rows.total(partial(_chosen, model)).reshape(len(KINDS), -1, 2) if sides[2:].any() else np.zeros((len(KINDS), 1, 2))
+    for kind, mine in enumerate(chosen):
+        if not mine.sum(axis=0).all():
             continue
-        for limit in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99):
-            chosen = mine & (p >= limit)
-            if chosen.any() and y[chosen].mean() >= plan.precision:
+        reached = mine[::-1].cumsum(axis=0)[::-1][1:]  # at least each limit
+        for limit, (no, yes) in zip(LIMITS, reached, strict=True):
+            if no + yes and yes / (no + yes) >= plan.precision:
                 model.thresholds[kind] = limit
                 break
     return model
 
 
-def learn(x: np.ndarray, label: np.ndarray, order: np.ndarray, plan: BoostingPlan = BoostingPlan()) -> Model:
-    """``fit`` without the unlabelled rows that look like positives."""
-    held, y = order % 5 == 0, np.isin(label, (BASE, VARIANT)).astype(float)
-    likely = fit(x, y, order, plan).probability(x)
-    keep = np.ones(len(y), bool)
-    for kind in range(len(KINDS)):
-        mine = x[:, 0] == kind
-        known = [likely[mine & held & (label == of)] for of in (BASE, VARIANT)]
-        limit = min([0.5, *(float(np.quantile(p, plan.left)) for p in known if len(p))])
-        if any(map(len, known)):
-            keep &= ~(mine & (label == UNLABELLED) & (likely >= limit))
-    return fit(x[keep], y[keep], order[keep], plan)
+def fit(x: np.ndarray, y: np.ndarray, order: np.ndarray, plan: BoostingPlan = BoostingPlan()) -> Model:
+    """Boosted trees from four fifths of the rows, thresholds from the others (``order`` mod 5 = 0)."""
+    return boost(Local(Block(x, np.where(y == 1, BASE, REFUTED), order % 5 == 0, np.ones(len(y), np.int64))), plan)
+
+
+#: A probability in whole units of 2^-50 is found bit by bit, so many at a time.
+_DIGITS, _ROUNDS = 10, 5
+
+
+def _digit_counts(model: Model, known: np.ndarray, round_: int, block: Block) -> np.ndarray:
+    """Positives left out, by kind and label, by the next digit of their probability where those before are ``known``."""
+    b = block.only(block.held & block.positive)
+    group = 2 * b.x[:, 0].astype(np.int64) + (b.label == VARIANT)
+    unit = np.minimum((model.probability(b.x) * 2.0 ** 50).astype(np.int64), 2 ** 50 - 1) >> (_DIGITS * (_ROUNDS - 1 - round_))
+    mine = unit >> _DIGITS == known[group]
+    slot = (group << _DIGITS) + (unit & (1 << _DIGITS) - 1)
+    return np.bincount(slot[mine], b.n[mine], 2 * len(KINDS) << _DIGITS)
+
+
+def lowest_positives(rows: Local | Kept, model: Model, share: float) -> dict[int, float]:
+    """Kind -> the probability, at most 0.5, below which ``share`` of its positives left out lie (of base spans or of variants, the
+    smaller); kinds without such positives have none."""
+    known = np.zeros(2 * len(KINDS), np.int64)
+    before = total = None
+    for i in range(_ROUNDS):
+        counts = rows.total(partial(_digit_counts, model, known, i))
+        if len(counts) < 2:
+            return {}
+        counts = counts.reshape(2 * len(KINDS), -1)
+        if total is None:
+            total = counts.sum(axis=1)
+            before = np.floor(share * np.maximum(total - 1, 0))
+        ends = counts.cumsum(axis=1)
+        digit = np.array([min(np.searchsorted(e, r, "right"), len(e) - 1) for e, r in zip(ends, before, strict=True)])
+        every = np.arange(len(known))
+        before = before - (ends[every, digit] - counts[every, digit])
+        known = (known << _DIGITS) + digit
+    found = known * 2.0 ** -50
+    return {k: min([0.5, *(float(found[g]) for g in (2 * k, 2 * k + 1) if total[g])])
+            for k in range(len(KINDS)) if total[2 * k] or total[2 * k + 1]}
+
+
+def _negatives(model: Model, limits: dict[int, float], block: Block) -> np.ndarray:
+    """All rows but the unlabelled ones that look like positives."""
+    limit = np.array([limits.get(k, np.inf) for k in range(len(KINDS))])[block.x[:, 0].astype(np.int64)]
+    return (block.label != UNLABELLED) | (model.probability(block.x) < limit)
+
+
+def learn(rows: Kept, plan: BoostingPlan = BoostingPlan()) -> Model:
+    """``boost`` without the unlabelled rows that look like positives."""
+    first = boost(rows, plan)
+    return boost(rows.where(partial(_negatives, first, lowest_positives(rows, first, plan.left))), plan)
 
 
 class Cover:
@@ -327,8 +496,8 @@ class Cover:
         self.ends.insert(i, span[2])
 
 
-def training_rows(docs: DataFrame, plan: BoostingPlan = BoostingPlan()) -> DataFrame:
-    """(kind, label, rank, x): a bounded sample of labelled candidates over all documents."""
+def training_rows(docs: DataFrame) -> DataFrame:
+    """(label, held, x, n): the labelled candidates of all documents, each distinct surrounding counted once, a fifth of them held out."""
 
     @tidy
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,25 +512,32 @@ def training_rows(docs: DataFrame, plan: BoostingPlan = BoostingPlan()) -> DataF
                 rows += [(t, k, VARIANT, s, e) for span in base for t, k, s, e in variants(text, *span)]
                 rows += [(text, k, REFUTED if refuted(text, k, s, e) else UNLABELLED, s, e)
                          for k, s, e in candidates(text) if not covered.touches((k, s, e))]
-                out += [(k, y, t[max(0, s - 12):e + 12], features(t, k, s, e)) for t, k, y, s, e in rows]
+                out += [(k, y, t[max(0, s - 12):e + 12], np.array(features(t, k, s, e), np.int32).tobytes()) for t, k, y, s, e in rows]
             yield pd.DataFrame(out, columns=["kind", "label", "around", "x"])
 
-    found = docs.select("text").mapInPandas(made, "kind int, label int, around string, x array<double>")
+    found = docs.select("text").mapInPandas(made, "kind int, label int, around string, x binary")
     found = found.withColumn("rank", F.md5(F.concat_ws(":", "kind", "around").cast("binary")))
-    # one row of each distinct surrounding, kept small and read once for each kind and label
-    found = cut_lineage(found.groupBy("kind", "label", "rank").agg(F.min("x").alias("x")))
-    parts = [found.where((F.col("kind") == k) & (F.col("label") == y)).orderBy("rank").limit(plan.max_rows)
-             for k in range(len(KINDS)) for y in (REFUTED, BASE, UNLABELLED, VARIANT)]
-    return reduce(DataFrame.unionByName, parts)
+    found = found.groupBy("kind", "label", "rank").agg(F.min("x").alias("x"))
+    held = F.conv(F.substring("rank", 1, 8), 16, 10).cast("long") % 5 == 0
+    return found.groupBy("label", held.alias("held"), "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kept_rows(docs: DataFrame) -> Kept:
+    rows = cut_lineage(training_rows(docs))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK_ROWS):
+                label, held, x, n = batch.slice(at, BLOCK_ROWS).columns
+                yield Block(np.frombuffer(b"".join(x.to_pylist()), np.int32), label.to_numpy(),
+                            held.to_numpy(zero_copy_only=False), n.to_numpy()).packed()
+
+    return Kept(rows.coalesce(-(-rows.count() // TASK_ROWS) or 1).mapInArrow(blocks, _BLOCKS))
 
 
 def train(docs: DataFrame, plan: BoostingPlan = BoostingPlan()) -> Model:
-    """Learn from the candidates of all documents; at most 16 * ``max_rows`` of them reach the driver."""
-    rows = sorted(training_rows(docs, plan).collect(), key=lambda r: (r["kind"], r["label"], r["rank"]))
-    if not rows:
-        return Model()
-    return learn(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]),
-                 np.array([int(r["rank"][:8], 16) for r in rows]), plan)
+    """Learn from the candidates of all documents; sums of passes reach the driver, as many numbers as there are intervals."""
+    return learn(kept_rows(docs), plan)
 
 
 def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -387,6 +388,29 @@ def test_pii_model_adds_look_alikes(spark):
     assert got[9999] == "phone:5:21" and got[1].startswith("phone:5:")
 
 
+def test_pii_trees_learn_from_every_candidate(spark):
+    rows = [f"dial +1 (217) {200 + i // 10} {i % 10}713 now" if i % 8 else f"built {1900 + i % 200}-04-{10 + i // 200} 10 times"
+            for i in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    counts = {r["label"]: r["n"] for r in pii.training_rows(docs).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    assert counts[pii.BASE] == 3500 and counts[pii.REFUTED] == 500 and counts[pii.VARIANT] > 3000  # more than 3000 of a kind and label
+    # passes over several tasks add up to what one block gives
+    kept = pii.kept_rows(docs)
+    blocks = list(pii._unpacked(pa.RecordBatch.from_pylist([r.asDict()]) for r in kept.blocks.collect()))
+    kept.blocks = kept.blocks.union(kept.blocks).repartition(4)
+    twice = pii.Local(pii.Block(*(np.concatenate([c, c]) for c in map(np.concatenate, zip(*blocks)))))
+    plan = pii.BoostingPlan(trees=3)
+    model, same = pii.boost(kept, plan), pii.boost(twice, plan)
+    assert model.start == same.start and model.thresholds == same.thresholds and model.thresholds
+    for one, other in zip(model.trees, same.trees, strict=True):
+        assert (one.feature == other.feature).all() and (one.limit == other.limit).all() and (one.value == other.value).all()
+    p = same.probability(twice.block.x)
+    for kind, limit in pii.lowest_positives(kept, model, 0.05).items():
+        each = [np.sort(np.repeat(p[m], twice.block.n[m])) for m in (twice.block.held & (twice.block.label == y) & (twice.block.x[:, 0] == kind)
+                                                                     for y in (pii.BASE, pii.VARIANT)) if m.any()]
+        assert abs(limit - min(0.5, *(v[int(0.05 * (len(v) - 1))] for v in each))) < 1e-12
+
+
 def test_pii_look_alikes_as_frequent_as_base_spans(spark):
     rng, rows = np.random.default_rng(15), []
     for i in range(1500):
