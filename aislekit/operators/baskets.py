@@ -49,10 +49,16 @@ class SupportChoice:
     min_count: int
 
 
-def basket_stats(baskets: DataFrame) -> tuple[int, int]:
-    """A6 and the largest single-item count, from one job (two scalars to the driver)."""
-    row = support_choice_frame(baskets).first()
-    return int(row["n_transactions"] or 0), int(row["max_item_count"] or 0)
+def basket_patterns(baskets: DataFrame) -> DataFrame:
+    """``items, w``: baskets with the same items as one row, and how many they are.  An item twice in a basket is an error."""
+    merged = baskets.groupBy(F.array_sort("items").alias("items")).agg(F.count(F.lit(1)).alias("w"))
+    twice = F.size(F.array_distinct("items")) < F.size("items")
+    return merged.select(F.when(twice, F.raise_error(F.lit("Items in a transaction must be unique"))).otherwise(F.col("items")).alias("items"), "w")
+
+
+def item_counts(patterns: DataFrame) -> DataFrame:
+    """``item, freq`` of merged baskets."""
+    return patterns.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("freq"))
 
 
 def choose_support(n: int, max_item_count: int, support: float | None = None) -> SupportChoice:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from aislekit.operators import baskets as B
 from aislekit.operators import rules as R
 from aislekit.operators.baskets import choose_support
 
@@ -56,3 +57,21 @@ def test_rules_match_brute_force(spark, seed, support):
         assert got[k]["lift"] == pytest.approx(lift)
     got_kept = {(tuple(r["if_categories"]), tuple(r["then_categories"])) for r in a.positive.collect()}
     assert got_kept == kept
+
+
+def test_equal_baskets_are_mined_once(spark):
+    baskets = [["a", "b", "c"]] * 300 + [["b", "c"]] * 50 + [["a", "z"], [], ["y"]]
+    df = spark.createDataFrame([(b,) for b in baskets], "items array<string>").repartition(4)
+    patterns = B.basket_patterns(df)
+    assert {tuple(r["items"]): r["w"] for r in patterns.collect()} == {("a", "b", "c"): 300, ("b", "c"): 50, ("a", "z"): 1, (): 1, ("y",): 1}
+    for least in (1, 2, 301):
+        got = R.frequent_itemsets(patterns, B.item_counts(patterns), least, len(baskets)).collect()
+        want = {}
+        for size in (1, 2, 3):
+            for c in itertools.combinations("abcyz", size):
+                n = sum(set(c) <= set(b) for b in baskets)
+                if n >= least:
+                    want[c] = n
+        assert {tuple(r["items"]): r["freq"] for r in got} == want and len(got) == len(want)
+    with pytest.raises(Exception, match="unique"):
+        B.basket_patterns(spark.createDataFrame([(["a", "a"],)], "items array<string>")).collect()
