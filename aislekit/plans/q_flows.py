@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import rules as R
+from ..session import cut_lineage
 from ..sources.receipts import receipts_from_texts
 from ..sources.shelves import shelf_grid
 from ..sources.tables import table
@@ -39,11 +40,11 @@ def _report(spark: SparkSession, sf: str) -> FL.BasketReport:
 
 
 def _receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """The parsed receipt file, once per process (its numbering pass is checkpointed)."""
+    """The parsed receipt file, once per process (checkpointed: products, items and baskets read it)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RECEIPTS:
         conv = table(spark, sf, "conversations").where(F.col("text").isNotNull())
-        _RECEIPTS[key] = receipts_from_texts(conv, "text", ["conv_id", "turn"])
+        _RECEIPTS[key] = cut_lineage(receipts_from_texts(conv, "text", ["conv_id", "turn"]))
     return _RECEIPTS[key]
 
 
@@ -148,7 +149,9 @@ def _order_receipts(spark: SparkSession, sf: str) -> DataFrame:
         item = F.struct("l_linenumber", "l_partkey", "p_name")
         orders = lines.join(names, "l_partkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("l"))
         text = F.array_join(F.transform("l", lambda x: x["p_name"]), ", ")
-        _RECEIPTS[key] = receipts_from_texts(orders.select("l_orderkey", text.alias("text")), "text", ["l_orderkey"])
+        # orders are gathered once, and their receipts parsed and numbered once: several jobs read them
+        texts = cut_lineage(orders.select("l_orderkey", text.alias("text")))
+        _RECEIPTS[key] = cut_lineage(receipts_from_texts(texts, "text", ["l_orderkey"]))
     return _RECEIPTS[key]
 
 

@@ -81,3 +81,12 @@ def test_orders_without_positive_rules_give_no_assignment(spark, monkeypatch):
     for query in (Q.q_shelf_optimization_together, Q.q_shelf_optimization_apart):
         out = query(spark, SF)
         assert out.columns == ["pos", "shelf", "category", "score"] and out.count() == 0
+
+
+def test_receipts_are_gathered_and_numbered_once(spark):
+    from aislekit.plans import q_flows
+
+    for receipts in (q_flows._order_receipts(spark, "/root/testdata/sf0.001"), q_flows._receipts(spark, "/root/testdata/sf0.001")):
+        plan = receipts._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "FileScan" not in plan  # read from where they are kept
+        assert receipts.count() == receipts.select("receipt_no").distinct().count() > 0
