@@ -151,8 +151,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             return pd.DataFrame([row], columns=["bucket", "block", "n_ids", "doc_ids", "lengths", "words", "words_before"])
 
         for frame in frames:
-            for at in range(0, len(frame), 512):
-                part = frame.iloc[at:at + 512]
+            for at in range(0, len(frame), 2048):
+                part = frame.iloc[at:at + 2048]
                 for b, doc_id, ids in zip(part["_bucket"].tolist(), part["doc_id"].tolist(), encoder.encode(part["text"].tolist()), strict=True):
                     if held and (b != bucket or size >= BLOCK_IDS):
                         yield closed()

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with the ids of words seen kept in the worker.
 
 Both files split texts into words before merging, and a word's ids do not depend on its neighbours, so
-texts are cut at single spaces and line ends and only words that are new to the worker go through the library:
+texts are cut before single spaces and line ends.  The distinct words of a few megabytes of text are found by Arrow's
+dictionary encoding, their ids are laid out by numpy, and only words that are new to the worker go through the library:
 straight to its merges if they are letters of Latin-1 only, else through all its steps.  A word with ASCII
 marks at its end is the word and those marks.
 Texts where such a cut is not safe (runs of white space, white space at an end) are encoded whole.
@@ -12,14 +13,33 @@ from __future__ import annotations
 
 import gc
 import os
-from array import array
 from string import punctuation
 
 import numpy as np
+import pyarrow as pa
 
 from .wordpiece import byte_letters
 
 _LETTER = {b: c for c, b in byte_letters().items()}  # fixed values of byte-level vocabularies
+_LATIN = {i: "".join(_LETTER[b] for b in chr(i).encode()) for i in range(256)}  # Latin-1 letters in them
+
+
+BATCH = 1 << 22  #: characters of texts cut at once, or one text
+
+
+class _Known(dict):
+    """Ids of words; a word that is not there is learned at once if the codec can, else it stays out and gives None."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        ids = self.learn(key)
+        if ids is not None:
+            self[key] = ids
+        return ids
+
 
 class WordCodec:
     """``encode`` gives each text's ids as little-endian uint32 bytes."""
@@ -41,22 +61,13 @@ class WordCodec:
         self.lowers = steps is not None and steps.normalize_str("A") == "a"
         self.marks: dict[str, bytes] = {}
         self.newline = self._library(["x\nx"])[0][4:-4]  # a line end between words
-        self.known: dict = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+        self.known = _Known(self._learn)
         self.before: dict = {}  # known before ``known`` was begun anew
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str, space: bool) -> bytes:
-        """Ids of a word of Latin-1 letters, after a space or not."""
-        if self.lowers:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_LETTER)
-        if space and self.spaces_kept:
-            word = _LETTER[32] + word
-        return array("I", [p.id for p in self.tokenizer.model.tokenize(word)]).tobytes()
-
     def _marks(self, marks: str) -> bytes:
         """Ids of ASCII punctuation after a letter."""
         if marks not in self.marks:
@@ -65,65 +76,81 @@ class WordCodec:
             self.marks[marks] = self._library(["x" + marks])[0][4:]  # without the x
         return self.marks[marks]
 
-    def _learn(self, keys: list) -> None:
-        """Adds what can be cut, from the words known before if it is there."""
-        known, before, others = self.known, self.before, []
-        for k in keys:
-            ids = before.get(k)
-            if ids is not None:
-                known[k] = ids
-                continue
-            start, body = b"", k
-            if type(k) is tuple:
-                body, space = k[0], False
-            elif self.spaces_kept and k[:1] == "\n":
-                start, body, space = self.newline, k[1:], False
-            else:
-                space = True
-            stem = body.rstrip(punctuation)
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                ids = start + self._letters(stem, space)
-                known[k] = ids + self._marks(body[len(stem):]) if len(stem) < len(body) else ids
-                continue
-            whole = self._characters(k)
-            if whole is not None:
-                others.append((k, whole))
+    def _learn(self, key: str) -> bytes | None:
+        """Ids of a word of Latin-1 letters and marks after them, or those known before; None for any other."""
+        ids = self.before.get(key)
+        if ids is not None:
+            return ids
+        stem = key.rstrip(punctuation)
+        first = stem[:1]
+        word = stem[1:] if first == " " or first == "\n" else stem
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
+            return None
+        if len(stem) < len(key):
+            return self.known[stem] + self._marks(key[len(stem):])  # the word often stands by itself
+        if self.lowers:
+            word = word.lower()
+        if not word.isascii():
+            word = word.translate(_LATIN)
+        if self.spaces_kept and first == " ":
+            word = _LETTER[32] + word
+        id_bytes = self.id_bytes
+        ids = b"".join([id_bytes[t.id] for t in self.tokenizer.model.tokenize(word)])
+        return self.newline + ids if self.spaces_kept and first == "\n" else ids
+
+    def _learn_others(self, keys: list[str]) -> None:
+        """Adds what the library can encode by itself."""
+        others = [k for k in keys if self._is_safe(k)]
         if others:
-            known.update(zip([k for k, _ in others], self._library([w for _, w in others]), strict=True))
+            self.known.update(zip(others, self._library(others), strict=True))
 
-    def _cut(self, text: str) -> list:
-        """Keys of the words of a text; a key stands for the same characters in every text."""
-        if not self.spaces_kept:
-            if self.lowers:  # in Latin-1, letter by letter: so it may be done at once
-                try:
-                    text.encode("latin-1")
-                    text = text.lower()
-                except UnicodeEncodeError:
-                    pass
-            return text.replace("\n", " ").split(" ")
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = (words[0],)  # no space before it
-        return words
-
-    def _characters(self, key: str | tuple[str]) -> str | None:
-        """What a key stands for, or None where its text must not be cut."""
+    def _is_safe(self, key: str) -> bool:
+        """Whether a word has the same ids by itself as in its text."""
         if not self.spaces_kept:
-            return key
-        if isinstance(key, tuple):
-            body = whole = key[0]
-        elif key[:1] == "\n":
-            body, whole = key[1:], key
-        else:
-            body, whole = key, " " + key
-        return None if not body or body[0].isspace() or body[-1].isspace() else whole
+            return True
+        body = key[1:] if key[:1] in (" ", "\n") else key
+        return bool(body) and not body[0].isspace() and not body[-1].isspace()
+
+    def _lowered(self, text: str) -> str:
+        """A text as its words are looked up."""
+        if self.lowers and not self.spaces_kept:  # in Latin-1, letter by letter: so it may be done at once
+            try:
+                text.encode("latin-1")
+                return text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Number of each word of the texts in order, the distinct words, and the number of words before each text.
+
+        A word has the space or line end before it.
+        """
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        lengths = np.array([len(t) for t in raw], np.int64)
+        is_first = (data == 32) | (data == 10)
+        starts = np.cumsum(lengths) - lengths
+        is_first[starts[lengths > 0]] = True
+        first = np.flatnonzero(is_first)
+        ends = np.append(first, len(data))
+        strings = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        words = strings.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return strings.indices.to_numpy(), words, np.searchsorted(first, np.append(starts, len(data)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and collections would walk the known words
         try:
-            for at in range(0, len(texts), 256):
-                out += self._encode(texts[at:at + 256])
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and size < BATCH:
+                    size += len(texts[end] or "")
+                    end += 1
+                out += self._encode(texts[at:end])
+                at = end
         finally:
             if collecting:
                 gc.enable()
@@ -131,21 +158,30 @@ class WordCodec:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
-            self.before, self.known = self.known, {}
-        get = self.known.get
+            self.before, self.known = self.known, _Known(self._learn)
         marked = [i for i, t in enumerate(texts) if t and any(s in t for s in self.special)]
-        cuts = [self._cut(t) if t and i not in marked else [] for i, t in enumerate(texts)]
-        found = [list(map(get, c)) for c in cuts]
-        late = {i: [j for j, v in enumerate(ids) if v is None] for i, ids in enumerate(found) if None in ids}
-        self._learn(list(dict.fromkeys([cuts[i][j] for i, at in late.items() for j in at])))
-        whole = []
-        for i, at in late.items():
-            cut, ids = cuts[i], found[i]
-            for j in at:
-                ids[j] = get(cut[j])
-            if None in ids:
-                whole.append(i)
-        out = [b"" if None in ids else b"".join(ids) for ids in found]
+        left_out = set(marked)
+        numbers, words, before = self._words([self._lowered(t) if t and i not in left_out else "" for i, t in enumerate(texts)])
+        found = list(map(self.known.__getitem__, words))
+        late = [j for j, ids in enumerate(found) if ids is None]
+        self._learn_others([words[j] for j in late])
+        for j in late:
+            found[j] = self.known.get(words[j])
+        unsafe = np.array([ids is None for ids in found], bool)
+        found = [ids or b"" for ids in found]
+        # the ids of all distinct words in one row, from which each word of the texts takes its own
+        ids = np.frombuffer(b"".join(found), "<u4")
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        taken = counts[numbers]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        short = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        place = np.repeat(((np.cumsum(counts) - counts)[numbers] - (ends - taken)).astype(short), taken)
+        place += np.arange(total, dtype=short)
+        laid = ids[place].tobytes()
+        at = np.append(0, ends)[before] * 4
+        out = [laid[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        whole = np.unique(np.searchsorted(before, np.flatnonzero(unsafe[numbers]), "right") - 1).tolist() if unsafe.any() else []
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         if marked:

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -242,3 +243,19 @@ def test_classifier_reads_long_words_whole(monkeypatch):
     known = qc._Words(qc.fit([(y, *qc._bag(text(y), plan, {})) for y in (0, 1) * 100], plan))
     right = [(qc.score_text(text(y), known) >= 0.5) == bool(y) for y in (0, 1) * 50]
     assert sum(right) >= 95 and len(known) == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_codec_merges_a_word_once_whatever_marks_follow(name):
+    codec, path = WordCodec(public_tokenizers.path(name)), public_tokenizers.path(name)
+    inner, asked = codec.tokenizer, []
+
+    def tokenize(word):
+        asked.append(word)
+        return inner.model.tokenize(word)
+
+    codec.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize), encode_batch_fast=inner.encode_batch_fast)
+    texts = ["x houseboat, houseboat. houseboat", "x houseboat! houseboat", "x houseboat?", "K, İ' İ!", None]
+    library = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert codec.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in library]
+    assert sum("houseboat" in word for word in asked) == 1
