@@ -6,7 +6,10 @@ itemset is the largest count of a closed set that holds it (:func:`subset_counts
 without a list of subsets.
 
 * Items of exactly the same baskets are one class, found by a 128-bit signature of the basket set (two exclusive ors of
-  64-bit hashes, and the number of baskets); its members are in one basket, which bounds it.  Equal baskets are one row with a weight.
+  64-bit hashes, and the number of baskets); its members are in one basket, which bounds it.  Equal baskets are one row with a weight
+  and a number, by which rows are shuffled instead of their items.
+* A lone class is in one distinct basket only: that basket is the closed set of everything that holds the class.  It is taken as it is, and
+  baskets are mined without their lone classes; sets that only one such basket holds are not closed and are left out.
 * Closed sets come by prefix-preserving extension: a set P is extended by a class j beyond the last one, closed over the
   baskets that hold P and j, and kept if the closure adds nothing before j; so each closed set is found once, along one path, without
   a look at the others.  A round extends all sets by one step; counts of (path, j, i) are plain sums, merged map-side, so a frequent class does
@@ -23,9 +26,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, small
 from .baskets import SupportChoice, choose_support
-from .ordering import row_index
 from .rules import STATUS_INSUFFICIENT, STATUS_NO_ITEMSETS, STATUS_NO_POSITIVE, STATUS_NO_RULES, STATUS_OK
 
 _SETS = "path array<bigint>, codes array<bigint>, freq bigint"
@@ -34,7 +36,7 @@ _SETS = "path array<bigint>, codes array<bigint>, freq bigint"
 @dataclass
 class ClosedItemsets:
     choice: SupportChoice
-    classes: DataFrame    # code, members (sorted items of the same baskets), freq
+    classes: DataFrame    # code, members (sorted items of the same baskets), freq, m (distinct baskets)
     patterns: DataFrame   # codes (sorted), w: distinct baskets of classes and how often they occur
     coded: DataFrame      # codes (sorted), freq: the closed sets
 
@@ -42,6 +44,12 @@ class ClosedItemsets:
     def n(self) -> int:
         return self.choice.n_transactions
 
+    def lengths(self) -> DataFrame:
+        """``k`` of the closed sets, without their items."""
+        parts = (self.coded.select("codes", F.explode("codes").alias("code"))
+                 .join(self.classes.select("code", F.size("members").alias("size")), "code"))
+        return parts.groupBy("codes").agg(F.sum("size").cast("int").alias("k")).select("k")
+
     def sets(self) -> DataFrame:
         """``items ARRAY<STRING> (sorted), k, freq, support`` of the closed sets."""
         return (_spell(self.coded, self.classes, "codes", "items", "codes", "freq")
@@ -54,24 +62,33 @@ def _spell(rows: DataFrame, classes: DataFrame, codes: str, out: str, *keys: str
     return parts.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("members"))).alias(out))
 
 
-def item_classes(patterns: DataFrame, min_count: int) -> DataFrame:
-    """``code, members, freq`` of ``items, w`` rows: items of equal basket sets, numbered from rare to frequent."""
-    lines = patterns.select(F.explode("items").alias("item"), "w", F.xxhash64(F.lit(1), "items").alias("h1"),
-                            F.xxhash64(F.lit(2), F.reverse("items")).alias("h2"))
-    signed = (lines.groupBy("item").agg(F.sum("w").alias("freq"), F.count(F.lit(1)).alias("m"), F.bit_xor("h1").alias("s1"),
-                                        F.bit_xor("h2").alias("s2")).where(F.col("freq") >= min_count))
-    same = signed.groupBy("freq", "m", "s1", "s2").agg(F.array_sort(F.collect_list("item")).alias("members"))
-    same = cut_lineage(same.select("freq", "members", F.col("members")[0].alias("first")))
-    codes = row_index(same.select("freq", "first"), ["freq", "first"], "code")
-    return cut_lineage(codes.join(same.select("first", "members"), "first").select("code", "members", "freq"))
+def item_classes(patterns: DataFrame) -> DataFrame:
+    """``members, freq, m, s1, s2`` of ``items, w, number`` rows: items of equal basket sets; of a lone class ``s1`` is its basket's number."""
+    lines = patterns.select(F.explode("items").alias("item"), "w", "number")
+    signed = lines.groupBy("item").agg(F.sum("w").alias("freq"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(F.lit(1), "number")).alias("s1"),
+                                       F.bit_xor(F.xxhash64(F.lit(2), "number")).alias("s2"), F.max("number").alias("number"))
+    lone = F.col("m") == 1
+    signed = signed.select("item", "freq", "m", F.when(lone, F.col("number")).otherwise(F.col("s1")).alias("s1"),
+                           F.when(lone, 0).otherwise(F.col("s2")).alias("s2"))
+    return cut_lineage(signed.groupBy("freq", "m", "s1", "s2").agg(F.array_sort(F.collect_list("item")).alias("members")))
+
+
+def numbered(classes: DataFrame, min_count: int) -> DataFrame:
+    """The classes of at least ``min_count`` baskets with a ``code``, which grows from rare to frequent (then by first member)."""
+    ordered = classes.where(F.col("freq") >= min_count).orderBy("freq", F.col("members")[0])
+    return cut_lineage(ordered.withColumn("code", F.monotonically_increasing_id() + 1))
 
 
 def class_patterns(patterns: DataFrame, classes: DataFrame) -> DataFrame:
-    """``codes, w``: each basket as its sorted class codes, equal ones merged.  A class is looked up by its first member."""
-    first = classes.select(F.col("members")[0].alias("item"), "code")
-    lines = patterns.select("items", "w", F.explode("items").alias("item")).join(first, "item")
-    rows = lines.groupBy("items").agg(F.array_sort(F.collect_list("code")).alias("codes"), F.first("w").alias("w"))
-    return cut_lineage(rows.groupBy("codes").agg(F.sum("w").alias("w")))
+    """``codes, w, lone``: each basket as its sorted class codes, equal ones merged, and its lone classes.  A lone class knows its basket; any other
+    is looked up by its first member."""
+    own = classes.where(F.col("m") == 1).select(F.col("s1").alias("number"), "code", F.col("freq").alias("w"), F.lit(True).alias("lone"))
+    first = small(classes.where(F.col("m") > 1).select(F.col("members")[0].alias("item"), "code"))
+    lines = patterns.select("number", "w", F.explode("items").alias("item")).join(first, "item")
+    rows = own.unionByName(lines.select("number", "code", "w", F.lit(False).alias("lone"))).groupBy("number").agg(
+        F.array_sort(F.collect_list("code")).alias("codes"), F.first("w").alias("w"),
+        F.array_sort(F.collect_list(F.when(F.col("lone"), F.col("code")))).alias("lone"))
+    return cut_lineage(rows.groupBy("codes", "lone").agg(F.sum("w").alias("w")))
 
 
 def closed_codes(patterns: DataFrame, classes: DataFrame, n: int, min_count: int) -> DataFrame:
@@ -80,23 +97,33 @@ def closed_codes(patterns: DataFrame, classes: DataFrame, n: int, min_count: int
     root = F.array(*[F.lit(c).cast("long") for c in everywhere]).cast("array<bigint>")
     spark = patterns.sparkSession
     found = [spark.range(1).select(root.alias("codes"), F.lit(n).cast("long").alias("freq")).where(F.size("codes") > 0)]
-    # rows of a path: what its baskets hold beyond its set, and their weight
+    # the class of all baskets is lone if they are equal; then it is the root
+    own = F.array_except("lone", root)
+    found.append(patterns.where(F.size(own) > 0).select("codes", F.col("w").alias("freq")))
+    # rows of a path: what its baskets hold beyond its set, their weight, number, and how many of them have lone classes
     rows = patterns.select(F.array().cast("array<bigint>").alias("path"), root.alias("set"), F.lit(0).cast("long").alias("core"),
-                           F.array_except("codes", root).alias("rest"), "w").where(F.size("rest") > 0)
+                           F.array_except(F.array_except("codes", root), own).alias("rest"), "w", F.lit(1).cast("long").alias("m"),
+                           F.when(F.size(own) > 0, 1).otherwise(0).cast("long").alias("lone")).where(F.size("rest") > 0)
+    if rows.isEmpty():
+        return reduce(DataFrame.unionByName, found)
     while True:
-        steps = rows.select("path", "set", "core", "rest", "w", F.explode(F.filter("rest", lambda j: j > F.col("core"))).alias("j"))
-        counts = (steps.select("path", "j", "w", F.explode("rest").alias("i"))
-                  .groupBy("path", "j", "i").agg(F.sum("w").alias("c")).where(F.col("c") >= min_count))
-        by_step = counts.groupBy("path", "j").agg(F.max("c").alias("freq"), F.collect_list(F.struct("i", "c")).alias("_l"))
+        steps = rows.select("path", "set", "core", "rest", "w", "m", "lone", F.explode(F.filter("rest", lambda j: j > F.col("core"))).alias("j"))
+        counts = (steps.select("path", "j", "w", "m", "lone", F.explode("rest").alias("i"))
+                  .groupBy("path", "j", "i").agg(F.sum("w").alias("c"), F.sum("m").alias("m"), F.sum("lone").alias("lone"))
+                  .where(F.col("c") >= min_count))
+        # j itself has the largest counts; a single basket with a lone class is found already, with all that it holds
+        by_step = counts.groupBy("path", "j").agg(F.max("c").alias("freq"), F.collect_list(F.struct("i", "c")).alias("_l"),
+                                                  F.max("m").alias("m"), F.max("lone").alias("lone")).where("m > 1 OR lone = 0")
         picked = lambda test: F.transform(F.filter("_l", test), lambda x: x["i"])
         kept = (by_step.select("path", "j", "freq", picked(lambda x: x["c"] == F.col("freq")).alias("add"),
                                picked(lambda x: x["c"] < F.col("freq")).alias("keep"))
                 .where(F.array_min("add") == F.col("j")))
         grown = steps.join(kept, ["path", "j"]).select(
             F.concat("path", F.array("j")).alias("path"), F.array_sort(F.concat("set", "add")).alias("set"), F.col("j").alias("core"),
-            F.array_sort(F.array_intersect("rest", "keep")).alias("rest"), "w", "freq")
+            F.array_sort(F.array_intersect("rest", "keep")).alias("rest"), "w", "m", "lone", "freq")
         # a basket may have nothing left: it stays, as the one row that carries the set
-        rows = cut_lineage(grown.groupBy("path", "set", "core", "freq", "rest").agg(F.sum("w").alias("w")))
+        rows = cut_lineage(grown.groupBy("path", "set", "core", "freq", "rest").agg(F.sum("w").alias("w"), F.sum("m").alias("m"),
+                                                                                    F.sum("lone").alias("lone")))
         if rows.isEmpty():
             break
         found.append(cut_lineage(rows.groupBy("path").agg(F.first("set").alias("codes"), F.first("freq").alias("freq")).select("codes", "freq")))
@@ -110,20 +137,17 @@ def closed_itemsets(baskets: DataFrame, support: float | None = None) -> ClosedI
     Null items are no items; an empty basket counts in N.  Without baskets, or with a single one, there are sets as with more.
     """
     items = F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull())))
-    patterns = cut_lineage(baskets.select(F.coalesce(items, F.array().cast("array<string>")).alias("items"))
-                           .groupBy("items").agg(F.count(F.lit(1)).alias("w")))
-    choice = _choose(patterns, support)
-    classes = item_classes(patterns, choice.min_count)
+    merged = (baskets.select(F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+              .groupBy("items").agg(F.count(F.lit(1)).alias("w")))
+    patterns = cut_lineage(merged.withColumn("number", F.monotonically_increasing_id()))
+    same = item_classes(patterns)
+    n, top = patterns.agg(F.sum("w")).first()[0], same.agg(F.max("freq")).first()[0]
+    choice = choose_support(int(n or 0), int(top or 0), support)
+    classes = numbered(same, choice.min_count)
     coded = class_patterns(patterns, classes)
     return ClosedItemsets(choice, classes, coded, closed_codes(coded, classes, choice.n_transactions, choice.min_count))
 
 
-def _choose(patterns: DataFrame, support: float | None) -> SupportChoice:
-    n = int(patterns.agg(F.sum("w")).first()[0] or 0)
-    top = patterns.select(F.explode("items").alias("i"), "w").groupBy("i").agg(F.sum("w").alias("c")).agg(F.max("c")).first()[0]
-    return choose_support(n, int(top or 0), support)
-
-
 def minimal_generators(closed: ClosedItemsets) -> DataFrame:
     """``codes, freq, closure``: the minimal generators in classes (any member stands for its class) and the codes of the closed set
     that each generates."""
@@ -207,10 +231,9 @@ def _power(base: int, exponent) -> F.Column:
     return F.when(exponent == 0, one).otherwise(times)
 
 
-def _lone_sets(closed: ClosedItemsets) -> DataFrame:
+def _need_lone(closed: ClosedItemsets) -> None:
     if closed.choice.max_item_count > 1:
         raise ValueError("an item is in two baskets: the counts below hold where the fallback ends at 1/N")
-    return closed.sets()
 
 
 def sparse_summary(closed: ClosedItemsets) -> DataFrame:
@@ -220,6 +243,7 @@ def sparse_summary(closed: ClosedItemsets) -> DataFrame:
     stays.  Columns: status, total_transactions, min_support_used, n_closed, n_itemsets, total_positive_rules_found, the last two
     DECIMAL(38,0), null where that overflows.
     """
+    _need_lone(closed)
     n = closed.n
     k = F.col("k")
     itemsets = F.when(k <= 120, _power(2, k) - 1).cast("decimal(38,0)")
@@ -228,7 +252,7 @@ def sparse_summary(closed: ClosedItemsets) -> DataFrame:
     def total(column, longest: int):
         return F.when(F.max("k") <= longest, F.try_sum(column)).cast("decimal(38,0)")
 
-    sums = _lone_sets(closed).agg(F.count(F.lit(1)).alias("n_closed"), F.max("k").alias("longest"),
+    sums = closed.lengths().agg(F.count(F.lit(1)).alias("n_closed"), F.max("k").alias("longest"),
                                   total(itemsets, 120).alias("n_itemsets"), total(rules, 75).alias("all"))
     status = (F.when(F.lit(n <= 1), STATUS_INSUFFICIENT).when(F.col("n_closed") == 0, STATUS_NO_ITEMSETS)
               .when(F.col("longest") < 2, STATUS_NO_RULES).when(F.lit(n) <= 1, STATUS_NO_POSITIVE).otherwise(STATUS_OK))
@@ -243,7 +267,8 @@ def sparse_scores(closed: ClosedItemsets) -> DataFrame:
 
     Of a basket of k items these are 3^(k-1) - 2^(k-1) rules of lift N.  Items alone in their basket have no rule and no row.
     """
+    _need_lone(closed)
     k = F.col("k") - 1
     score = (F.pow(F.lit(3.0), k) - F.pow(F.lit(2.0), k)) * F.lit(float(closed.n))
-    return (_lone_sets(closed).where(F.lit(closed.n > 1) & (F.col("k") >= 2))
+    return (closed.sets().where(F.lit(closed.n > 1) & (F.col("k") >= 2))
             .select(F.explode("items").alias("category"), score.alias("score")))

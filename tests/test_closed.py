@@ -104,3 +104,23 @@ def test_long_baskets_and_edges(spark):
         assert s["status"] == status and s["total_positive_rules_found"] == 0
     with pytest.raises(ValueError):
         CL.sparse_summary(CL.closed_itemsets(_frame(spark, [["a"], ["a"]])))
+
+
+@pytest.mark.parametrize("seed,support", [(1, 0.0), (2, 0.06), (3, 0.1)])
+def test_lone_classes_beside_shared_ones(spark, seed, support):
+    rnd = random.Random(seed)
+    baskets = [rnd.sample("abcde", rnd.randint(0, 4)) + [f"own{b}-{i}" for i in range(rnd.randint(0, 2))] for b in range(30)]
+    baskets += baskets[:12] + baskets[:4]
+    for rows in (baskets, [["x", "y"]] * 3, [b + ["root"] for b in baskets]):
+        c = CL.closed_itemsets(_frame(spark, rows), support)
+        got = c.sets().collect()
+        expected = _closed(_counts(rows), c.choice.min_count)
+        assert len(got) == len(expected) and {frozenset(r["items"]): r["freq"] for r in got} == expected
+        assert sorted(r["k"] for r in c.lengths().collect()) == sorted(map(len, expected))
+
+
+def test_baskets_of_lone_classes_need_no_rounds(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(CL, "cut_lineage", lambda df, keep=CL.cut_lineage: kept.append(1) or keep(df))
+    c = CL.closed_itemsets(_frame(spark, [[f"{b}-{i}" for i in range(3)] for b in range(20)]))
+    assert c.coded.count() == 20 and len(kept) == 4  # baskets, classes, their numbers, coded baskets
