@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from aislekit.llm import bwt, fingerprints, idfile, ngram_join, packing, pii, words
@@ -259,3 +260,57 @@ def test_codec_merges_a_word_once_whatever_marks_follow(name):
     library = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert codec.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in library]
     assert sum("houseboat" in word for word in asked) == 1
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for x in ([], [7], [-5, -5, 0, 9], rng.integers(-1 << 63, (1 << 63) - 1, 50), [-1 << 63, (1 << 63) - 1], np.arange(300) * 3):
+        x = np.asarray(x, np.int64)
+        assert ngram_join._unpack(ngram_join._pack(x)).tolist() == x.tolist()
+        assert ngram_join._unpack(ngram_join._pack(np.sort(x), True), True).tolist() == np.sort(x).tolist()
+    assert len(ngram_join._pack(np.arange(1 << 40, (1 << 40) + 1000), True)) == 1009  # a byte each
+
+
+def test_exact_search_sends_a_set_once(spark, monkeypatch):
+    """Pairs of linked sets without number: what is shuffled is the sets, not the sets times the units they make."""
+    rows = []
+    for i in range(400):
+        s = np.sort(np.arange(10, dtype=np.uint64) * np.uint64(1 << 40) + np.uint64(i // 2))
+        rows.append((i, i, len(s), bytearray(s.tobytes()), s.view(np.int64)[:3].tolist()))
+    table = spark.createDataFrame(rows, "doc_id long, component long, n long, shingles binary, prefix array<long>")
+    sent, run = [], ngram_join._searched
+    monkeypatch.setattr(ngram_join, "_searched", lambda df, plan: (sent.append(df.count()), run(df, plan))[1])
+    links = ngram_join._exact_links(table, ngram_join.JoinPlan(block=5))
+    assert sorted((min(r), max(r)) for r in links.collect()) == [(i, i + 1) for i in range(0, 400, 2)]
+    assert sent == [400]
+
+
+def test_exact_search_of_a_large_group_goes_in_rounds(spark, monkeypatch):
+    """One shingle that all have makes one group: each round shuffles a few times the sets, and no link is lost."""
+    rows = []
+    for i in range(120):
+        s = np.sort(np.append(np.arange(1, 10, dtype=np.uint64) * np.uint64(1 << 40) + np.uint64(i // 2), np.uint64(3)))
+        rows.append((i, i, len(s), bytearray(s.tobytes()), s.view(np.int64)[:3].tolist()))
+    table = spark.createDataFrame(rows, "doc_id long, component long, n long, shingles binary, prefix array<long>").coalesce(2)
+    sent, run = [], ngram_join._searched
+    monkeypatch.setattr(ngram_join, "_searched", lambda df, plan: (sent.append(df.count()), run(df, plan))[1])
+    links = ngram_join._exact_links(table, ngram_join.JoinPlan(block=8, copies=4))
+    assert {(min(r), max(r)) for r in links.collect()} == {(i, i + 1) for i in range(0, 120, 2)}
+    assert len(sent) > 2 and max(sent) < 2 * 4 * 120
+
+
+def test_near_copies_shuffles_doubted_rows_only(spark, monkeypatch):
+    """Repeated and null doc_ids, copies, and a bitmap so small that most rows are doubted."""
+    import corpus_pipeline as pipeline
+
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(30)] + [(None, "a b c d e f g")] * 2
+    rows += [(40, rows[3][1]), (41, rows[3][1]), (5, "z first"), (5, "another text than before"), (7, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    want = {(i, t) for i, t in rows if i not in (40, 41, 5)} | {(5, min(t for i, t in rows if i == 5))}
+    for bits in (23, 6):
+        monkeypatch.setattr(pipeline, "BITS", bits)
+        out = pipeline.near_copies(spark, docs, "")
+        assert out.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert len(got) == 32 and set(got) == want
+    assert "doubted" in out._jdf.queryExecution().toString()
