@@ -16,7 +16,7 @@ from ..operators import classify as C
 from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import termrows as TR
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, release, spread
 
 
 @dataclass
@@ -60,6 +60,7 @@ def prepare(df: DataFrame, id_col: str, text_col: str, label_col: str,
                         .select(F.col(id_col).alias("doc_id"), "label", "split"))
     fit_ids = None if fit_on == "all" else split.where("split = 'train'").select("doc_id")
     model, coded = FE.fit_rows(TR.letter_rows(spread(docs.select(id_col, text_col)), id_col, text_col, "train"), max_features, "train", fit_ids)
+    release(df.sparkSession)  # the numbered words are no longer read
     return Prepared(docs, codes, model, coded, split, id_col, text_col, "label")
 
 
